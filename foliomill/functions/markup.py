@@ -1,4 +1,4 @@
-"""HTML to Markdown and HTML to plain text as chains of built-in string expressions.
+"""HTML to Markdown and HTML to plain text as chains of built-in string functions, in SQL text.
 
 Each rule is a pattern that runs in linear time on broken markup too: tag patterns stop at the next `<`, and an
 unclosed comment, script or style runs to the end of the text, as browsers treat it.
@@ -6,11 +6,6 @@ unclosed comment, script or style runs to the end of the text, as browsers treat
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Content that is never text. One pass, so that a comment inside a script does not count as one, nor the reverse.
 DROPPED = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
@@ -28,7 +23,7 @@ BLOCK = (
     r"|figure|figcaption|address|fieldset|hr|h[1-6]|body|html)\b[^<>]*>"
 )
 NOT_A_LINK = r"(?i)</?(?:[b-z!?][^<>]*|a[a-z0-9][^<>]*)>"
-LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?([^"'<>\s]*)[^<>]*>([^<]*)</a\s*>"""
+LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\x22\x27]?([^\x22\x27<>\s]*)[^<>]*>([^<]*)</a\s*>"
 ANY_TAG = r"(?i)</?[a-z!?][^<>]*>"
 BLANKS = r"[ \t\r\f]+"
 BLANK_AROUND_BREAK = r" ?\n ?"
@@ -62,22 +57,33 @@ ENTITIES = {
 }
 
 
-def _apply(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda t, rule: F.regexp_replace(t, F.lit(rule[0]), F.lit(rule[1])), rules, text)
+def _apply(text: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, replacement in rules:
+        text = f"regexp_replace({text}, r'{pattern}', '{replacement}')"
+    return text
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
+def _replace(text: str, replacements: dict[str, str]) -> str:
+    for old, new in replacements.items():
+        text = f"replace({text}, {_quoted(old)}, {_quoted(new)})"
+    return text
 
 
-def unescape(text: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+def unescape(text: str) -> str:
+    return _replace(text, ENTITIES)
 
 
-def _strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(" \t\r\n"))
+def _strip(text: str) -> str:
+    return f"btrim({text}, ' \t\r\n')"
 
 
-def html_to_markdown(html: Column) -> Column:
+def html_to_markdown(html: str) -> str:
     text = _apply(html, [(DROPPED, ""), (HEADING_OPEN, "\n\n<h$1>")])
-    for level in range(1, 7):
-        text = F.replace(text, F.lit(f"<h{level}>"), F.lit("#" * level + " "))
+    text = _replace(text, {f"<h{level}>": "#" * level + " " for level in range(1, 7)})
     text = _apply(
         text,
         [
@@ -97,11 +103,10 @@ def html_to_markdown(html: Column) -> Column:
     return _strip(unescape(text))
 
 
-def html_to_text(html: Column) -> Column:
-    text = _apply(html, [(DROPPED, ""), (ANY_TAG, " ")])
-    return _strip(F.regexp_replace(unescape(text), F.lit(ANY_SPACE), F.lit(" ")))
+def html_to_text(html: str) -> str:
+    return _strip(_apply(unescape(_apply(html, [(DROPPED, ""), (ANY_TAG, " ")])), [(ANY_SPACE, " ")]))
 
 
-def decode_text(content: Column) -> Column:
+def decode_text(content: str) -> str:
     """Bytes as UTF-8 text; bad sequences become U+FFFD, which scoring then penalises."""
-    return F.make_valid_utf8(content.cast("string"))
+    return f"make_valid_utf8(cast({content} AS string))"

@@ -1,16 +1,16 @@
-"""Text-quality measures as built-in column expressions.
+"""Text-quality measures as Spark SQL expressions.
 
-The work is in two steps. `text_counts` scans a text once per pattern and yields plain counts; `score_columns`
-turns counts, extension and source size into scores with arithmetic only. All counts are additive over
+The work is in two steps. `text_counts` scans a text once per pattern and yields plain counts; `accuracy` and
+`completeness` turn counts, extension and source size into scores with arithmetic only. All counts are additive over
 pieces separated by a blank line (a separator ends every run the patterns look for), so a long document
 can be scored from per-page sums without ever being put together.
+
+Expressions are SQL texts over column names: they name intermediate columns freely, and one parse builds a whole
+expression where the Column API would take a driver round trip per operator.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from foliomill.schemas import ACCURACY_WEIGHT, COMPLETENESS_WEIGHT, IMAGE_EXTENSIONS, MSG_BLANK_TEXT
 
 # --- Fixed values: character classes and limits -------------------------------------------------
@@ -51,137 +51,130 @@ COUNTS = (
 )
 
 
-def is_blank(text: Column) -> Column:
+def _names(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def is_blank(text: str) -> str:
     """True for null, empty, or Unicode whitespace only."""
-    return ~F.coalesce(F.rlike(text, F.lit(f"[^{WS}]")), F.lit(False))
+    return f"(NOT coalesce({text} rlike r'[^{WS}]', false))"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+def _matches(text: str, pattern: str) -> str:
+    return f"cast(regexp_count({text}, r'{pattern}') AS bigint)"
 
 
-def _zero_unless(condition: Column, count: Column) -> Column:
-    return F.when(condition, count).otherwise(F.lit(0).cast("bigint"))
+def _zero_unless(condition: str, count: str) -> str:
+    return f"CASE WHEN {condition} THEN {count} ELSE 0L END"
 
 
-def _sentence_marks(text: Column, non_ascii: Column) -> Column:
-    """Marks counted by the bytes that vanish with them: far cheaper than a regex pass."""
+def _sentence_marks(text: str, non_ascii: str) -> str:
+    """Marks counted by the bytes that vanish with them: cheaper than a regex pass."""
 
-    def removed(mark: str) -> Column:
-        left = F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
-        return ((F.octet_length(text) - left) / F.lit(len(mark.encode("utf-8")))).cast("bigint")
+    def removed(marks: list[str]) -> str:
+        return " + ".join(
+            f"(octet_length({text}) - octet_length(replace({text}, '{m}', ''))) div {len(m.encode())}" for m in marks
+        )
 
-    ascii_marks = [removed(m) for m in SENTENCE_MARKS if m.isascii()]
-    other_marks = [removed(m) for m in SENTENCE_MARKS if not m.isascii()]
-    return sum(ascii_marks[1:], ascii_marks[0]) + _zero_unless(non_ascii, sum(other_marks[1:], other_marks[0]))
+    plain = [m for m in SENTENCE_MARKS if m.isascii()]
+    wide = [m for m in SENTENCE_MARKS if not m.isascii()]
+    return f"{removed(plain)} + {_zero_unless(non_ascii, removed(wide))}"
 
 
-def _paragraphs(text: Column) -> Column:
+def _paragraphs(text: str) -> str:
     """Non-blank pieces between blank lines."""
     opened = _matches(text, rf"\n\n[{WS}]*[^{WS}]")
-    leading_break = F.rlike(text, F.lit(rf"\A[{WS}]*\n\n"))
-    several = opened + F.when(leading_break, 0).otherwise(1)
-    return F.when(F.instr(text, "\n\n") > 0, several).otherwise(1).cast("bigint")
+    first = rf"CASE WHEN {text} rlike r'\A[{WS}]*\n\n' THEN 0L ELSE 1L END"
+    return f"CASE WHEN instr({text}, '\n\n') > 0 THEN {opened} + {first} ELSE 1L END"
 
 
-def text_counts(text: Column) -> dict[str, Column]:
-    """The counts of `COUNTS`, each costing at most one pass.
+def text_counts(text: str) -> dict[str, str]:
+    """The counts of `COUNTS` for a text column, each costing at most one pass.
 
     Cheap tests skip passes that cannot find anything: an ASCII text holds no replacement, wide or Han
     characters, and a text without five equal characters in a row holds no repeat run.
     """
-    non_ascii = F.octet_length(text) != F.length(text)
-    repeats = F.rlike(text, F.lit(r"(?s)(.)\1{4}"))
-    glyph_runs = _matches(text, GLYPH_RUN) - _zero_unless(
-        F.rlike(text, F.lit(f"[{WS_BEYOND_ASCII}]")), _matches(text, WIDE_SPACE_RUN)
-    )
-    blank = is_blank(text)
+    non_ascii = f"octet_length({text}) <> length({text})"
+    repeats = rf"{text} rlike r'(?s)(.)\1{{4}}'"
+    wide_spaces = _zero_unless(f"{text} rlike r'[{WS_BEYOND_ASCII}]'", _matches(text, WIDE_SPACE_RUN))
     return {
-        "char_count": F.length(text).cast("bigint"),
-        "byte_count": F.octet_length(text).cast("bigint"),
+        "char_count": f"cast(length({text}) AS bigint)",
+        "byte_count": f"cast(octet_length({text}) AS bigint)",
         "control_chars": _matches(text, CONTROL),
         "replacement_runs": _zero_unless(non_ascii, _matches(text, REPLACEMENT_RUN)),
         "word_runs": _zero_unless(repeats, _matches(text, WORD_RUN)),
         "wide_runs": _zero_unless(non_ascii, _matches(text, WIDE_RUN)),
         "chinese_chars": _zero_unless(non_ascii, _matches(text, HAN)),
         "sentence_count": _sentence_marks(text, non_ascii),
-        "glyph_runs": _zero_unless(repeats, glyph_runs),
-        "paragraph_count": _zero_unless(~blank, _paragraphs(text)),
+        "glyph_runs": _zero_unless(repeats, f"{_matches(text, GLYPH_RUN)} - {wide_spaces}"),
+        "paragraph_count": _zero_unless(f"NOT {is_blank(text)}", _paragraphs(text)),
     }
 
 
-def garbage_ratio(c: dict[str, Column]) -> Column:
-    found = c["control_chars"] + c["replacement_runs"] + c["word_runs"] + c["wide_runs"]
-    return found / F.greatest(c["char_count"], F.lit(1))
+def garbage_ratio(p: str = "") -> str:
+    """Of the counts with prefix `p`, as in all functions below."""
+    found = f"{p}control_chars + {p}replacement_runs + {p}word_runs + {p}wide_runs"
+    return f"({found}) / greatest({p}char_count, 1L)"
 
 
-def chinese_ratio(c: dict[str, Column]) -> Column:
-    return c["chinese_chars"] / F.greatest(c["char_count"], F.lit(1))
+def chinese_ratio(p: str = "") -> str:
+    return f"{p}chinese_chars / greatest({p}char_count, 1L)"
 
 
-def _clamp(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+def blank_counts(p: str = "") -> str:
+    """Counts of a blank text, or none at all."""
+    return f"(coalesce({p}paragraph_count, 0L) = 0)"
 
 
-def _penalty(condition: Column, points: float) -> Column:
-    return F.when(condition, float(points)).otherwise(0.0)
+def _clamp(score: str) -> str:
+    return f"greatest(0D, least(100D, {score}))"
 
 
-def accuracy(c: dict[str, Column], ext: Column, garbage: Column, chinese: Column) -> Column:
-    repeated = F.least(c["glyph_runs"] * REPEAT_PENALTY, F.lit(REPEAT_PENALTY_CAP)).cast("double")
-    expected = ext.isin(*HAN_EXPECTED_EXTENSIONS) | (chinese > HAN_EXPECTED_ABOVE)
-    per_sentence = c["char_count"] / F.greatest(c["sentence_count"], F.lit(1))
-    return _clamp(
-        F.lit(100.0)
-        - garbage * 100.0
-        - repeated
-        - _penalty(expected & (chinese < HAN_MISSING_BELOW), HAN_PENALTY)
-        - _penalty(per_sentence > LONG_SENTENCE_CHARS, LONG_SENTENCE_PENALTY)
+def _penalty(condition: str, points: float) -> str:
+    return f"CASE WHEN {condition} THEN {float(points)}D ELSE 0D END"
+
+
+def accuracy(ext: str, p: str = "") -> str:
+    """From counts and the two ratio columns."""
+    repeated = f"cast(least({p}glyph_runs * {REPEAT_PENALTY}, {REPEAT_PENALTY_CAP}) AS double)"
+    expected = f"({ext} IN ({_names(HAN_EXPECTED_EXTENSIONS)}) OR {p}chinese_ratio > {HAN_EXPECTED_ABOVE}D)"
+    unexpected = _penalty(f"{expected} AND {p}chinese_ratio < {HAN_MISSING_BELOW}D", HAN_PENALTY)
+    long_sentences = _penalty(
+        f"{p}char_count / greatest({p}sentence_count, 1L) > {LONG_SENTENCE_CHARS}", LONG_SENTENCE_PENALTY
     )
+    return _clamp(f"100D - {p}garbage_ratio * 100D - {repeated} - {unexpected} - {long_sentences}")
 
 
-def completeness(c: dict[str, Column], ext: Column, source_size: Column) -> Column:
-    def bound(i: int) -> Column:
+def completeness(ext: str, size: str, p: str = "") -> str:
+    def bound(i: int) -> str:
+        image, pdf, other = (SIZE_BANDS[k][i] for k in ("image", "pdf", "other"))
         return (
-            F.when(ext.isin(*IMAGE_EXTENSIONS), SIZE_BANDS["image"][i])
-            .when(ext == ".pdf", SIZE_BANDS["pdf"][i])
-            .otherwise(SIZE_BANDS["other"][i])
+            f"CASE WHEN {ext} IN ({_names(IMAGE_EXTENSIONS)}) THEN {image}D"
+            f" WHEN {ext} = '.pdf' THEN {pdf}D ELSE {other}D END"
         )
 
-    ratio = c["char_count"] / F.greatest(source_size, F.lit(1))
-    band = F.when(ratio < bound(0), float(BELOW_BAND_PENALTY)).when(ratio > bound(1), float(ABOVE_BAND_PENALTY))
-    scored = _clamp(
-        F.lit(100.0)
-        - band.otherwise(0.0)
-        - _penalty(c["paragraph_count"] < 2, PARAGRAPH_PENALTY)
-        - _penalty(
-            (c["sentence_count"] < FEW_SENTENCES) & (c["char_count"] > LONG_TEXT_CHARS), FEW_SENTENCES_PENALTY
-        )
+    ratio = f"{p}char_count / greatest({size}, 1L)"
+    outside = (
+        f"CASE WHEN {ratio} < {bound(0)} THEN {float(BELOW_BAND_PENALTY)}D"
+        f" WHEN {ratio} > {bound(1)} THEN {float(ABOVE_BAND_PENALTY)}D ELSE 0D END"
     )
-    return F.when(source_size == 0, UNKNOWN_SIZE_COMPLETENESS).otherwise(scored)
+    flat = _penalty(f"{p}paragraph_count < 2", PARAGRAPH_PENALTY)
+    few = _penalty(f"{p}sentence_count < {FEW_SENTENCES} AND {p}char_count > {LONG_TEXT_CHARS}", FEW_SENTENCES_PENALTY)
+    return f"CASE WHEN {size} = 0 THEN {UNKNOWN_SIZE_COMPLETENESS}D ELSE {_clamp(f'100D - {outside} - {flat} - {few}')} END"
 
 
-def weighted(accuracy_: Column, completeness_: Column) -> Column:
-    return accuracy_ * ACCURACY_WEIGHT + completeness_ * COMPLETENESS_WEIGHT
+def weighted(p: str = "") -> str:
+    return f"{p}accuracy * {ACCURACY_WEIGHT}D + {p}completeness * {COMPLETENESS_WEIGHT}D"
 
 
-def quality_struct(
-    counts: dict[str, Column], accuracy_: Column, completeness_: Column, weighted_: Column, blank: Column
-) -> Column:
+def quality_struct(p: str = "") -> str:
     """The score record; blank text keeps zeros and an error instead of details."""
-
-    def unless_blank(value: Column) -> Column:
-        return F.when(~blank, value)
-
-    return F.struct(
-        accuracy_.alias("accuracy"),
-        completeness_.alias("completeness"),
-        weighted_.alias("weighted_score"),
-        F.struct(
-            unless_blank(counts["char_count"]).alias("char_count"),
-            unless_blank(chinese_ratio(counts)).alias("chinese_ratio"),
-            unless_blank(counts["sentence_count"]).alias("sentence_count"),
-            unless_blank(garbage_ratio(counts)).alias("garbage_ratio"),
-            F.when(blank, MSG_BLANK_TEXT).alias("error"),
-        ).alias("details"),
+    blank = blank_counts(p)
+    details = ", ".join(
+        f"'{c}', CASE WHEN NOT {blank} THEN {p}{c} END"
+        for c in ("char_count", "chinese_ratio", "sentence_count", "garbage_ratio")
+    )
+    return (
+        f"named_struct('accuracy', {p}accuracy, 'completeness', {p}completeness, 'weighted_score', {p}weighted_score,"
+        f" 'details', named_struct({details}, 'error', CASE WHEN {blank} THEN '{MSG_BLANK_TEXT}' END))"
     )

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from foliomill.schemas import ENGINE_LABELS, MSG_EMPTY_RESULT, MSG_OCR_MISSING, MSG_OCR_UNSUPPORTED, OCR_ENGINE
 
@@ -29,15 +28,15 @@ class _Engine:
     def label(self) -> str:
         return ENGINE_LABELS.get(self.name, self.name)
 
-    def runs(self) -> Column:
-        return F.col("use_text" if self.kind == TEXT else "use_ocr")
+    def runs(self) -> str:
+        return "use_text" if self.kind == TEXT else "use_ocr"
 
 
 @dataclass(frozen=True)
 class ColumnEngine(_Engine):
-    """An engine made of built-in expressions over the columns of the file table. Stays inside the scan's stage."""
+    """An engine that is a SQL expression over the columns of the file table. Stays inside the scan's stage."""
 
-    text: Callable[[], Column] = None  # called once a session is there
+    text: str = None
 
 
 @dataclass(frozen=True)
@@ -68,20 +67,14 @@ def by_priority(engines: list[Engine]) -> list[Engine]:
     return sorted(engines, key=lambda e: (e.priority, e.name))
 
 
-def usable(text: Column) -> Column:
+def is_usable(text: str) -> str:
     """Present and not empty. Whitespace alone is usable and scores zero."""
-    return text.isNotNull() & (text != "")
+    return f"coalesce({text} <> '', false)"
 
 
-def empty_error(text: Column) -> Column:
-    return F.when(~F.coalesce(usable(text), F.lit(False)), F.lit(MSG_EMPTY_RESULT))
-
-
-def ocr_error(ext_supported: Column, available: bool) -> Column:
+def ocr_fault(available: bool) -> str:
     """Why an OCR engine gives no text at all, before it even looks at the file."""
-    if not available:
-        return F.lit(MSG_OCR_MISSING)
-    return F.when(~ext_supported, F.lit(MSG_OCR_UNSUPPORTED))
+    return f"CASE WHEN NOT ocr_supported THEN '{MSG_OCR_UNSUPPORTED}' END" if available else f"'{MSG_OCR_MISSING}'"
 
 
 def table_engine(name: str, priority: int, candidates: DataFrame, kind: str = TEXT) -> FrameEngine:

@@ -54,7 +54,8 @@ def assembled_counts(page_texts: DataFrame) -> DataFrame:
     shuffled, combined map-side, and a document of any length is one small row.
     """
     counted = with_counts(
-        found_pages(page_texts).withColumn("_block", ocr.page_block(F.col("page_no"), F.col("text"))), "_block"
+        found_pages(page_texts).withColumn("_block", ocr.page_block(F.col("page_no"), F.col("text"))),
+        {"": "_block"},
     )
     sums = {c: F.sum(c) for c in Q.COUNTS}
     gaps = (F.count(F.lit(1)) - 1) * len(SEPARATOR)

@@ -63,11 +63,12 @@ def success_rate(converted: Column, total: Column) -> Column:
 
 def errors(results: DataFrame) -> DataFrame:
     """Every failed file with its error, `path, error`."""
-    return results.where(~F.col("success")).select(F.col("source_path").alias("path"), F.col("error_message").alias("error"))
+    failed = results.where(~F.col("success"))
+    return failed.select(F.col("source_path").alias("path"), F.col("error_message").alias("error"))
 
 
 def first_errors(error_rows: DataFrame, n: int = MAX_REPORTED_ERRORS) -> DataFrame:
-    """The first `n` errors by path."""
+    """The first `n` errors by path: a bounded heap per task, no full sort."""
     return error_rows.orderBy("path", "error").limit(n)
 
 

@@ -2,55 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import quality as Q
 
 
-def with_counts(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Add the raw counts of a text column, one plain column each."""
-    return df.withColumns({prefix + name: c for name, c in Q.text_counts(F.col(text_col)).items()})
+def with_expressions(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    return df.selectExpr(
+        *[f"`{c}`" for c in df.columns if c not in expressions], *[f"{e} AS `{n}`" for n, e in expressions.items()]
+    )
+
 
+def with_counts(df: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
+    """Add the raw counts of text columns, one plain column each; `texts` maps a column prefix to a text column.
 
-def with_scores(df: DataFrame, ext: str | Column = "ext", size: str | Column = "length", prefix: str = "") -> DataFrame:
-    """Add `accuracy`, `completeness` and `weighted_score` from counts that are already there.
+    The counts end in an observed row count, the one thing Catalyst does not push a filter through. Otherwise a later
+    `where` on a score would put every pattern into the filter again, several times over.
+    """
+    texts = texts or {"": "text"}
+    counts = {p + name: c for p, text in texts.items() for name, c in Q.text_counts(text).items()}
+    return with_expressions(df, counts).observe(f"scored-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
+def with_scores(df: DataFrame, ext: str = "ext", size: str = "length", prefixes: tuple[str, ...] = ("",)) -> DataFrame:
+    """Add the ratios, `accuracy`, `completeness` and `weighted_score` from counts that are already there.
 
     A text with no counts (null) or no paragraph (blank) scores zero.
     """
-    ext, size = (F.col(c) if isinstance(c, str) else c for c in (ext, size))
-    counts = counts_of(prefix)
-    blank = is_blank_count(prefix)
-    ratios = {prefix + "garbage_ratio": Q.garbage_ratio(counts), prefix + "chinese_ratio": Q.chinese_ratio(counts)}
-    garbage, chinese = F.col(prefix + "garbage_ratio"), F.col(prefix + "chinese_ratio")
-    acc, comp = F.col(prefix + "accuracy"), F.col(prefix + "completeness")
-    return (
-        df.withColumns(ratios)
-        .withColumns(
-            {
-                prefix + "accuracy": F.when(blank, 0.0).otherwise(Q.accuracy(counts, ext, garbage, chinese)),
-                prefix + "completeness": F.when(blank, 0.0).otherwise(Q.completeness(counts, ext, size)),
-            }
-        )
-        .withColumn(prefix + "weighted_score", Q.weighted(acc, comp))
-    )
+    ratios, scores, totals = {}, {}, {}
+    for p in prefixes:
+        ratios |= {p + "garbage_ratio": Q.garbage_ratio(p), p + "chinese_ratio": Q.chinese_ratio(p)}
+        for name, score in (("accuracy", Q.accuracy(ext, p)), ("completeness", Q.completeness(ext, size, p))):
+            scores[p + name] = f"CASE WHEN {Q.blank_counts(p)} THEN 0D ELSE {score} END"
+        totals[p + "weighted_score"] = Q.weighted(p)
+    return with_expressions(with_expressions(with_expressions(df, ratios), scores), totals)
 
 
 def score_quality(df: DataFrame, text_col: str = "text", ext_col: str = "ext", size_col: str = "length") -> DataFrame:
     """Add one `quality` struct column: the score of a text against its source's extension and size."""
     pre = "_q_"
-    scored = with_scores(with_counts(df, text_col, pre), ext_col, size_col, pre)
-    return scored.withColumn("quality", quality_column(pre)).select(*df.columns, "quality")
-
-
-def counts_of(prefix: str = "") -> dict[str, Column]:
-    return {name: F.col(prefix + name) for name in Q.COUNTS}
-
-
-def is_blank_count(prefix: str = "") -> Column:
-    return F.coalesce(F.col(prefix + "paragraph_count"), F.lit(0)) == 0
-
-
-def quality_column(prefix: str = "") -> Column:
-    score = (F.col(prefix + c) for c in ("accuracy", "completeness", "weighted_score"))
-    return Q.quality_struct(counts_of(prefix), *score, is_blank_count(prefix))
+    scored = with_scores(with_counts(df, {pre: text_col}), ext_col, size_col, (pre,))
+    return scored.selectExpr(*[f"`{c}`" for c in df.columns], f"{Q.quality_struct(pre)} AS quality")

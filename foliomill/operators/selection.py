@@ -9,15 +9,13 @@ Both forms end in the same wide row, one set of counts per engine:
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import quality as Q
-from foliomill.operators.engines import ColumnEngine, Engine, by_priority, empty_error, ocr_error, usable
-from foliomill.operators.scoring import quality_column, with_counts, with_scores
-from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
+from foliomill.operators.engines import ColumnEngine, Engine, by_priority, is_usable, ocr_fault
+from foliomill.operators.scoring import with_counts, with_expressions, with_scores
+from foliomill.schemas import MSG_EMPTY_RESULT, OCR_ENGINE, TEXT_ENGINE
 
 
 def _pre(engine: Engine) -> str:
@@ -26,99 +24,89 @@ def _pre(engine: Engine) -> str:
 
 def candidate_columns(files: DataFrame, engines: list[ColumnEngine], ocr_available: bool = True) -> DataFrame:
     """Add text, error and counts of each engine to routed file rows."""
-    texts, errors = {}, {}
+    texts, errors, usable = {}, {}, {}
     for e in engines:
-        runs, text = e.runs(), e.text()
+        p, runs = _pre(e), e.runs()
         if e.kind == "ocr":
-            fault = ocr_error(F.col("ocr_supported"), ocr_available)
-            texts[_pre(e) + "text"] = F.when(runs & fault.isNull(), text)
-            errors[_pre(e) + "error"] = F.when(runs, fault)
+            fault = ocr_fault(ocr_available)
+            runs, errors[p + "error"] = f"{runs} AND {fault} IS NULL", f"CASE WHEN {runs} THEN {fault} END"
         else:
-            texts[_pre(e) + "text"] = F.when(runs, text)
-            errors[_pre(e) + "error"] = F.when(runs, empty_error(F.col(_pre(e) + "text")))
-    wide = files.withColumns(texts).withColumns(errors)
-    for e in engines:
-        wide = with_counts(wide, _pre(e) + "text", _pre(e))
-        wide = wide.withColumn(_pre(e) + "usable", F.coalesce(usable(F.col(_pre(e) + "text")), F.lit(False)))
-    return wide
+            empty = f"{runs} AND NOT {is_usable(p + 'text')}"
+            errors[p + "error"] = f"CASE WHEN {empty} THEN '{MSG_EMPTY_RESULT}' END"
+        texts[p + "text"] = f"CASE WHEN {runs} THEN {e.text} END"
+        usable[p + "usable"] = is_usable(p + "text")
+    wide = with_expressions(with_expressions(files, texts), errors)
+    wide = with_counts(wide, {_pre(e): _pre(e) + "text" for e in engines})
+    return with_expressions(wide, usable)
 
 
 def candidate_counts(candidates: DataFrame, engines: list[Engine]) -> DataFrame:
     """One row per path from a long `path, engine, text, error[, seconds]` table; (path, engine) is its key."""
-    seconds = F.col("seconds") if "seconds" in candidates.columns else F.lit(None).cast("double")
-    counted = with_counts(candidates).withColumns(
-        {"usable": F.coalesce(usable(F.col("text")), F.lit(False)).cast("int"), "seconds": seconds}
-    )
+    seconds = "seconds" if "seconds" in candidates.columns else "cast(NULL AS double)"
+    counted = with_expressions(with_counts(candidates), {"usable": is_usable("text"), "seconds": seconds})
 
-    def of(e: Engine, column: str) -> Column:
-        return F.max(F.when(F.col("engine") == e.name, F.col(column)))
+    def of(e: Engine, column: str) -> str:
+        return f"max({column}) FILTER (WHERE engine = '{e.name}')"
 
     numbers = counted.groupBy("path").agg(
-        *[of(e, c).alias(_pre(e) + c) for e in engines for c in Q.COUNTS],
-        *[(F.coalesce(of(e, "usable"), F.lit(0)) == 1).alias(_pre(e) + "usable") for e in engines],
+        *[F.expr(f"{of(e, c)} AS {_pre(e)}{c}") for e in engines for c in Q.COUNTS],
+        *[F.expr(f"coalesce({of(e, 'usable')}, false) AS {_pre(e)}usable") for e in engines],
         F.sum("seconds").alias("_seconds"),
     )
     # Strings would turn the hash aggregation into a sort, so the (few) errors are reduced on their own.
     errors = (
-        candidates.where(F.col("error").isNotNull())
+        candidates.where("error IS NOT NULL")
         .groupBy("path")
-        .agg(*[of(e, "error").alias(_pre(e) + "error") for e in engines])
+        .agg(*[F.expr(f"{of(e, 'error')} AS {_pre(e)}error") for e in engines])
     )
     return numbers.join(errors, "path", "left")
 
 
-def choose(wide: DataFrame, engines: list[Engine], carry: tuple[str, ...] = ()) -> DataFrame:
+def choose(wide: DataFrame, engines: list[Engine], with_text: bool = False) -> DataFrame:
     """Results from wide candidate rows that also have `path, target_path, ext, length`."""
     ranked = by_priority(engines)
-    for e in ranked:
-        wide = with_scores(wide, prefix=_pre(e))
-    score = {e.name: F.when(F.col(_pre(e) + "usable"), F.col(_pre(e) + "weighted_score")) for e in ranked}
-    wide = wide.withColumns({f"_{name}_offer": s for name, s in score.items()})
-    offers = [F.col(f"_{e.name}_offer") for e in ranked]
-    best = F.greatest(*offers) if len(offers) > 1 else offers[0]
-    wide = wide.withColumn("_best", best)
-    wide = wide.withColumn(
-        "_tool", F.coalesce(*[F.when(o == F.col("_best"), F.lit(e.name)) for e, o in zip(ranked, offers)])
-    )
-
-    def of_winner(column) -> Column:
-        return reduce(lambda c, e: c.when(F.col("_tool") == e.name, column(e)), ranked, F).otherwise(F.lit(None))
-
-    errors = [
-        F.when(F.col(_pre(e) + "error") != "", F.concat(F.lit(f"{e.label}: "), F.col(_pre(e) + "error")))
-        for e in ranked
-    ]
-    names = {e.name for e in ranked}
-
-    def offer_of(name: str) -> Column:
-        return F.col(f"_{name}_offer") if name in names else F.lit(None).cast("double")
-
-    success = F.col("_tool").isNotNull()
-    n_usable = reduce(lambda a, b: a + b, [o.isNotNull().cast("int") for o in offers])
-    seconds = F.col("_seconds") if "_seconds" in wide.columns else F.lit(None).cast("double")
-    return wide.select(
-        F.col("path").alias("source_path"),
-        "target_path",
-        success.alias("success"),
-        F.coalesce("_tool", F.lit("")).alias("tool_used"),
-        F.when(success, "").otherwise(F.concat_ws("; ", *errors)).alias("error_message"),
-        F.col("length").alias("file_size_source"),
-        F.coalesce(of_winner(lambda e: F.col(_pre(e) + "byte_count")), F.lit(0).cast("bigint")).alias(
-            "file_size_target"
-        ),
-        seconds.alias("processing_time"),
-        of_winner(lambda e: quality_column(_pre(e))).alias("quality_score"),
-        offer_of(TEXT_ENGINE).alias("markitdown_score"),
-        offer_of(OCR_ENGINE).alias("ocr_score"),
-        (n_usable > 1).alias("contested"),
-        *[of_winner(lambda e: F.col(_pre(e) + "text")).alias("text") for c in carry if c == "text"],
-        *[c for c in carry if c != "text"],
-    )
-
-
-def select_in_row(files: DataFrame, engines: list[ColumnEngine], ocr_available: bool = True, carry=("text",)) -> DataFrame:
+    prefixes = tuple(_pre(e) for e in ranked)
+    wide = with_scores(wide, prefixes=prefixes)
+    wide = with_expressions(wide, {p + "offer": f"CASE WHEN {p}usable THEN {p}weighted_score END" for p in prefixes})
+    offers = [p + "offer" for p in prefixes]
+    best = f"greatest({', '.join(offers)})" if len(offers) > 1 else offers[0]
+    wide = with_expressions(wide, {"_best": best})
+    first_best = " ".join(f"WHEN {p}offer = _best THEN '{e.name}'" for e, p in zip(ranked, prefixes))
+    wide = with_expressions(wide, {"_tool": f"CASE {first_best} END"})
+
+    def of_winner(column: str) -> str:
+        return "CASE _tool " + " ".join(f"WHEN '{e.name}' THEN {_pre(e)}{column}" for e in ranked) + " END"
+
+    def offer_of(name: str) -> str:
+        return f"_{name}_offer" if name in {e.name for e in ranked} else "cast(NULL AS double)"
+
+    quality = " ".join(f"WHEN '{e.name}' THEN {Q.quality_struct(_pre(e))}" for e in ranked)
+    errors = ", ".join(f"'{e.label}: ' || nullif({p}error, '')" for e, p in zip(ranked, prefixes))
+    usable_engines = " + ".join(f"cast({p}usable AS int)" for p in prefixes)
+    columns = {
+        "source_path": "path",
+        "target_path": "target_path",
+        "success": "_tool IS NOT NULL",
+        "tool_used": "coalesce(_tool, '')",
+        "error_message": f"CASE WHEN _tool IS NULL THEN concat_ws('; ', {errors}) ELSE '' END",
+        "file_size_source": "length",
+        "file_size_target": f"coalesce({of_winner('byte_count')}, 0L)",
+        "processing_time": "_seconds" if "_seconds" in wide.columns else "cast(NULL AS double)",
+        "quality_score": f"CASE _tool {quality} END",
+        "markitdown_score": offer_of(TEXT_ENGINE),
+        "ocr_score": offer_of(OCR_ENGINE),
+        "contested": f"{usable_engines} > 1",
+    }
+    if with_text:
+        columns["text"] = of_winner("text")
+    return wide.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
+
+
+def select_in_row(
+    files: DataFrame, engines: list[ColumnEngine], ocr_available: bool = True, with_text: bool = True
+) -> DataFrame:
     """Results of expression engines over routed file rows, with the winning text."""
-    return choose(candidate_columns(files, engines, ocr_available), engines, tuple(carry))
+    return choose(candidate_columns(files, engines, ocr_available), engines, with_text)
 
 
 def select_from_candidates(
@@ -129,12 +117,12 @@ def select_from_candidates(
     Candidates of engines that should not run on a file are passed over, and files without candidates fail.
     """
     wide = files.join(candidate_counts(candidates, engines), "path", "left")
+    offered = {}
     for e in engines:
-        fault = ocr_error(F.col("ocr_supported"), ocr_available) if e.kind == "ocr" else F.lit(None).cast("string")
-        offered = F.coalesce(F.col(_pre(e) + "usable"), F.lit(False)) & e.runs() & fault.isNull()
-        error = F.when(e.runs(), F.coalesce(fault, F.col(_pre(e) + "error")))
-        wide = wide.withColumns({_pre(e) + "usable": offered, _pre(e) + "error": error})
-    return choose(wide, engines)
+        p, fault = _pre(e), ocr_fault(ocr_available) if e.kind == "ocr" else "cast(NULL AS string)"
+        offered[p + "error"] = f"CASE WHEN {e.runs()} THEN coalesce({fault}, {p}error) END"
+        offered[p + "usable"] = f"coalesce({p}usable, false) AND {e.runs()} AND {fault} IS NULL"
+    return choose(with_expressions(wide, offered), engines)
 
 
 def with_winning_text(results: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -104,16 +104,16 @@ def _web_rows(pages: DataFrame) -> DataFrame:
 ARTICLE = r"(?is)<article\b[^<>]*>(.*?)</article\s*>"
 
 
-def _article() -> Column:
-    return markup.html_to_markdown(F.regexp_extract("html", ARTICLE, 1))
+def _article() -> str:
+    return markup.html_to_markdown(f"regexp_extract(html, r'{ARTICLE}', 1)")
 
 
 def _web_engines() -> list[ColumnEngine]:
     """Three readings of a page; the last repeats the first where the page has no list, so ties occur."""
     return [
-        ColumnEngine(TEXT_ENGINE, 0, text=lambda: markup.html_to_markdown(F.col("html"))),
-        ColumnEngine(OCR_ENGINE, 1, text=lambda: markup.html_to_text(F.col("html"))),
-        ColumnEngine("article", 2, text=_article),
+        ColumnEngine(TEXT_ENGINE, 0, text=markup.html_to_markdown("html")),
+        ColumnEngine(OCR_ENGINE, 1, text=markup.html_to_text("html")),
+        ColumnEngine("article", 2, text=_article()),
     ]
 
 
@@ -169,12 +169,12 @@ def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return pages.select("page_id", markup.html_to_markdown(F.col("html")).alias("text"))
+    return pages.selectExpr("page_id", f"{markup.html_to_markdown('html')} AS text")
 
 
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return pages.select("page_id", markup.html_to_text(F.col("html")).alias("text"))
+    return pages.selectExpr("page_id", f"{markup.html_to_text('html')} AS text")
 
 
 def text_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,8 @@ def text_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.encode(F.col("text"), "UTF-8")
     broken = F.concat(content, F.lit(b"\xff\xc3"), F.encode(F.lit(" end"), "UTF-8"))
     content = F.when(F.col("doc_id") % 5 == 0, broken).otherwise(content)
-    return _table(spark, sf_dir, "documents").select("doc_id", markup.decode_text(content).alias("text"))
+    bytes_ = _table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return bytes_.selectExpr("doc_id", f"{markup.decode_text('content')} AS text")
 
 
 def isolated_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +289,7 @@ def _document_engines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
     )
     second = files.where(doc % 9 != 8).select(
         "path",
-        F.when(doc % 3 == 0, None).when(doc % 3 == 1, F.col("text")).otherwise(F.upper("text")).alias("text"),
+        F.when(doc % 3 == 0, None).when(doc % 3 == 1, F.col("text")).otherwise(F.replace("text", F.lit("e"), F.lit(""))).alias("text"),
         F.when(doc % 3 == 0, "RuntimeError: model failed").alias("error"),
     )
     return files, [table_engine(TEXT_ENGINE, 0, first), table_engine(OCR_ENGINE, 1, second, "ocr")]
@@ -431,7 +432,7 @@ def web_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     results, _ = convert_corpus(spark, _web_files(spark, sf_dir), _web_engines(), unique_targets=True)
-    return results.where("success").groupBy("tool_used").agg(F.count(F.lit(1)).alias("wins"))
+    return results.where(F.col("success")).groupBy("tool_used").agg(F.count(F.lit(1)).alias("wins"))
 
 
 def single_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,7 +493,7 @@ def export_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(
         F.col("stem").cast("bigint").alias("doc_id"), "rel_dir", "name", "ext", "length",
         F.substring("target_path", F.lit(len(root) + 1), F.length("target_path")).alias("target"),
-        markup.decode_text(F.col("content")).alias("text"),
+        F.expr(markup.decode_text("content")).alias("text"),
     )
 
 

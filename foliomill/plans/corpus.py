@@ -47,7 +47,7 @@ def convert_corpus(
         cached = targets.as_cached_results(targets.already_done(decided))
     routed = route(todo, ocr, prefer)
     if _all_columns(engines):
-        results = select_in_row(routed, engines, ocr, carry=())
+        results = select_in_row(routed, engines, ocr, with_text=False)
     else:
         results = select_from_candidates(_without_content(routed), run_engines(routed, engines, ocr), engines, ocr)
     if cached is not None:
@@ -61,11 +61,9 @@ def run_engines(routed: DataFrame, engines: list[Engine], ocr_available: bool =
     for e in engines:
         if not is_available(e) or (e.kind == "ocr" and not ocr_available):
             continue
-        runs = e.runs() & F.col("ocr_supported") if e.kind == "ocr" else e.runs()
-        chosen = routed.where(runs)
+        chosen = routed.where(f"{e.runs()} AND ocr_supported" if e.kind == "ocr" else e.runs())
         if isinstance(e, ColumnEngine):
-            text = chosen.select("path", e.text().alias("text"))
-            from_engine = text.withColumn("error", F.lit(None).cast("string"))
+            from_engine = chosen.selectExpr("path", f"{e.text} AS text", "cast(NULL AS string) AS error")
         else:
             from_engine = e.run(chosen)
         seconds = F.col("seconds") if "seconds" in from_engine.columns else F.lit(None).cast("double")
