@@ -23,7 +23,7 @@ BLOCK = (
     r"|figure|figcaption|address|fieldset|hr|h[1-6]|body|html)\b[^<>]*>"
 )
 NOT_A_LINK = r"(?i)</?(?:[b-z!?][^<>]*|a[a-z0-9][^<>]*)>"
-LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\x22\x27]?([^\x22\x27<>\s]*)[^<>]*>([^<]*)</a\s*>"
+LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\x22\x27]?([^\x22\x27<>\s]*+)[^<>]*+>([^<]*+)</a\s*>"
 ANY_TAG = r"(?i)</?[a-z!?][^<>]*>"
 BLANKS = r"[ \t\r\f]+"
 BLANK_AROUND_BREAK = r" ?\n ?"

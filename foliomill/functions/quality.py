@@ -82,10 +82,14 @@ def _sentence_marks(text: str, non_ascii: str) -> str:
 
 
 def _paragraphs(text: str) -> str:
-    """Non-blank pieces between blank lines."""
-    opened = _matches(text, rf"\n\n[{WS}]*[^{WS}]")
-    first = rf"CASE WHEN {text} rlike r'\A[{WS}]*\n\n' THEN 0L ELSE 1L END"
-    return f"CASE WHEN instr({text}, '\n\n') > 0 THEN {opened} + {first} ELSE 1L END"
+    """Pieces with text between blank lines, for a text that is not blank.
+
+    With a blank line added at the end, each piece is followed by one stretch of whitespace that holds a blank line. Such
+    stretches are matched whole and never given back, so long ones cost no more than their length.
+    """
+    breaks = _matches(rf"concat({text}, '\n\n')", rf"\n\n[{WS}]*+")
+    leading = rf"CASE WHEN {text} rlike r'\A[{WS}]*?\n\n' THEN 1L ELSE 0L END"
+    return rf"CASE WHEN instr({text}, '\n\n') > 0 THEN {breaks} - {leading} ELSE 1L END"
 
 
 def text_counts(text: str) -> dict[str, str]:
