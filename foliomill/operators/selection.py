@@ -83,12 +83,13 @@ def choose(wide: DataFrame, engines: list[Engine], with_text: bool = False) -> D
     quality = " ".join(f"WHEN '{e.name}' THEN {Q.quality_struct(_pre(e))}" for e in ranked)
     errors = ", ".join(f"'{e.label}: ' || nullif({p}error, '')" for e, p in zip(ranked, prefixes))
     usable_engines = " + ".join(f"cast({p}usable AS int)" for p in prefixes)
+    success = "(" + " OR ".join(p + "usable" for p in prefixes) + ")"  # needs no scores, so error lists compute none
     columns = {
         "source_path": "path",
         "target_path": "target_path",
-        "success": "_tool IS NOT NULL",
+        "success": success,
         "tool_used": "coalesce(_tool, '')",
-        "error_message": f"CASE WHEN _tool IS NULL THEN concat_ws('; ', {errors}) ELSE '' END",
+        "error_message": f"CASE WHEN NOT {success} THEN concat_ws('; ', {errors}) ELSE '' END",
         "file_size_source": "length",
         "file_size_target": f"coalesce({of_winner('byte_count')}, 0L)",
         "processing_time": "_seconds" if "_seconds" in wide.columns else "cast(NULL AS double)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
@@ -22,12 +22,11 @@ def attach_group_extreme(
     """Add to each row the minimum (or maximum) of `value` over the rows with its `key`, split over `salts` tasks a key.
 
     A window over `key` would bring all rows of a hot key to one task, and so would a plain join back. Here rows meet
-    on (key, salt): extremes are taken per pair with map-side combining, reduced per key over at most `salts` rows,
-    and joined back on the pair, so no task sees more than about a 1/`salts` share of a key. Rows with a null key get
+    on (key, salt): extremes are taken per pair with map-side combining, spread over the at most `salts` rows of a
+    key, and joined back on the pair, so no task sees more than about a 1/`salts` share of a key. Rows with a null key get
     a null.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
     per_salt = salted.where(F.col(key).isNotNull()).groupBy(key, "_salt").agg(extreme(value).alias("_part"))
-    per_key = per_salt.groupBy(key).agg(extreme(F.col("_part")).alias(name))
-    extremes = per_salt.drop("_part").join(per_key, key)
-    return salted.join(extremes, [key, "_salt"], "left").drop("_salt")
+    per_key = extreme(F.col("_part")).over(Window.partitionBy(key))
+    return salted.join(per_salt.select(key, "_salt", per_key.alias(name)), [key, "_salt"], "left").drop("_salt")

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliomill.operators.skew import attach_group_extreme
 
 ROWS_PER_PART = 10_000
 
 
-def cell(value: Column) -> Column:
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    one_line = F.regexp_replace(text, F.lit(r"\r\n|\r|\n"), F.lit(" "))
-    return F.replace(one_line, F.lit("|"), F.lit("\\|"))
+def cell(df: DataFrame, column: str) -> Column:
+    """A value as it stands in a pipe table. Only strings can hold a pipe or a line break."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    if isinstance(df.schema[column].dataType, T.StringType):
+        for old, new in (("\r\n", " "), ("\n", " "), ("\r", " "), ("|", "\\|")):
+            text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def pipe_row(cells: list[Column]) -> Column:
@@ -35,9 +39,11 @@ def rows_to_markdown(
     a part. Positions are unique within a key.
     """
     pos = F.col(position).cast("bigint")
-    rows = df.select(key, pos.alias("_pos"), F.lit(1).alias("_rank"), pipe_row([cell(F.col(c)) for c in columns]).alias("_line"))
+    line = pipe_row([cell(df, c) for c in columns])
+    rows = df.select(key, pos.alias("_pos"), F.lit(1).alias("_rank"), line.alias("_line"))
     # Heading and rule enter as one more row next to each key's first; its position is a map-side combined minimum.
-    extra, rank = ("\n".join([_literal_row(columns), rule_row(len(columns))]), 0) if header else (rule_row(len(columns)), 2)
+    rule = rule_row(len(columns))
+    extra, rank = (_literal_row(columns) + "\n" + rule, 0) if header else (rule, 2)
     firsts = df.groupBy(key).agg(F.min(pos).alias("_pos"))
     marks = firsts.select(key, "_pos", F.lit(rank).alias("_rank"), F.lit(extra).alias("_line"))
     return (

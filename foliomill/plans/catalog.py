@@ -77,8 +77,12 @@ def _varied_text() -> Column:
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Varied documents with an extension and a source size."""
+    return _varied(spread(_table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def _varied(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
-    return spread(_table(spark, sf_dir, "documents"), "doc_id").select(
+    return documents.select(
         "doc_id",
         "lang",
         _varied_text().alias("text"),
@@ -272,24 +276,20 @@ def select_best_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_engines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     """Documents as files with two outside engines: texts missing, empty, blank, or tied, by id."""
-    docs = _texts(spark, sf_dir)
-    doc = F.col("doc_id")
-    files = docs.select(
-        F.concat(F.lit("/in/"), doc.cast("string"), "ext").alias("path"),
-        F.concat(F.lit(OUT + "/"), F.floor(doc / 2).cast("string"), F.lit(".md")).alias("target_path"),
-        "ext",
-        "length",
-        "doc_id",
-        "text",
-    )
-    first = files.select(
-        "path",
-        F.when(doc % 5 == 0, None).when(doc % 5 == 1, "").otherwise(F.col("text")).alias("text"),
+    doc, text = F.col("doc_id"), F.col("text")
+    path = F.concat(F.lit("/in/"), doc.cast("string"), "ext").alias("path")
+    target = F.concat(F.lit(OUT + "/"), F.floor(doc / 2).cast("string"), F.lit(".md")).alias("target_path")
+    files = _varied(_table(spark, sf_dir, "documents")).select(path, target, "ext", "length")
+    texts = _texts(spark, sf_dir)
+    first = texts.select(
+        path,
+        F.when(doc % 5 == 0, None).when(doc % 5 == 1, "").otherwise(text).alias("text"),
         F.when(doc % 10 == 0, "ValueError: no text layer").when(doc % 5 == 1, "转换结果为空").alias("error"),
     )
-    second = files.where(doc % 9 != 8).select(
-        "path",
-        F.when(doc % 3 == 0, None).when(doc % 3 == 1, F.col("text")).otherwise(F.replace("text", F.lit("e"), F.lit(""))).alias("text"),
+    thinned = F.replace(text, F.lit("e"), F.lit(""))
+    second = texts.where(doc % 9 != 8).select(  # the second system has never seen these files
+        path,
+        F.when(doc % 3 == 0, None).when(doc % 3 == 1, text).otherwise(thinned).alias("text"),
         F.when(doc % 3 == 0, "RuntimeError: model failed").alias("error"),
     )
     return files, [table_engine(TEXT_ENGINE, 0, first), table_engine(OCR_ENGINE, 1, second, "ocr")]
@@ -297,7 +297,7 @@ def _document_engines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
 
 def _document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, engines = _document_engines(spark, sf_dir)
-    results, _ = convert_corpus(spark, files.drop("doc_id", "text"), engines, unique_targets=True)
+    results, _ = convert_corpus(spark, files, engines, unique_targets=True)
     return results
 
 
@@ -316,9 +316,8 @@ def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No OCR set up and the text engine preferred: images fail with the OCR's own error."""
     files, engines = _document_engines(spark, sf_dir)
-    results, _ = convert_corpus(
-        spark, files.drop("doc_id", "text"), [engines[0], missing_ocr()], prefer="markitdown", unique_targets=True
-    )
+    engines = [engines[0], missing_ocr()]
+    results, _ = convert_corpus(spark, files, engines, prefer="markitdown", unique_targets=True)
     return results.select("source_path", "success", "tool_used", "error_message")
 
 
@@ -419,9 +418,8 @@ def _flat_stats(stats: DataFrame) -> DataFrame:
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of a run over documents: two outside engines, colliding targets, an earlier run."""
     files, engines = _document_engines(spark, sf_dir)
-    meta = files.drop("doc_id", "text")
-    earlier = meta.where(F.length("path") % 3 == 0).select("target_path", F.lit(True).alias("success"))
-    _, stats = convert_corpus(spark, meta, engines, existing=earlier)
+    earlier = files.where(F.length("path") % 3 == 0).select("target_path", F.lit(True).alias("success"))
+    _, stats = convert_corpus(spark, files, engines, existing=earlier)
     return _flat_stats(stats)
 
 
@@ -442,7 +440,7 @@ def single_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, engines = _document_engines(spark, sf_dir)
-    _, stats = convert_corpus(spark, files.drop("doc_id", "text"), engines, unique_targets=True)
+    _, stats = convert_corpus(spark, files, engines, unique_targets=True)
     return report.report_json(stats, "/in", OUT, timestamp=F.lit("2024-01-01T00:00:00"))
 
 
@@ -453,7 +451,7 @@ def convert_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run with outside engines through written tables; the winning texts come back with the results."""
     files, engines = _document_engines(spark, sf_dir)
     out = work_folder(spark, "convert")
-    convert_to_tables(files.drop("doc_id", "text"), engines, out)
+    convert_to_tables(files, engines, out)
     texts = read_results(spark, out, texts=True)
     return texts.select("source_path", "target_path", "success", "tool_used", F.md5("text").alias("text_md5"))
 

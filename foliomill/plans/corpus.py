@@ -115,7 +115,7 @@ def convert_to_tables(
         converted = select_in_row(routed, engines, ocr)
     else:
         candidates = _written(run_engines(routed, engines, ocr), "candidates")
-        chosen = _written(select_from_candidates(_without_content(routed), candidates, engines, ocr), "chosen")
+        chosen = select_from_candidates(_without_content(routed), candidates, engines, ocr)
         converted = with_winning_text(chosen, candidates)
     rows = converted.unionByName(targets.as_cached_results(cached), allowMissingColumns=True)
     rows.write.mode("overwrite").parquet(f"{out}/converted/batch_id={batch_id}")

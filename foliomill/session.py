@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_NO_ESTIMATE = 1 << 62
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings a configured session."""
     return (
@@ -49,7 +52,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * split:
+    unknown = size >= _NO_ESTIMATE  # a stream's micro-batch: go by its partitions
+    if df.rdd.getNumPartitions() >= cores if unknown else size >= cores * split:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
