@@ -16,6 +16,7 @@ from foliomill.schemas import (
     SUPPORTED_EXTENSIONS,
 )
 from foliomill.sources.files import manifest, scan_files
+from foliomill.sources.walk import read_contents, walk_files
 
 __all__ = [
     "CANDIDATES",
@@ -31,8 +32,10 @@ __all__ = [
     "convert_to_tables",
     "isolated_engine",
     "manifest",
+    "read_contents",
     "register_engine",
     "registered_engines",
     "scan_files",
     "score_quality",
+    "walk_files",
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +31,13 @@ def convert_corpus(
     output_dir: str | None = None,
     ocr_available: bool | None = None,
     unique_targets: bool = False,
+    load: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Lazy `(results, stats)` of a file table with `path, ext, length`, and `target_path` or `rel_dir, stem`.
 
     `existing` is an earlier results table. `unique_targets` states that no two files share a target; a first run of
-    expression engines is then one narrow stage without any shuffle. Use `convert_to_tables` to also keep the texts.
+    expression engines is then one narrow stage without any shuffle. `load` (such as `read_contents`) adds what engines
+    read to the files that are left to convert. Use `convert_to_tables` to also keep the texts.
     """
     files = _targeted(files_df, output_dir, preserve_structure)
     ocr = _ocr_available(engines, ocr_available)
@@ -45,7 +48,7 @@ def convert_corpus(
         decided = targets.decide(files.select(*METADATA), seen)
         todo = files.join(targets.pending(decided).select("path"), "path", "left_semi")
         cached = targets.as_cached_results(targets.already_done(decided))
-    routed = route(todo, ocr, prefer)
+    routed = route(load(todo) if load else todo, ocr, prefer)
     if _all_columns(engines):
         results = select_in_row(routed, engines, ocr, with_text=False)
     else:
@@ -86,9 +89,12 @@ def convert_to_tables(
     prefer: str = "auto",
     ocr_available: bool | None = None,
     input_dir: str = "",
+    load: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run a batch and write it below `output_dir`; returns `(results, stats)` read back from there.
 
+    `load` (such as `read_contents`) adds what engines read to the files that are left to convert.
+
     * `converted/batch_id=N`: results with the winning text; running a batch again replaces it, so retries are safe.
     * `counters/batch_id=N`, `errors/batch_id=N`: what the running report is added up from.
     * `conversion_report.json`: the report over all batches.
@@ -111,10 +117,11 @@ def convert_to_tables(
     else:
         todo = files.join(cached.select("path"), "path", "left_anti")
     routed = route(todo, ocr, prefer)
+    loaded = load(routed) if load else routed
     if _all_columns(engines):
-        converted = select_in_row(routed, engines, ocr)
+        converted = select_in_row(loaded, engines, ocr)
     else:
-        candidates = _written(run_engines(routed, engines, ocr), "candidates")
+        candidates = _written(run_engines(loaded, engines, ocr), "candidates")
         chosen = select_from_candidates(_without_content(routed), candidates, engines, ocr)
         converted = with_winning_text(chosen, candidates)
     rows = converted.unionByName(targets.as_cached_results(cached), allowMissingColumns=True)
