@@ -26,8 +26,13 @@ def claim_targets(files: DataFrame, last: bool = False) -> DataFrame:
 
 
 def existing_targets(results: DataFrame) -> DataFrame:
-    """Target paths that an earlier results table has produced, each once."""
-    return results.where("success").select("target_path").distinct()
+    """Target paths that an earlier results table has produced; skipped files name theirs again."""
+    return results.where("success").select("target_path")
+
+
+def met_by(existing: DataFrame, files: DataFrame) -> DataFrame:
+    """The existing targets that `files` name: for a small batch against a large table, which then is not shuffled."""
+    return existing.join(files.select("target_path").distinct(), "target_path", "left_semi")
 
 
 def decide(files: DataFrame, existing: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
@@ -44,7 +49,7 @@ def decide(files: DataFrame, existing: DataFrame | None = None, overwrite: bool
     # Only owners can match, so each target occurs once on this side; the others get a key of their own, never a
     # target's, and spread evenly.
     probe = F.when(F.col("owns_target"), F.col("target_path")).otherwise(F.concat(F.lit("\0"), F.col("path")))
-    there = existing.select(F.col("target_path").alias("_probe"), F.lit(True).alias("_there"))
+    there = existing.select(F.col("target_path").alias("_probe"), F.lit(True).alias("_there")).distinct()
     action = F.when(F.col("owns_target") & F.col("_there").isNull(), CONVERT).otherwise(CACHED)
     return owned.withColumn("_probe", probe).join(there, "_probe", "left").withColumn("action", action).drop(*_CLAIM)
 

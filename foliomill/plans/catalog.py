@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import markup, ocr
 from foliomill.functions import quality as Q
+from foliomill.functions.paths import target_path
 from foliomill.operators import pages as P
 from foliomill.operators import report, tables, targets
 from foliomill.operators.engines import ColumnEngine, isolated_engine, missing_ocr, table_engine
@@ -22,7 +23,7 @@ from foliomill.operators.selection import select_from_candidates, select_in_row
 from foliomill.plans.corpus import convert_corpus, convert_to_tables, read_results, run_engines, running_stats
 from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
 from foliomill.session import spread, work_folder
-from foliomill.sources.files import manifest, scan_files
+from foliomill.sources.files import default_output_dir, manifest, scan_files
 from foliomill.sources.sinks import export_texts
 from foliomill.streaming.incremental import convert_stream
 
@@ -135,10 +136,9 @@ def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = manifest(_listing(spark, sf_dir), ROOT, exclude_patterns=["SRC7/", ".png"])
-    flat = manifest(_listing(spark, sf_dir), ROOT, preserve_structure=False)
-    return files.select("doc_id", "path", "rel_dir", "name", "stem", "ext", "length", "target_path").join(
-        flat.select("doc_id", F.col("target_path").alias("flat_target_path")), "doc_id"
-    )
+    flat = target_path(default_output_dir(ROOT), F.col("rel_dir"), F.col("stem"), preserve_structure=False)
+    columns = ("doc_id", "path", "rel_dir", "name", "stem", "ext", "length", "target_path")
+    return files.select(*columns, flat.alias("flat_target_path"))
 
 
 def extension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,8 @@ def isolated_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown table per order."""
     columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
-    return tables.rows_to_markdown(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", columns)
+    lines = spread(_table(spark, sf_dir, "lineitem").select("l_orderkey", *columns), "l_orderkey")
+    return tables.rows_to_markdown(lines, "l_orderkey", "l_linenumber", columns)
 
 
 def table_to_markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,12 @@ from foliomill.operators import report, targets
 from foliomill.operators.engines import ColumnEngine, Engine, is_available
 from foliomill.operators.routing import route
 from foliomill.operators.selection import select_from_candidates, select_in_row, with_winning_text
-from foliomill.session import work_folder
+from foliomill.session import estimated_bytes, work_folder
 from foliomill.sources.sinks import write_report
 
 METADATA = ("path", "target_path", "length")
+ROUTING = ("ext", "page_count")
+SMALL_BATCH = 10  # a batch this many times smaller than the table of earlier targets
 CANDIDATE_COLUMNS = "path string, engine string, text string, error string, seconds double"
 
 
@@ -99,20 +101,28 @@ def convert_to_tables(
     * `counters/batch_id=N`, `errors/batch_id=N`: what the running report is added up from.
     * `conversion_report.json`: the report over all batches.
 
-    Targets of other batches count as existing. What to convert is decided on paths alone and written out first, so
-    the decision is made once; the contents then meet the smaller of its two sides, which Spark broadcasts only if
-    the written size allows. Outside engines' texts are written once, too, before they are scored and chosen from.
+    Targets of other batches count as existing. The file list and what to convert of it are written out first, so that
+    listing and decision are made once and on paths alone. With `load`, contents are read for the files to convert and
+    joined to nothing; contents that are in `files_df` already meet the smaller of the decision's two sides, which Spark
+    broadcasts only if its written size allows. Outside engines' texts are written once before they are scored.
     """
     spark, started, out = files_df.sparkSession, time.time(), output_dir.rstrip("/")
     files = _targeted(files_df, output_dir, preserve_structure)
     ocr = _ocr_available(engines, ocr_available)
     earlier = None if overwrite else read_results(spark, out)
     existing = None if earlier is None else targets.existing_targets(earlier.where(F.col("batch_id") != batch_id))
-    decision = _written(targets.decide(files.select(*METADATA), existing, overwrite), "decision")
+    known = [c for c in files.columns if c in ROUTING]
+    listed = _written(files.select(*METADATA, *known), "files")
+    if existing is not None and estimated_bytes(listed) * SMALL_BATCH < estimated_bytes(existing):
+        existing = targets.met_by(existing, listed)
+    decision = _written(targets.decide(listed, existing, overwrite), "decision")
     convert, cached = targets.pending(decision), targets.already_done(decision)
-    if cached.isEmpty():
+    n = {r["action"]: r["count"] for r in decision.groupBy("action").count().collect()}  # two rows at most
+    if load:
+        todo = convert.drop("action")
+    elif not n.get(targets.CACHED):
         todo = files
-    elif convert.count() <= cached.count():
+    elif n.get(targets.CONVERT, 0) <= n[targets.CACHED]:
         todo = files.join(convert.select("path"), "path", "left_semi")
     else:
         todo = files.join(cached.select("path"), "path", "left_anti")

@@ -51,13 +51,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = estimated_bytes(df)
     unknown = size >= _NO_ESTIMATE  # a stream's micro-batch: go by its partitions
     if df.rdd.getNumPartitions() >= cores if unknown else size >= cores * split:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, from file sizes and schemas; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def _bytes(setting: str) -> int:
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     digits = setting.lower().removesuffix("b")
