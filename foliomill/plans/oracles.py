@@ -336,7 +336,7 @@ flat AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN '/markdown/index.md' ELSE '/
 SELECT path, target_path, first_value(path) OVER w AS target_owner, row_number() OVER w = 1 AS owns_target
 FROM flat WINDOW w AS (PARTITION BY target_path ORDER BY path DESC)""",
     "skip_existing": f"""WITH {FILES},
-there AS (SELECT DISTINCT target_path FROM files WHERE length(stem) % 2 = 0 AND ext <> '.csv')
+there AS (SELECT DISTINCT target_path FROM files WHERE ext = '.pdf')
 SELECT path, target_path, length, CASE WHEN target_path IN (SELECT target_path FROM there)
  OR row_number() OVER (PARTITION BY target_path ORDER BY path) > 1 THEN 'cached' ELSE 'convert' END AS action FROM files""",
     "ocr_lines_new": "SELECT conv_id, turn, CASE WHEN turn % 5 IN (2, 3) THEN '' ELSE text END AS text FROM conversations",
@@ -353,7 +353,7 @@ src AS (
 SELECT k AS path, char_count, sentence_count, paragraph_count, round(accuracy, 6) AS accuracy,
  round(completeness, 6) AS completeness, round(weighted_score, 6) AS weighted_score FROM scores""",
     "batch_stats": f"""WITH {DOC_CANDIDATES},
-there AS (SELECT DISTINCT target_path FROM files WHERE length(path) % 3 = 0),
+there AS (SELECT DISTINCT target_path FROM files WHERE ext = '.docx'),
 marked AS (
  SELECT *, target_path IN (SELECT target_path FROM there)
   OR row_number() OVER (PARTITION BY target_path ORDER BY source_path) > 1 AS cached FROM results),
