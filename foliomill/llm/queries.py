@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.llm.packing import pack_documents
 from foliomill.llm.near_dedup import near_duplicates
 from foliomill.llm.quality_rules import quality_rules
 from foliomill.llm.substring import remove_repeats
 from foliomill.llm.tables import table
 
+PACKING_VOCABULARY = "word_bpe_49k.json"
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
+
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
@@ -29,7 +38,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_substring_dedup, op5_near_dedup, op8_quality_rules)
+    f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op8_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
