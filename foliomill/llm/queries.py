@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.llm import language
 from foliomill.llm.packing import pack_documents
 from foliomill.llm.near_dedup import near_duplicates
 from foliomill.llm.quality_rules import quality_rules
 from foliomill.llm.substring import remove_repeats
 from foliomill.llm.tables import table
 
+LANGUAGE_VOCABULARY = "piece_bpe_32k.model"
 PACKING_VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    labelled = docs.where("not held_out").select(F.col("doc_id").alias("id"), "lang", "text")
+    model = language.learn(labelled, public_tokenizers.path(LANGUAGE_VOCABULARY))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +50,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op8_quality_rules)
+    f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op8_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
