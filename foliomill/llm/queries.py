@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import language
+from foliomill.llm import language, mil
+from foliomill.llm.decontaminate import contaminated
 from foliomill.llm.packing import pack_documents
 from foliomill.llm.near_dedup import near_duplicates
 from foliomill.llm.quality_rules import quality_rules
 from foliomill.llm.substring import remove_repeats
 from foliomill.llm.tables import table
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LANGUAGE_VOCABULARY = "piece_bpe_32k.model"
 PACKING_VOCABULARY = "word_bpe_49k.json"
 
@@ -49,8 +54,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select(*columns)
 
 
+def _training_row(modulus: int, held_out: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out, F.lit(False))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> mil.Model | None:
+    """Learnt from the labelled documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(_training_row(3, 1)).select("doc_id", F.col("quality").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mil.learn(docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (~_training_row(3, 1)).alias("held_out"), "text")
+    return mil.score(docs, quality_model(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op8_quality_rules)
+    f.__name__: f for f in (
+        op1_decontamination, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op8_quality_rules,
+        op9_quality_classifier,
+    )
 }
 
 ORACLES: dict[str, str] = {}
