@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.session import work_folder
 
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_DEFAULT = "10000"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Texts go to Python in batches of `BATCH_ROWS` rows unless the session has its own setting."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
