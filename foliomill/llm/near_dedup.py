@@ -9,9 +9,11 @@ having fewer than `MATCHES` shared values, drop out with them.
 
 Lists are not expanded into all pairs. First every class is paired with one member of its lists, the smallest id it
 meets most often; then, with what is linked so far as labels, each list's members are paired with the list's smallest id
-where labels differ; last, all remaining pairs of different labels in a list are made, from the members outside the
-list's most frequent label. Pairs with one label cannot change a class, so none that matters is left out. Every pair
-is confirmed on the full shingle sets before it links.
+where labels differ. For what then still lies in lists of several labels, shingles are counted: a class that shares too
+few of its shingles with any other cannot link and leaves. The others are merged by the same prefix rule once more, now on
+the lists of their full sets, which tells near misses apart, and all pairs of different labels in a list are made, from the
+members outside the list's most frequent label. Pairs with one label cannot change a class, so none that matters is
+left out. Every pair is confirmed on the full shingle sets before it links.
 
 With 64 coordinates and 32 matches a pair of similarity 0.8 is missed with a probability of about 1.5e-8.
 """
@@ -162,16 +164,63 @@ def _centre_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     return _sized(pairs, percent).select("a", "b").distinct()
 
 
-def _rest_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different labels in a list: members outside its most frequent label against all members."""
+def _shingle_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = np.frombuffer(zstandard.decompress(batch.column(1)[i].as_py()), dtype=np.uint8)
+                found = next(shingle_sets(data, np.array([0, len(data)]), width)).view(np.int64)
+                ids = batch.column(0).take(pa.array(np.full(len(found), i)))
+                yield pa.RecordBatch.from_arrays([pa.array(found), ids], ["shingle", "id"])
+
+    return run
+
+
+def _linkable(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of `members` (id, n, label) those that enough shared shingles leave a partner among them, with that number `most`.
+
+    A shingle that only one member has is in no intersection, so an intersection has at most `most` shingles.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    shingles = texts.join(members, "id", "left_semi").mapInArrow(_shingle_rows(width), f"shingle long, id {kind}")
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("held"), F.min("id").alias("id")).where("held = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    most = F.col("n") - F.coalesce("alone", F.lit(0))
+    return members.join(alone, "id", "left").select("id", "n", "label", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * percent)
+
+
+def _set_postings(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (key, id, n, label, most): members under the shortest of the lists of their full sets, by the prefix rule."""
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.join(rest, "id", "left_semi").mapInArrow(_shingle_rows(width), f"shingle long, id {kind}")
+    rows = written(rows, "near-shingles")
+    lengths = rows.groupBy("shingle").agg(F.count("*").alias("length")).where("length > 1")
+    own = Window.partitionBy("id")
+    needed = F.floor((F.col("n") * percent + 99) / 100)
+    return (
+        rows.join(lengths, "shingle")
+        .withColumn("shared", F.count("*").over(own))
+        .withColumn("place", F.row_number().over(own.orderBy("length", "shingle")))
+        .join(rest.drop("most"), "id")
+        .where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - needed + 1)
+        .select(F.col("shingle").alias("key"), "id", "n", "label", F.col("shared").alias("most"))
+    )
+
+
+def _several(labelled: DataFrame) -> DataFrame:
+    """Postings of lists with more than one label, and the most frequent label of each."""
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
     major = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label")).alias("m")).where("labels > 1")
-    several = labelled.join(major.select("key", F.col("m.label").alias("major")), "key")
-    minor = several.where("label != major").alias("x")
+    return labelled.join(major.select("key", F.col("m.label").alias("major")), "key")
+
+
+def _rest_pairs(several: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different labels in a list: members outside its most frequent label against all members."""
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
     on &= (F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
-    on &= F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    pairs = minor.join(several.alias("y"), on)
+    common = F.least("x.most", "y.most")
+    on &= common * 100 >= (F.col("x.n") + F.col("y.n") - common) * percent
+    pairs = several.where("label != major").alias("x").join(several.alias("y"), on)
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -217,7 +266,10 @@ def near_duplicates(
     second = confirmed(_centre_pairs(labelled, percent).join(first, ["a", "b"], "left_anti"))
     labelled = _labelled(postings, labels_of(first, second))
     tried = first.union(second)
-    third = confirmed(_rest_pairs(labelled, percent).join(tried, ["a", "b"], "left_anti"))
+    members = written(_several(labelled).select("id", "n", "label").distinct(), "near-members")
+    rest = written(_linkable(members, texts, width, percent), "near-rest")
+    again = written(_set_postings(rest, texts, width, percent), "near-again")
+    third = confirmed(_rest_pairs(_several(again), percent).join(tried, ["a", "b"], "left_anti"))
     labels = labels_of(first, second, third)
 
     named = features.select("id", "n", "low", "high").join(by_set, ["n", "low", "high"], "left")
