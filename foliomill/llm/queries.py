@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from foliomill.llm import language, mil
 from foliomill.llm.decontaminate import contaminated
+from foliomill.llm.licenses import known_digests, license_scan
 from foliomill.llm.packing import pack_documents
 from foliomill.llm.near_dedup import near_duplicates
 from foliomill.llm.quality_rules import quality_rules
 from foliomill.llm.substring import remove_repeats
 from foliomill.llm.tables import table
+from foliomill.llm.warc import archive_pages
+from foliomill.llm.wrapper import extract_text
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -48,6 +51,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archived = archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return archived.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
@@ -70,10 +82,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.score(docs, quality_model(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op8_quality_rules,
-        op9_quality_classifier,
+        op1_decontamination, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op6_warc,
+        op7_wrapper_induction, op8_quality_rules, op9_quality_classifier, op10_license_scan,
     )
 }
 
