@@ -44,9 +44,9 @@ def _encoded(encoder, column: pa.Array) -> Iterator[bytes]:
 
 def _pieces_of(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from foliomill.llm.subwords import WordIds
+        from foliomill.llm.subwords import word_ids
 
-        encoder = WordIds(path)
+        encoder = word_ids(path)
         end = EOS.to_bytes(4, "little")
         for batch in batches:
             owner, out = [], []

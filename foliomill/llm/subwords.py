@@ -9,11 +9,12 @@ special tokens in them, go to `tokenizers` itself.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 import regex
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _PLAIN = regex.compile(r"[!-~À-įı-ɏ]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _END = "\0"
@@ -101,3 +102,9 @@ class WordIds:
             else b"".join([known[w] for w in words])
             for t, words in zip(texts, split, strict=True)
         ]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One encoder for all tasks that a Python worker runs, with the words it has learnt."""
+    return WordIds(path)
