@@ -13,6 +13,7 @@ White space, ASCII digits and ASCII punctuation part words; words are lower-case
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,15 @@ SMOOTHING = 0.05
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
 MAX_LANGUAGES = 1000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 LONG_WORD = 48
 _MARK = "▁"
-_PARTING = {c: " " for c in range(128) if not chr(c).isalpha()}
+_PARTING = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+_GROUP_CHARS = 1 << 20
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().translate(_PARTING).split()
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").translate(_PARTING).split()
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -54,6 +56,7 @@ class Lattice:
         self.longest = max(map(len, pieces), default=1)
         self.unknown = len(pieces)  # a single character that is no piece
         self.none = len(pieces) + 1  # no piece: probability 0
+        self.steps = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.index  # -1: only the start of a piece
 
     def table(self, probabilities: np.ndarray) -> np.ndarray:
         """Rows of `probabilities` (pieces, languages) with those of the two further indices."""
@@ -62,15 +65,25 @@ class Lattice:
 
     def arcs(self, marked: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """For words of one length: the piece index of each span (i, j) of every word, where any word has one."""
-        n, found, none = len(marked[0]), {}, self.none
-        get = self.index.get
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                other = self.unknown if j - i == 1 else none
-                spans = [get(w[i:j], other) for w in marked]
-                if other != none or any(s != none for s in spans):
-                    found[i, j] = np.array(spans)
-        return found
+        n, many, longest, get = len(marked[0]), len(marked), self.longest, self.steps.get
+        places, values = [], []
+        for k, w in enumerate(marked):
+            for i in range(n):
+                place = i * longest * many + k
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    piece = get(w[i:j])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        places.append(place)
+                        values.append(piece)
+                    place += many
+        spans = np.full(n * longest * many, self.none)
+        spans.reshape(n, longest, many)[:, 0] = self.unknown
+        spans[places] = values
+        spans = spans.reshape(n, longest, many)
+        used = (spans != self.none).any(axis=2)
+        return {(int(i), int(i + d + 1)): spans[i, d] for i, d in zip(*np.nonzero(used), strict=True) if i + d < n}
 
     def forward(self, arcs: dict, n: int, at) -> tuple[np.ndarray, np.ndarray]:
         """Forward sums of every position and the logarithm of what they were scaled by; `at` gives an arc's probabilities."""
@@ -100,7 +113,7 @@ class Lattice:
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
         for n, rows in by_length.items():
-            block = max(1, min(4096, (1 << 21) // (n + 2) // table.shape[1]))
+            block = max(1, min(2048, (1 << 20) // ((n + 2) * max(table.shape[1], self.longest))))
             for low in range(0, len(rows), block):
                 some = rows[low : low + block]
                 alpha, scale = self.forward(self.arcs([_MARK + words[k] for k in some]), n + 1, lambda a: table[a])
@@ -116,8 +129,8 @@ class Lattice:
             if len(w) < LONG_WORD:
                 by_length.setdefault(len(w), []).append(k)
         for n, rows in by_length.items():
-            for low in range(0, len(rows), 4096):
-                some = np.array(rows[low : low + 4096])
+            for low in range(0, len(rows), 1024):
+                some = np.array(rows[low : low + 1024])
                 own = languages[some]
                 arcs = self.arcs([_MARK + words[k] for k in some])
                 p = {span: table[a, own] for span, a in arcs.items()}
@@ -134,13 +147,13 @@ class Lattice:
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[tuple[str, bytes], int] = {}
         for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in words_of(text or ""):
                 counts[language, w] = counts.get((language, w), 0) + 1
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array(counts.values(), pa.int64())],
             ["lang", "word", "n"],
         )
 
@@ -190,36 +203,73 @@ def learn(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_DOCUMENTS,
     return languages, pieces, probabilities
 
 
-def _predict(languages: list[str], pieces: list[str], probabilities: np.ndarray):
+class Scorer:
+    """A model with the words it has scored, kept by a Python worker for all its tasks; bounded in size."""
+
+    def __init__(self, languages: list[str], pieces: list[str], probabilities: np.ndarray):
+        self.languages = languages
+        self.lattice = Lattice(pieces)
+        self.table = self.lattice.table(probabilities)
+        self.known: dict[bytes, int] = {}
+        self.values = np.zeros((CACHE_WORDS, len(languages)))
+        self.lettered: np.ndarray = np.zeros(CACHE_WORDS, dtype=bool)
+
+    def _learn(self, words: set[bytes]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = words
+        if new:
+            listed = sorted(new)
+            texts = [w.decode() for w in listed]
+            low, high = len(self.known), len(self.known) + len(listed)
+            self.values[low:high] = self.lattice.log_likelihoods(texts, self.table)
+            self.lettered[low:high] = [w.isalpha() or any(map(str.isalpha, w)) for w in texts]
+            self.known.update(zip(listed, range(low, high), strict=True))
+
+    def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        split = [words_of(t) for t in texts]
+        totals, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=bool)
+        block = CACHE_WORDS // 4
+        self._learn({w for words in split if len(words) <= block for w in words})
+        known = self.known
+        for i, words in enumerate(split):
+            for low in range(0, len(words), block):
+                some = words[low : low + block]
+                if len(words) > block:
+                    self._learn(set(some))
+                rows = [known[w] for w in some]
+                totals[i] += self.values[rows].sum(axis=0)
+                letters[i] |= self.lettered[rows].any()
+            if len(words) > block:  # what a very long text has pushed out comes back
+                self._learn({w for other in split[i + 1 :] if len(other) <= block for w in other})
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        best = totals.argmax(axis=1)
+        score = 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+        found = [self.languages[b] if lettered else UNDETERMINED for b, lettered in zip(best, letters, strict=True)]
+        return found, np.where(letters, score, 0.0).tolist()
+
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _predict(token: str, *model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces)
-        table = lattice.table(probabilities)
-        known: dict[str, int] = {}
-        values = np.zeros((CACHE_WORDS, len(languages)))
+        if token not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[token] = Scorer(*model)
+        scorer = _SCORERS[token]
         for batch in batches:
-            found, score = [], []
-            for text in batch.column(0):
-                text = text.as_py() or ""
-                words = words_of(text)
-                if not languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
-                    found.append(UNDETERMINED)
-                    score.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
-                for low in range(0, len(words), CACHE_WORDS // 4):
-                    some = words[low : low + CACHE_WORDS // 4]
-                    new = set(some).difference(known)
-                    if new:
-                        if len(known) + len(new) > CACHE_WORDS:
-                            known.clear()
-                            new = set(some)
-                        new = sorted(new)
-                        values[len(known) : len(known) + len(new)] = lattice.log_likelihoods(new, table)
-                        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    total += values[[known[w] for w in some]].sum(axis=0)
-                best = int(total.argmax())
-                found.append(languages[best])
-                score.append(float(1.0 / np.exp(total - total[best]).sum()))
+            found, score, group, size = [], [], [], 0
+            for i, text in enumerate(batch.column(0)):
+                group.append(text.as_py() or "")
+                size += len(group[-1])
+                if size > _GROUP_CHARS or i == batch.num_rows - 1:
+                    languages, scores = scorer.score(group)
+                    found += languages
+                    score += scores
+                    group, size = [], 0
             columns = [pa.array(found, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], "lang_pred", "score"])
 
@@ -234,4 +284,4 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
     """
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "lang_pred string", "score double"])
-    return docs.select(text, *others).mapInArrow(_predict(*model), schema)
+    return docs.select(text, *others).mapInArrow(_predict(uuid.uuid4().hex, *model), schema)
