@@ -3,10 +3,10 @@
 Documents become pieces of at most `CAPACITY` tokens (only longer documents are cut, into full pieces and a rest). Full
 pieces are sequences of their own. The others are dealt at random into partitions of bounded size, and each partition is
 packed by best-fit decreasing. Dual-feasible functions of the sizes give a lower bound of the bins that any packing of the
-partition needs; a partition that reaches it is certified. Every partition hands on the pieces of its least filled
-bins, as many bins as lie above the bound and one more, which also holds what rounding up lost: partitions
-exchange these in pools of `FAN_IN`, run best-fit decreasing again and keep the better packing. Pools shrink by that
-factor in each round, until one is left or the bound of all pieces together is met. Only counts per size ever reach the driver.
+partition needs; a partition that reaches it is certified, and hands on only its least filled bin, which holds what rounding
+up lost. A partition with a gap hands on its least filled bins, up to 1/`FAN_IN` of a partition's pieces. In each round `FAN_IN`
+partitions exchange what they hand on in a pool, which runs best-fit decreasing again, keeps the better packing and
+is certified in turn, until one pool is left. Only a row count reaches the driver.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def _offsets(bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packer(capacity: int, last: bool):
+def _packer(capacity: int, most_released: int, last: bool):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["length"].to_numpy()
         bins = best_fit_decreasing(sizes, capacity)
@@ -135,13 +135,11 @@ def _packer(capacity: int, last: bool):
         bound = lower_bound(sizes, capacity)
         out = np.zeros(used, dtype=bool)
         if not last:
-            room = np.argsort(fill, kind="stable")
-            several = max(used - bound + 1, 1)
-            free = np.flatnonzero(fill[room] < capacity)
-            give = min(max(several, int(np.searchsorted(np.cumsum((capacity - fill)[room]), capacity))), len(free))
-            pieces = np.bincount(bins, minlength=used)
-            within = np.cumsum(pieces[room]) <= PARTITION_PIECES // FAN_IN
-            out[room[:give][within[:give]]] = True
+            least = np.argsort(fill, kind="stable")
+            least = least[fill[least] < capacity]
+            if used <= bound:
+                least = least[:1]
+            out[least[np.cumsum(np.bincount(bins, minlength=used)[least]) <= most_released]] = True
         return rows.assign(origin=rows["part"], bin=bins, released=out[bins], offset=_offsets(bins, sizes), certified=used <= bound)
 
     return pack
@@ -176,7 +174,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     done = full.select("id", "piece", "start", "length", "ids_crc32", (-F.col("row") - 1).alias("sequence_id"), "offset", "certified")
     level = 0
     while True:
-        packed = written(state.groupBy("part").applyInPandas(_packer(capacity, parts == 1), schema), "packing")
+        packed = written(state.groupBy("part").applyInPandas(_packer(capacity, partition_pieces // FAN_IN, parts == 1), schema), "packing")
         number = F.lit(level).cast("long") * F.lit(1 << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
         done = done.unionByName(packed.where("not released").withColumn("sequence_id", number).select(*fields))
         if parts == 1:
