@@ -9,12 +9,12 @@ special tokens in them, go to `tokenizers` itself.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _PLAIN = regex.compile(r"[!-~À-įı-ɏ]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _END = "\0"
@@ -32,9 +32,8 @@ class WordIds:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         stands_for = _byte_characters()
@@ -50,6 +49,12 @@ class WordIds:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _split(self, word: bytes) -> list[str] | None:
         """The pieces that the vocabulary's pattern cuts a lower-case word into; None if only `tokenizers` may tell."""
         text = word.decode()
