@@ -8,7 +8,8 @@ Piece probabilities are learnt by expectation maximisation (forward-backward) ov
 `SAMPLE_DOCUMENTS` documents per language, drawn by a hash of the id; counting and expectations are Spark jobs whose
 sums per (language, piece) are all that reaches the driver, so the model is bounded by languages times vocabulary.
 
-White space, ASCII digits and ASCII punctuation part words; words are lower-cased.
+White space, ASCII digits and ASCII punctuation part words; words are lower-cased. A run of more than `CUT_WORD` characters without
+any of these is scored as several words.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ UNDETERMINED = "und"
 MAX_LANGUAGES = 1000
 CACHE_WORDS = 400_000
 LONG_WORD = 48
+CUT_WORD = 1000
 _MARK = "▁"
 _PARTING = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _GROUP_CHARS = 1 << 20
@@ -111,7 +113,10 @@ class Lattice:
         out = np.empty((len(words), table.shape[1]))
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
+            if len(w) > CUT_WORD:
+                out[k] = self.log_likelihoods([w[i : i + CUT_WORD] for i in range(0, len(w), CUT_WORD)], table).sum(axis=0)
+            else:
+                by_length.setdefault(len(w), []).append(k)
         for n, rows in by_length.items():
             block = max(1, min(2048, (1 << 20) // ((n + 2) * max(table.shape[1], self.longest))))
             for low in range(0, len(rows), block):
@@ -228,6 +233,8 @@ class Scorer:
             self.known.update(zip(listed, range(low, high), strict=True))
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         split = [words_of(t) for t in texts]
         totals, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=bool)
         block = CACHE_WORDS // 4
@@ -243,8 +250,6 @@ class Scorer:
                 letters[i] |= self.lettered[rows].any()
             if len(words) > block:  # what a very long text has pushed out comes back
                 self._learn({w for other in split[i + 1 :] if len(other) <= block for w in other})
-        if not self.languages:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         best = totals.argmax(axis=1)
         score = 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
         found = [self.languages[b] if lettered else UNDETERMINED for b, lettered in zip(best, letters, strict=True)]

@@ -175,8 +175,8 @@ def judge(measured: DataFrame, limits: DataFrame, group: tuple[str, ...] = ("lan
 def quality_rules(docs: DataFrame, text: str = "text", group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Measured and judged documents; the texts are read once, the counts are written to the shared folder.
 
-    An empty table gives an empty result; an empty text has `base_failed`.
+    An empty table gives an empty result; an empty text has `base_failed`. Columns named like those of the result are replaced.
     """
-    others = [c for c in docs.columns if c != text and c not in group]
+    others = [c for c in docs.columns if c not in (text, "base_failed", "kept", *group)]
     measured = written(measures(docs.select(text, *group, *others), text), "quality-measures")
     return judge(measured, thresholds(sketches(measured, group), group), group)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliomill.llm import language, mil
 from foliomill.llm.decontaminate import contaminated
 from foliomill.llm.licenses import known_digests, license_scan
+from foliomill.llm.oracles import ORACLES as ORACLES
 from foliomill.llm.packing import pack_documents
 from foliomill.llm.near_dedup import near_duplicates
 from foliomill.llm.quality_rules import quality_rules
@@ -92,5 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_wrapper_induction, op8_quality_rules, op9_quality_classifier, op10_license_scan,
     )
 }
-
-ORACLES: dict[str, str] = {}
