@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.schemas import SKIP_DIRS
-from foliomill.sources.files import default_output_dir, manifest, plain_root
+from foliomill.session import work_folder
+from foliomill.sources.files import default_output_dir, manifest, plain_root, qualified_root
 
 LISTING = "path string, is_dir boolean, length bigint, modified_us bigint"
 ROWS_PER_BATCH = 10_000
+WAVE_ENTRIES = 20_000
 BYTES_PER_BATCH = 64 << 20
 
 
@@ -29,79 +31,99 @@ def walk_files(
     exclude_patterns: Iterable[str] = (),
     output_dir: str | None = None,
     preserve_structure: bool = True,
-    levels: int = 2,
+    wave_entries: int = WAVE_ENTRIES,
 ) -> DataFrame:
     """Manifest of the files below `root`, as `scan_files` but walked by tasks.
 
-    The first `levels` directory levels are listed one by one and their directories spread over the cluster; each task
-    then walks what is below its own. Symbolic links to directories are not followed.
+    The walk goes in waves: a task lists directories until it has seen `wave_entries` entries and hands back those it has not
+    come to, which the next wave spreads over the cluster. Each wave is written to the shared folder, so no directory is
+    listed twice. A directory that cannot be listed is passed over. Symbolic links to directories are not followed.
     """
-    base = plain_root(root)
+    base = qualified_root(spark, root)
     pruned = plain_root(output_dir or default_output_dir(base))
     tasks = spark.sparkContext.defaultParallelism * 4
-    folders = spark.createDataFrame([(base,)], "path string")
-    found = None
-    for level in range(levels + 1):
-        listed = folders.mapInPandas(_lister(pruned, deep=level == levels), LISTING)
-        files = listed.where("NOT is_dir")
-        found = files if found is None else found.unionByName(files)
-        folders = listed.where("is_dir").select("path").repartition(tasks)
+    folders, waves = spark.createDataFrame([(base,)], "path string"), []
+    while True:
+        waves.append(work_folder(spark, "walk"))
+        folders.mapInPandas(_lister(pruned, wave_entries), LISTING).write.parquet(waves[-1])
+        left = spark.read.schema(LISTING).parquet(waves[-1]).where("is_dir")
+        if left.isEmpty():
+            break
+        folders = left.select("path").repartition(tasks)
+    found = spark.read.schema(LISTING).parquet(*waves).where("NOT is_dir")
     listing = found.select("path", "length", F.timestamp_micros("modified_us").alias("modificationTime"))
     return manifest(listing, base, output_dir, extensions, exclude_patterns, preserve_structure)
 
 
 def read_contents(files: DataFrame) -> DataFrame:
-    """Add `content` to file rows, read by path on the executors; null if the file is gone.
+    """Add `content` to file rows, read by path on the executors, and `read_error`, why there is none.
 
-    Batches are cut by bytes, so memory follows the largest file and not the number of files.
+    A file that is gone or cannot be read has a null content and its fault as `TypeName: message`; the others go on. Batches are cut by bytes, so memory follows the largest file and not the number of files.
     """
     columns = files.columns
 
     def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            start, held, contents = 0, 0, []
+            start, held, contents, faults = 0, 0, [], []
             for i, path in enumerate(batch["path"]):
-                contents.append(_read(path))
-                held += len(contents[-1] or b"")
+                content, fault = _read(path)
+                contents.append(content)
+                faults.append(fault)
+                held += len(content or b"")
                 if held >= BYTES_PER_BATCH or i == len(batch) - 1:
-                    yield batch.iloc[start : i + 1].assign(content=contents)
-                    start, held, contents = i + 1, 0, []
+                    yield batch.iloc[start : i + 1].assign(content=contents, read_error=faults)
+                    start, held, contents, faults = i + 1, 0, [], []
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.select(*columns).mapInPandas(read_batches, schema + ", content binary")
+    return files.select(*columns).mapInPandas(read_batches, schema + ", content binary, read_error string")
 
 
-def _read(path: str) -> bytes | None:
+def _read(path: str) -> tuple[bytes | None, str | None]:
     try:
         if "://" not in path:
             with open(path, "rb") as file:
-                return file.read()
-        from pyarrow import fs
-
-        storage, place = fs.FileSystem.from_uri(path)
+                return file.read(), None
+        storage, place = _storage(path)
         with storage.open_input_stream(place) as file:
-            return file.read()
-    except FileNotFoundError:
-        return None
+            return file.read(), None
+    except Exception as fault:  # whatever the storage raises belongs to this file
+        return None, f"{type(fault).__name__}: {fault}"
+
+
+_STORAGES: dict[str, object] = {}
+
 
+def _storage(uri: str):
+    """The file system of a URI, made once for each storage and Python worker, and the place in it."""
+    from pyarrow import fs
 
-def _lister(pruned: str, deep: bool):
+    head = "/".join(uri.split("/", 3)[:3])
+    storage, place = (None, None) if head in _STORAGES else fs.FileSystem.from_uri(uri)
+    if storage is None:
+        storage = _STORAGES[head]
+        place = uri.split("://", 1)[1] if storage.type_name in ("s3", "gcs") else uri[len(head) :]
+    return _STORAGES.setdefault(head, storage), place
+
+
+def _lister(pruned: str, wave_entries: int):
     def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
+        rows, seen = [], 0
         for batch in batches:
             todo = list(batch["path"])
-            while todo:
+            while todo and seen < wave_entries:
                 for path, is_dir, length, seconds in _entries(todo.pop()):
+                    seen += 1
                     name = path.rsplit("/", 1)[-1].lower()
                     if is_dir and (name in SKIP_DIRS or name.startswith(".") or path == pruned):
                         continue
-                    if is_dir and deep:
+                    if is_dir:
                         todo.append(path)
                     else:
-                        rows.append((path, is_dir, length, int(seconds * 1_000_000)))
+                        rows.append((path, False, length, int(seconds * 1_000_000)))
                     if len(rows) >= ROWS_PER_BATCH:
                         yield _frame(rows)
                         rows = []
+            rows += [(path, True, 0, 0) for path in todo]
         if rows:
             yield _frame(rows)
 
@@ -112,20 +134,28 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
     if "://" in folder:
         from pyarrow import fs
 
-        storage, place = fs.FileSystem.from_uri(folder)
+        storage, place = _storage(folder)
         head = folder[: len(folder) - len(place)] if folder.endswith(place) else folder.split("://")[0] + "://"
-        for info in storage.get_file_info(fs.FileSelector(place)):
+        try:
+            found = storage.get_file_info(fs.FileSelector(place))
+        except OSError:
+            return
+        for info in found:
             is_dir = info.type == fs.FileType.Directory
             yield head + info.path, is_dir, info.size or 0, (info.mtime_ns or 0) / 1e9
         return
-    with os.scandir(folder) as entries:
+    try:
+        entries = os.scandir(folder)
+    except OSError:  # gone, or not to be listed
+        return
+    with entries:
         for entry in entries:
             try:
                 if entry.is_symlink() and entry.is_dir():
                     continue
                 stat = entry.stat()
                 yield f"{folder}/{entry.name}", entry.is_dir(), stat.st_size, stat.st_mtime
-            except FileNotFoundError:  # gone since it was listed, or a dangling link
+            except OSError:  # gone since it was listed, a dangling link or one that loops: reading will tell
                 yield f"{folder}/{entry.name}", False, 0, 0.0
 
 

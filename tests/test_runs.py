@@ -63,8 +63,8 @@ def test_walk_sees_hidden_and_empty_files_and_prunes_directories(spark, corpus):
         (corpus / name).write_text("x", encoding="utf-8")
     os.symlink(corpus / "sub", corpus / "link")
     expected = [".hidden.txt", "_u.txt", "d.TXT", "empty.json", "page.html", "sample.csv", "sample.txt", "temp_file.txt"]
-    for levels in (0, 1, 2, 5):
-        found = walk_files(spark, str(corpus), levels=levels)
+    for entries in (1, 3, 1000):
+        found = walk_files(spark, str(corpus), wave_entries=entries)
         assert names(found) == expected
     row = found.where("name = 'page.html'").first()
     assert (row.rel_dir, row.stem, row.ext, row.length) == ("sub/deep", "page", ".html", 10)
@@ -84,7 +84,7 @@ def test_scan_reads_no_contents(spark, corpus):
     assert "content" not in plan.split("ReadSchema")[1]
 
 
-def run(spark, corpus, batch_id=0, **options):
+def run(spark, corpus, batch_id=None, **options):
     files = walk_files(spark, str(corpus))
     out = str(corpus / "markdown_output")
     return convert_to_tables(files, [PASS_THROUGH], out, batch_id, input_dir=str(corpus), load=read_contents, **options)
@@ -104,7 +104,7 @@ def test_batch_runs_skip_what_is_there(spark, corpus):
     assert [e.error for e in first.errors] == ["MarkItDown: 转换结果为空"]
 
     (corpus / "new.xml").write_text("<a/>", encoding="utf-8")
-    results, stats = run(spark, corpus, batch_id=1)
+    results, stats = run(spark, corpus)
     again = tools(results)
     assert again.pop("new.xml") == "markitdown" and again.pop("empty.json") == ""
     assert set(again.values()) == {"cached"} and len(again) == 4
@@ -112,16 +112,49 @@ def test_batch_runs_skip_what_is_there(spark, corpus):
     assert (total.total_files, total.converted_files, total.skipped_files, total.failed_files) == (11, 5, 4, 2)
 
     report = corpus / "markdown_output" / "conversion_report.json"
-    text = "".join(p.read_text(encoding="utf-8") for p in report.glob("part-*"))
+    text = report.read_text(encoding="utf-8")
     assert json.loads(text)["stats"]["converted_files"] == 5 and "转换结果为空" in text
 
 
 def test_running_a_batch_again_replaces_it(spark, corpus):
-    run(spark, corpus)
-    _, stats = run(spark, corpus)
+    run(spark, corpus, 0)
+    _, stats = run(spark, corpus, 0)
     assert stats.first().total_files == 5 and stats.first().converted_files == 4
 
 
+def test_a_batch_of_other_files_is_not_replaced(spark, corpus, tmp_path):
+    rows = [("/in/one.txt", "/o/one.md", ".txt", 3, b"one"), ("/in/two.txt", "/o/two.md", ".txt", 3, b"two")]
+    files = spark.createDataFrame(rows, "path string, target_path string, ext string, length bigint, content binary")
+    out = str(tmp_path / "out")
+    for path in ("/in/one.txt", "/in/two.txt"):
+        convert_to_tables(files.where(F.col("path") == path), [PASS_THROUGH], out)
+    kept = {(r.batch_id, r.source_path, r.text) for r in read_results(spark, out, texts=True).collect()}
+    assert kept == {(0, "/in/one.txt", "one"), (1, "/in/two.txt", "two")}
+    with pytest.raises(ValueError):
+        convert_to_tables(files.where("path = '/in/two.txt'"), [PASS_THROUGH], out, 0)
+
+
+def test_files_that_cannot_be_listed_or_read_keep_their_fault(spark, corpus):
+    os.symlink(corpus / "loop.txt", corpus / "loop.txt")
+    os.symlink(corpus / "nowhere", corpus / "gone.txt")
+    files = read_contents(walk_files(spark, str(corpus), wave_entries=2))
+    faults = {r.name: r.read_error for r in files.collect()}
+    assert faults["gone.txt"].startswith("FileNotFoundError: ") and faults["loop.txt"].startswith("OSError: ")
+    assert faults["sample.txt"] is None
+    results, _ = run(spark, corpus)
+    found = {os.path.basename(r.source_path): r.error_message for r in results.collect()}
+    assert found["loop.txt"].startswith("MarkItDown: OSError: ") and found["sample.txt"] == ""
+
+
+def test_roots_are_taken_as_the_file_system_names_them(spark, corpus, monkeypatch):
+    expected = {r.path for r in walk_files(spark, str(corpus)).collect()}
+    other = f"{corpus}/sub/../../{corpus.name}"
+    assert {r.path for r in walk_files(spark, other).collect()} == expected
+    assert {r.path for r in scan_files(spark, other).collect()} == {r.path for r in scan_files(spark, str(corpus)).collect()}
+    with pytest.raises(FileNotFoundError):
+        walk_files(spark, f"{corpus}/none")
+
+
 def test_overwrite_converts_again_and_the_last_writer_wins(spark, corpus):
     out = str(corpus / "markdown_output")
     files = walk_files(spark, str(corpus), preserve_structure=False)
@@ -144,11 +177,19 @@ def test_outside_engine_runs_give_the_same_as_the_lazy_plan(spark, tmp_path):
     columns = [c for c in lazy.columns if c != "processing_time"]
     assert written.select(columns).exceptAll(lazy.select(columns)).count() == 0
     assert written.count() == lazy.count() == 20
-    assert lazy.where("source_path = '/in/4.pdf'").first().error_message == "PaddleOCR: ZeroDivisionError: division by zero"
+    message = "MarkItDown: 转换结果为空; PaddleOCR: ZeroDivisionError: division by zero"
+    assert lazy.where("source_path = '/in/4.pdf'").first().error_message == message
     texts = read_results(spark, str(tmp_path / "out"), texts=True)
     assert texts.where("success AND tool_used <> 'cached' AND text IS NULL").count() == 0
 
 
+def test_a_second_candidate_of_an_engine_is_an_error(spark):
+    files = spark.createDataFrame([("/a.pdf", "/o/a.md", ".pdf", 5)], "path string, target_path string, ext string, length bigint")
+    texts = spark.createDataFrame([("/a.pdf", "One.", None), ("/a.pdf", "Two.", None)], "path string, text string, error string")
+    with pytest.raises(Exception, match="several candidates of markitdown"):
+        convert_corpus(spark, files, [table_engine("markitdown", 0, texts)])[0].collect()
+
+
 def test_export_writes_whole_files_and_can_be_repeated(spark, tmp_path):
     texts = spark.createDataFrame([(f"{tmp_path}/out/{i}/f.md", f"é中\n{i}") for i in range(10)], "target_path string, text string")
     for _ in range(2):
