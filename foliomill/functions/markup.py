@@ -1,7 +1,7 @@
 """HTML to Markdown and HTML to plain text as chains of built-in string functions, in SQL text.
 
 Each rule is a pattern that runs in linear time on broken markup too: tag patterns stop at the next `<`, and an
-unclosed comment, script or style runs to the end of the text, as browsers treat it.
+unclosed comment, script or style runs to the end of the text, as browsers treat it, and an unclosed head to the body.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ DROPPED = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
     r"|script\b.*?(?:</script\s*>|\z)"
     r"|style\b.*?(?:</style\s*>|\z)"
-    r"|head\b[^<>]*>.*?</head\s*>)"
+    r"|head\b[^<>]*>.*?(?:</head\s*>|(?=<body\b)|\z))"
 )
 HEADING_OPEN = r"(?i)<h([1-6])\b[^<>]*>"
 STRONG = r"(?i)<(?:b|strong)(?:\s[^<>]*)?>([^<]*)</(?:b|strong)\s*>"
@@ -23,7 +23,7 @@ BLOCK = (
     r"|figure|figcaption|address|fieldset|hr|h[1-6]|body|html)\b[^<>]*>"
 )
 NOT_A_LINK = r"(?i)</?(?:[b-z!?][^<>]*|a[a-z0-9][^<>]*)>"
-LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\x22\x27]?([^\x22\x27<>\s]*+)[^<>]*+>([^<]*+)</a\s*>"
+LINK = r"(?i)<a\s(?=[^<>]*+>)(?>[^<>]*?href\s*=\s*[\x22\x27]?([^\x22\x27<>\s]*+)[^<>]*+>)([^<]*+)</a\s*>"
 ANY_TAG = r"(?i)</?[a-z!?][^<>]*>"
 BLANKS = r"[ \t\r\f]+"
 BLANK_AROUND_BREAK = r" ?\n ?"

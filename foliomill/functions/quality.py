@@ -150,6 +150,8 @@ def accuracy(ext: str, p: str = "") -> str:
 
 
 def completeness(ext: str, size: str, p: str = "") -> str:
+    size = f"coalesce({size}, 0L)"
+
     def bound(i: int) -> str:
         image, pdf, other = (SIZE_BANDS[k][i] for k in ("image", "pdf", "other"))
         return (

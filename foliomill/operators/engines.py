@@ -37,6 +37,7 @@ class ColumnEngine(_Engine):
     """An engine that is a SQL expression over the columns of the file table. Stays inside the scan's stage."""
 
     text: str = None
+    error: str | None = None  # why there is no text, where there is none; a SQL expression too
 
 
 @dataclass(frozen=True)

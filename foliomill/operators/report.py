@@ -138,11 +138,15 @@ def quality_report(scored: DataFrame, by: tuple[str, ...], score: str = "weighte
     """Score distribution per group of `by`, with a total row for every prefix of it (rollup; null = all).
 
     Rows are first reduced to (group, score in tenths), at most 1,001 rows per group however large it is; percentiles are
-    then exact on tenths and need no unbounded state. The rollup expands only that small table.
+    then exact on tenths and need no unbounded state. Smallest and largest scores are exact. The rollup expands only that small table.
     """
     tenth = F.floor(F.col(score) * SCORE_BINS_PER_POINT) / SCORE_BINS_PER_POINT
     binned = scored.groupBy(*by, tenth.alias("tenth")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(score).alias("score_sum"), F.sum(F.col(won).cast("int")).alias("wins")
+        F.count(F.lit(1)).alias("n"),
+        F.sum(score).alias("score_sum"),
+        F.sum(F.col(won).cast("int")).alias("wins"),
+        F.min(score).alias("low"),
+        F.max(score).alias("high"),
     )
     n = F.sum("n")
     return binned.rollup(*by).agg(
@@ -152,8 +156,8 @@ def quality_report(scored: DataFrame, by: tuple[str, ...], score: str = "weighte
             F.percentile("tenth", F.lit(p / 100), F.col("n")).alias(f"p{p}")
             for p in (25, 50, 75)
         ],
-        F.min("tenth").alias("min_score"),
-        F.max("tenth").alias("max_score"),
+        F.min("low").alias("min_score"),
+        F.max("high").alias("max_score"),
         F.sum("wins").alias("wins"),
         (F.sum("wins") / n).alias("win_rate"),
     )

@@ -16,12 +16,19 @@ def use_text_engine(ext: Column, prefer: str = "auto") -> Column:
     return ~ext.isin(*IMAGE_EXTENSIONS)
 
 
-def use_ocr_engine(ext: Column, page_count: Column, ocr_available: bool, prefer: str = "auto") -> Column:
-    """OCR where it is available, but not on long PDFs. Preferring the text engine leaves it images only."""
+def use_ocr_engine(
+    ext: Column, page_count: Column, ocr_available: bool, prefer: str = "auto", page_threshold: int | None = PDF_PAGE_THRESHOLD
+) -> Column:
+    """OCR where it is available, but not on PDFs of more than `page_threshold` pages (None: on all).
+
+    Preferring the text engine leaves it images only.
+    """
     _check(prefer)
     if prefer == "markitdown":
         return ext.isin(*IMAGE_EXTENSIONS)
-    long_pdf = (ext == ".pdf") & (F.coalesce(page_count, F.lit(0)) > PDF_PAGE_THRESHOLD)
+    if page_threshold is None:
+        return F.lit(ocr_available)
+    long_pdf = (ext == ".pdf") & (F.coalesce(page_count, F.lit(0)) > page_threshold)
     return F.lit(ocr_available) & ~long_pdf
 
 
@@ -30,14 +37,19 @@ def ocr_supports(ext: Column) -> Column:
     return ext.isin(*IMAGE_EXTENSIONS, ".pdf")
 
 
-def route(files: DataFrame, ocr_available: bool = True, prefer: str = "auto") -> DataFrame:
-    """Add `use_text`, `use_ocr` and `ocr_supported` to a file table with `ext` and, if known, `page_count`."""
+def route(
+    files: DataFrame, ocr_available: bool = True, prefer: str = "auto", page_threshold: int | None = PDF_PAGE_THRESHOLD
+) -> DataFrame:
+    """Add `use_text`, `use_ocr` and `ocr_supported` to a file table with `ext` and, if known, `page_count`.
+
+    A null extension is none.
+    """
     pages = F.col("page_count") if "page_count" in files.columns else F.lit(None).cast("int")
-    ext = F.col("ext")
+    ext = F.coalesce(F.col("ext"), F.lit(""))
     return files.withColumns(
         {
             "use_text": use_text_engine(ext, prefer),
-            "use_ocr": use_ocr_engine(ext, pages, ocr_available, prefer),
+            "use_ocr": use_ocr_engine(ext, pages, ocr_available, prefer, page_threshold),
             "ocr_supported": ocr_supports(ext),
         }
     )

@@ -32,7 +32,8 @@ def candidate_columns(files: DataFrame, engines: list[ColumnEngine], ocr_availab
             runs, errors[p + "error"] = f"{runs} AND {fault} IS NULL", f"CASE WHEN {runs} THEN {fault} END"
         else:
             empty = f"{runs} AND NOT {is_usable(p + 'text')}"
-            errors[p + "error"] = f"CASE WHEN {empty} THEN '{MSG_EMPTY_RESULT}' END"
+            known = [x for x in (e.error, "read_error" if "read_error" in files.columns else None) if x]
+            errors[p + "error"] = f"CASE WHEN {empty} THEN coalesce({', '.join([*known, repr(MSG_EMPTY_RESULT)])}) END"
         texts[p + "text"] = f"CASE WHEN {runs} THEN {e.text} END"
         usable[p + "usable"] = is_usable(p + "text")
     wide = with_expressions(with_expressions(files, texts), errors)
@@ -41,7 +42,10 @@ def candidate_columns(files: DataFrame, engines: list[ColumnEngine], ocr_availab
 
 
 def candidate_counts(candidates: DataFrame, engines: list[Engine]) -> DataFrame:
-    """One row per path from a long `path, engine, text, error[, seconds]` table; (path, engine) is its key."""
+    """One row per path from a long `path, engine, text, error[, seconds]` table.
+
+    (path, engine) is its key: a second candidate of an engine for a path is an error and not merged.
+    """
     seconds = "seconds" if "seconds" in candidates.columns else "cast(NULL AS double)"
     counted = with_expressions(with_counts(candidates), {"usable": is_usable("text"), "seconds": seconds})
 
@@ -51,6 +55,7 @@ def candidate_counts(candidates: DataFrame, engines: list[Engine]) -> DataFrame:
     numbers = counted.groupBy("path").agg(
         *[F.expr(f"{of(e, c)} AS {_pre(e)}{c}") for e in engines for c in Q.COUNTS],
         *[F.expr(f"coalesce({of(e, 'usable')}, false) AS {_pre(e)}usable") for e in engines],
+        *[F.expr(f"count(*) FILTER (WHERE engine = '{e.name}') AS {_pre(e)}offered") for e in engines],
         F.sum("seconds").alias("_seconds"),
     )
     # Strings would turn the hash aggregation into a sort, so the (few) errors are reduced on their own.
@@ -121,8 +126,10 @@ def select_from_candidates(
     offered = {}
     for e in engines:
         p, fault = _pre(e), ocr_fault(ocr_available) if e.kind == "ocr" else "cast(NULL AS string)"
-        offered[p + "error"] = f"CASE WHEN {e.runs()} THEN coalesce({fault}, {p}error) END"
-        offered[p + "usable"] = f"coalesce({p}usable, false) AND {e.runs()} AND {fault} IS NULL"
+        empty = f"CASE WHEN {p}offered > 0 AND NOT {p}usable THEN '{MSG_EMPTY_RESULT}' END" if e.kind == "text" else "NULL"
+        several = f"CASE WHEN {p}offered > 1 THEN raise_error('several candidates of {e.name} for ' || path) END"
+        offered[p + "error"] = f"CASE WHEN {e.runs()} THEN coalesce({fault}, {p}error, {empty}) END"
+        offered[p + "usable"] = f"coalesce({p}usable, false) AND {e.runs()} AND {fault} IS NULL AND {several} IS NULL"
     return choose(with_expressions(wide, offered), engines)
 
 

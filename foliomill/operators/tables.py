@@ -12,9 +12,10 @@ ROWS_PER_PART = 10_000
 
 
 def cell(df: DataFrame, column: str) -> Column:
-    """A value as it stands in a pipe table. Only strings can hold a pipe or a line break."""
+    """A value as it stands in a pipe table. Strings, and what holds strings, can have a pipe or a line break in them."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    if isinstance(df.schema[column].dataType, T.StringType):
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if not isinstance(df.schema[column].dataType, plain):
         for old, new in (("\r\n", " "), ("\n", " "), ("\r", " "), ("|", "\\|")):
             text = F.replace(text, F.lit(old), F.lit(new))
     return text
@@ -62,6 +63,12 @@ def _literal_row(names: list[str]) -> str:
     return "| " + " | ".join(n.replace("|", "\\|") for n in names) + " |"
 
 
+def file_path() -> Column:
+    """The path of a row's file as manifests have it: not encoded, without the scheme of local files."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:(//)?(?=/)", "")
+
+
 def csv_to_markdown(
     spark: SparkSession, path: str, n_columns: int, multi_line: bool = True, rows_per_part: int = ROWS_PER_PART
 ) -> DataFrame:
@@ -76,7 +83,7 @@ def csv_to_markdown(
         .option("header", False)
         .option("escape", '"')
         .csv(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_row_id"), *names)
+        .select(file_path().alias("path"), F.monotonically_increasing_id().alias("_row_id"), *names)
     )
     row_id = F.col("_row_id")
     numbered = attach_group_extreme(rows, "path", row_id, "_first_id", salt_on=row_id)

@@ -30,11 +30,6 @@ def existing_targets(results: DataFrame) -> DataFrame:
     return results.where("success").select("target_path")
 
 
-def met_by(existing: DataFrame, files: DataFrame) -> DataFrame:
-    """The existing targets that `files` name: for a small batch against a large table, which then is not shuffled."""
-    return existing.join(files.select("target_path").distinct(), "target_path", "left_semi")
-
-
 def decide(files: DataFrame, existing: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
     """Add `action`, `convert` or `cached`, to file rows with `path` and `target_path`. Give it paths, not contents.
 

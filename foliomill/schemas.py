@@ -19,7 +19,6 @@ SUPPORTED_EXTENSIONS = (
 
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp")
 
-TEXT_PREFERRED_EXTENSIONS = (".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls", ".html", ".epub", ".txt")
 
 SKIP_DIRS = (
     "__pycache__", ".git", ".svn", ".hg", "node_modules",
@@ -45,7 +44,6 @@ MSG_EMPTY_RESULT = "转换结果为空"
 MSG_OCR_MISSING = "PaddleOCR 未初始化"
 MSG_OCR_UNSUPPORTED = "PaddleOCR 仅支持图片和PDF"
 MSG_EXISTS = "已存在，跳过"
-MSG_NO_RENDERER = "需要安装 PyMuPDF: pip install pymupdf"
 PAGE_HEADING = ("--- 第 ", " 页 ---\n")
 REPORT_MODE = "dual_tool_comparison"
 DEFAULT_OUTPUT_DIR = "markdown_output"

@@ -4,6 +4,7 @@ import pytest
 
 from foliomill import ColumnEngine, isolated_engine, register_engine, registered_engines
 from foliomill.functions import markup
+from foliomill.plans.catalog import ARTICLE
 from foliomill.operators.engines import FrameEngine, missing_ocr
 from foliomill.plans.corpus import convert_corpus
 
@@ -51,6 +52,42 @@ def test_broken_markup_takes_linear_time(spark):
     assert time.time() - start < 30
 
 
+def test_repeated_unclosed_tags_take_linear_time(spark):
+    def seconds(n):
+        broken = ["<head>" * n, "<a " + "href=x " * n, "<a href=x>" * n, "<article>" * n, "<a href=" * n, "<h1>" * n]
+        df = spark.createDataFrame([(b,) for b in broken], "html string").repartition(1)
+        article = f"array_join(regexp_extract_all(html, r'{ARTICLE}', 1), '')"
+        start = time.time()
+        df.selectExpr(f"length({markup.html_to_markdown('html')})", f"length({markup.html_to_text('html')})", f"length({article})").collect()
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 4 * seconds(20_000) + 10
+
+
+def test_an_unclosed_head_ends_at_the_body(spark):
+    page = "<head><title>no</title><body><p>yes <a href=u>link</a></p><a href='v'>w</a>"
+    df = spark.createDataFrame([(page,)], "html string")
+    assert df.selectExpr(markup.html_to_markdown("html")).first()[0] == "yes [link](u)\n\n[w](v)"
+
+
+def test_csv_keeps_all_cells(spark):
+    from foliomill.operators.formats import csv_to_table
+
+    texts = ['a,b,c\n1,2,3\n', 'x\n"q ""r"", s",t\n', 'a,\r\n"two\nlines|",', "", "only", "a,b\n1,2,3,4\n,", '"open, end']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = [r[0] for r in df.orderBy("k").selectExpr(csv_to_table("t")).collect()]
+    assert found == [
+        "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |",
+        '| x |\n|---|\n| q "r", s | t |',
+        "| a |  |\n|---|---|\n| two lines\\| |  |",
+        "",
+        "| only |\n|---|",
+        "| a | b |\n|---|---|\n| 1 | 2 | 3 | 4 |\n|  |  |",
+        "| open, end |\n|---|",
+    ]
+
+
 def test_broken_bytes_become_replacement_characters(spark):
     df = spark.createDataFrame([(bytearray(b"ok \xff\xfe end \xe4\xb8\xad"),)], "content binary")
     text = df.selectExpr(f"{markup.decode_text('content')} AS t").first().t
