@@ -17,6 +17,7 @@ from foliomill.functions.paths import target_path
 from foliomill.operators import pages as P
 from foliomill.operators import report, tables, targets
 from foliomill.operators.engines import ColumnEngine, isolated_engine, missing_ocr, table_engine
+from foliomill.operators.formats import format_engine
 from foliomill.operators.routing import route, use_ocr_engine, use_text_engine
 from foliomill.operators.scoring import with_counts, with_scores
 from foliomill.operators.selection import select_from_candidates, select_in_row
@@ -25,6 +26,7 @@ from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
 from foliomill.session import spread, work_folder
 from foliomill.sources.files import default_output_dir, manifest, scan_files
 from foliomill.sources.sinks import export_texts
+from foliomill.sources.walk import read_contents, walk_files
 from foliomill.streaming.incremental import convert_stream
 
 ROOT, OUT = "/corpus", "/markdown"
@@ -106,11 +108,12 @@ def _web_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-ARTICLE = r"(?is)<article\b[^<>]*>(.*?)</article\s*>"
+ARTICLE = r"(?is)<article\b[^<>]*>(.*?)(?:</article\s*>|\z)"
 
 
 def _article() -> str:
-    return markup.html_to_markdown(f"regexp_extract(html, r'{ARTICLE}', 1)")
+    """All article elements of a page, one after the other."""
+    return markup.html_to_markdown(f"array_join(regexp_extract_all(html, r'{ARTICLE}', 1), '')")
 
 
 def _web_engines() -> list[ColumnEngine]:
@@ -497,6 +500,40 @@ def export_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over overlapping parts of the pages, one over all, and one that overwrites; each run is a batch of its own."""
+    out, pages = work_folder(spark, "repeated"), _table(spark, sf_dir, "pages")
+    engine, part = ColumnEngine(TEXT_ENGINE, 0, text="html"), F.col("page_id") % 3
+    for chosen, overwrite in ((part < 2, False), (part > 0, False), (F.lit(True), False), (F.lit(True), True)):
+        convert_to_tables(_web_rows(pages.where(chosen)), [engine], out, overwrite=overwrite)
+    results = read_results(spark, out)
+    return results.select(F.col("batch_id").cast("bigint").alias("batch_id"), "source_path", "success", "tool_used", "file_size_target")
+
+
+def folder_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed folder written, walked, read, converted by format, and run again: web pages, texts, csv tables, and a format without a parser."""
+    root, out = work_folder(spark, "folder"), work_folder(spark, "folder-out")
+    name = lambda *parts: F.concat(F.lit(root), *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    quoted = F.concat(F.lit('"'), F.replace("c_name", F.lit("#"), F.lit("\n")), F.lit('",'), F.col("c_mktsegment"), F.lit("|"))
+    rows = F.array_sort(F.collect_list(F.struct("c_custkey", quoted.alias("line"))))
+    tables_of = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("Name,Segment\n"), F.array_join(rows["line"], "\n"), F.lit("\n")).alias("text"))
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    texts = (
+        docs.select(name("/docs/", F.col("doc_id"), _pick([".txt", ".JSON", ".pdf"], F.col("doc_id"))).alias("target_path"), "text")
+        .union(pages.select(name("/web/", F.col("page_id"), ".html"), "html"))
+        .union(tables_of.select(name("/my tables/", F.col("c_nationkey"), "+.csv"), "text"))
+    )
+    export_texts(texts).write.format("noop").mode("overwrite").save()
+    for _ in range(2):
+        convert_to_tables(walk_files(spark, root, output_dir=out), [format_engine()], out, load=read_contents)
+    results = read_results(spark, out, texts=True)
+    return results.select(
+        F.col("batch_id").cast("bigint").alias("batch_id"),
+        F.substring("source_path", F.lit(len(root) + 1), F.length("source_path")).alias("path"),
+        "success", "tool_used", "error_message", F.md5("text").alias("text_md5"),
+    )
+
+
 def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as one csv file per nation, with quoted line breaks, and read back as Markdown tables."""
     folder = work_folder(spark, "csv")
@@ -568,5 +605,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         incremental_convert,
         incremental_stats,
         export_and_scan,
+        repeated_runs,
+        folder_run,
     )
 }

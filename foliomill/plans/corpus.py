@@ -13,12 +13,12 @@ from foliomill.operators import report, targets
 from foliomill.operators.engines import ColumnEngine, Engine, is_available
 from foliomill.operators.routing import route
 from foliomill.operators.selection import select_from_candidates, select_in_row, with_winning_text
-from foliomill.session import estimated_bytes, work_folder
+from foliomill.session import work_folder
 from foliomill.sources.sinks import write_report
 
 METADATA = ("path", "target_path", "length")
 ROUTING = ("ext", "page_count")
-SMALL_BATCH = 10  # a batch this many times smaller than the table of earlier targets
+STREAM_BATCHES = 1 << 31  # batch numbers of streams start here
 CANDIDATE_COLUMNS = "path string, engine string, text string, error string, seconds double"
 
 
@@ -68,7 +68,8 @@ def run_engines(routed: DataFrame, engines: list[Engine], ocr_available: bool =
             continue
         chosen = routed.where(f"{e.runs()} AND ocr_supported" if e.kind == "ocr" else e.runs())
         if isinstance(e, ColumnEngine):
-            from_engine = chosen.selectExpr("path", f"{e.text} AS text", "cast(NULL AS string) AS error")
+            known = [x for x in (e.error, "read_error" if "read_error" in chosen.columns else None, "cast(NULL AS string)") if x]
+            from_engine = chosen.selectExpr("path", f"{e.text} AS text", f"coalesce({', '.join(known)}) AS error")
         else:
             from_engine = e.run(chosen)
         seconds = F.col("seconds") if "seconds" in from_engine.columns else F.lit(None).cast("double")
@@ -85,7 +86,7 @@ def convert_to_tables(
     files_df: DataFrame,
     engines: list[Engine],
     output_dir: str,
-    batch_id: int = 0,
+    batch_id: int | None = None,
     overwrite: bool = False,
     preserve_structure: bool = True,
     prefer: str = "auto",
@@ -97,35 +98,40 @@ def convert_to_tables(
 
     `load` (such as `read_contents`) adds what engines read to the files that are left to convert.
 
-    * `converted/batch_id=N`: results with the winning text; running a batch again replaces it, so retries are safe.
+    * `converted/batch_id=N`: results with the winning text. By default every run is a new batch. Running a stated batch again
+      replaces it, so retries are safe; if files of its earlier output are not in the list, that is refused.
     * `counters/batch_id=N`, `errors/batch_id=N`: what the running report is added up from.
     * `conversion_report.json`: the report over all batches.
 
     Targets of other batches count as existing. The file list and what to convert of it are written out first, so that
     listing and decision are made once and on paths alone. With `load`, contents are read for the files to convert and
-    joined to nothing; contents that are in `files_df` already meet the smaller of the decision's two sides, which Spark
-    broadcasts only if its written size allows. Outside engines' texts are written once before they are scored.
+    joined to nothing; contents that are in `files_df` already are joined to the files to convert, so a file that arrives
+    later is left to the next run. Outside engines' texts are written once before they are scored. What is written on
+    the way is removed in the end.
     """
-    spark, started, out = files_df.sparkSession, time.time(), output_dir.rstrip("/")
+    spark, started, out, folders = files_df.sparkSession, time.time(), output_dir.rstrip("/"), []
+
+    def _written(df: DataFrame, purpose: str) -> DataFrame:
+        folders.append(work_folder(spark, purpose))
+        df.write.parquet(folders[-1])
+        return spark.read.parquet(folders[-1])
+
+    done = _batches(spark, out)
+    if batch_id is None:
+        batch_id = max((b for b in done if b < STREAM_BATCHES), default=-1) + 1
     files = _targeted(files_df, output_dir, preserve_structure)
     ocr = _ocr_available(engines, ocr_available)
-    earlier = None if overwrite else read_results(spark, out)
-    existing = None if earlier is None else targets.existing_targets(earlier.where(F.col("batch_id") != batch_id))
+    earlier = read_results(spark, out) if done else None
+    existing = None if overwrite or earlier is None else targets.existing_targets(earlier.where(F.col("batch_id") != batch_id))
     known = [c for c in files.columns if c in ROUTING]
     listed = _written(files.select(*METADATA, *known), "files")
-    if existing is not None and estimated_bytes(listed) * SMALL_BATCH < estimated_bytes(existing):
-        existing = targets.met_by(existing, listed)
+    if batch_id in done:
+        replaced = earlier.where(F.col("batch_id") == batch_id).select(F.col("source_path").alias("path"))
+        if not replaced.join(listed.select("path"), "path", "left_anti").isEmpty():
+            raise ValueError(f"batch {batch_id} holds other files; give another batch_id, or none for a new batch")
     decision = _written(targets.decide(listed, existing, overwrite), "decision")
     convert, cached = targets.pending(decision), targets.already_done(decision)
-    n = {r["action"]: r["count"] for r in decision.groupBy("action").count().collect()}  # two rows at most
-    if load:
-        todo = convert.drop("action")
-    elif not n.get(targets.CACHED):
-        todo = files
-    elif n.get(targets.CONVERT, 0) <= n[targets.CACHED]:
-        todo = files.join(convert.select("path"), "path", "left_semi")
-    else:
-        todo = files.join(cached.select("path"), "path", "left_anti")
+    todo = convert.drop("action") if load else files.join(convert.select("path"), "path", "left_semi")
     routed = route(todo, ocr, prefer)
     loaded = load(routed) if load else routed
     if _all_columns(engines):
@@ -144,6 +150,9 @@ def convert_to_tables(
     report.first_errors(report.errors(batch)).write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
     stats = running_stats(spark, out)
     write_report(report.report_json(stats, input_dir, out, names, pretty=True), out)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return batch, stats
 
 
@@ -182,10 +191,11 @@ def _table(spark: SparkSession, output_dir: str, name: str) -> DataFrame | None:
     return spark.read.option("basePath", folder).parquet(folder)
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
-    folder = work_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+def _batches(spark: SparkSession, output_dir: str) -> list[int]:
+    """Numbers of the batches whose results are written whole, from folder names alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{output_dir}/converted/batch_id=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [int(s.getPath().getParent().getName().removeprefix("batch_id=")) for s in found]
 
 
 def _targeted(files: DataFrame, output_dir: str | None, preserve_structure: bool) -> DataFrame:

@@ -1,7 +1,8 @@
 r"""SQL for DuckDB that gives the same rows as the queries of the same name.
 
 Written apart from the Spark code: runs are found as islands of equal characters (its patterns have no back-references),
-paragraphs by splitting, winners by ranking, pages by putting texts together.
+paragraphs by splitting, winners by ranking, pages by putting texts together. The rules for markup are patterns by
+definition and stand here too; tests hold them against fixed pages.
 """
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ def plain(html: str) -> str:
     return _trim(_rules(_entities(_rules(html, [(DROPPED, "''"), (TAG, "' '")])), [(r"\s+", "' '")]))
 
 
-ARTICLE = r"regexp_extract(html, '(?is)<article\b[^<>]*>(.*?)</article\s*>', 1)"
+ARTICLE = r"array_to_string(regexp_extract_all(html, '(?is)<article\b[^<>]*>(.*?)(?:</article\s*>|\z)', 1), '')"
 
 
 def _web(engines: int) -> str:
@@ -215,7 +216,7 @@ files AS (
 cand AS (
  SELECT path, 'markitdown' AS engine, 0 AS prio, 'MarkItDown' AS label,
    CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE full_text END AS t,
-   CASE WHEN doc_id % 10 = 0 THEN 'ValueError: no text layer' WHEN doc_id % 5 = 1 THEN '转换结果为空' END AS err
+   CASE WHEN doc_id % 10 = 0 THEN 'ValueError: no text layer' WHEN doc_id % 5 < 2 THEN '转换结果为空' END AS err
  FROM files WHERE ext <> '.png'
  UNION ALL
  SELECT path, 'paddleocr', 1, 'PaddleOCR',
@@ -313,7 +314,7 @@ labelled AS (
  FROM scores LEFT JOIN labels ON doc_id = k)
 SELECT coalesce(ext, 'all') AS ext, coalesce(label, 'all') AS label, count(*) AS n, round(avg(weighted_score), 6) AS avg_score,
  round(quantile_cont(tenth, 0.25), 6) AS p25, round(quantile_cont(tenth, 0.5), 6) AS p50,
- round(quantile_cont(tenth, 0.75), 6) AS p75, round(min(tenth), 6) AS min_score, round(max(tenth), 6) AS max_score,
+ round(quantile_cont(tenth, 0.75), 6) AS p75, round(min(weighted_score), 6) AS min_score, round(max(weighted_score), 6) AS max_score,
  round(count(*) FILTER (WHERE weighted_score >= 80) / count(*)::DOUBLE, 6) AS win_rate,
  count(*) FILTER (WHERE weighted_score >= 80) AS wins
 FROM labelled GROUP BY ROLLUP (ext, label)""",
@@ -327,7 +328,7 @@ SELECT source_path AS path, error_message AS error FROM results WHERE NOT succes
 SELECT '/in/' || doc_id || ext AS source_path, ext <> '.png' AND doc_id % 5 > 1 AS success,
  CASE WHEN ext <> '.png' AND doc_id % 5 > 1 THEN 'markitdown' ELSE '' END AS tool_used,
  CASE WHEN ext = '.png' THEN 'PaddleOCR: PaddleOCR 未初始化' WHEN doc_id % 10 = 0 THEN 'MarkItDown: ValueError: no text layer'
-   WHEN doc_id % 5 = 1 THEN 'MarkItDown: 转换结果为空' ELSE '' END AS error_message FROM texts""",
+   WHEN doc_id % 5 < 2 THEN 'MarkItDown: 转换结果为空' ELSE '' END AS error_message FROM texts""",
     "target_collisions": f"""WITH {FILES}
 SELECT path, target_path, first_value(path) OVER w AS target_owner, row_number() OVER w = 1 AS owns_target
 FROM files WINDOW w AS (PARTITION BY target_path ORDER BY path)""",
@@ -394,4 +395,23 @@ runs2 AS (
  '/markdown_output/' || source || '/' || doc_id || '.md' AS target, text
 FROM (SELECT *, ['.txt', '.json', '.log'][doc_id % 3 + 1] AS ext FROM documents)
 WHERE ext <> '.log' AND doc_id % 10 <> 9""",
+    "repeated_runs": """WITH p AS (
+ SELECT '/web/' || page_id || '.html' AS source_path, page_id % 3 AS m, CAST(strlen(html) AS BIGINT) AS n FROM pages),
+runs AS (
+ SELECT 0 AS b, *, true AS fresh FROM p WHERE m < 2 UNION ALL SELECT 1, *, m = 2 FROM p WHERE m > 0
+ UNION ALL SELECT 2, *, false FROM p UNION ALL SELECT 3, *, true FROM p)
+SELECT CAST(b AS BIGINT) AS batch_id, source_path, true AS success, CASE WHEN fresh THEN 'markitdown' ELSE 'cached' END AS tool_used,
+ CASE WHEN fresh THEN n ELSE 0 END AS file_size_target FROM runs""",
+    "folder_run": f"""WITH customers AS (
+ SELECT c_nationkey, '| Name | Segment |' || {NL} || '|---|---|' || {NL} || string_agg(
+   '| ' || replace(c_name, '#', ' ') || ' | ' || c_mktsegment || '\\| |', {NL} ORDER BY c_custkey) AS t
+ FROM customer GROUP BY c_nationkey),
+files AS (
+ SELECT '/docs/' || doc_id || ['.txt', '.JSON', '.pdf'][doc_id % 3 + 1] AS path, CASE WHEN doc_id % 3 < 2 THEN text END AS t FROM documents
+ UNION ALL SELECT '/web/' || page_id || '.html', {markdown('html')} FROM pages
+ UNION ALL SELECT '/my tables/' || c_nationkey || '+.csv', t FROM customers),
+runs AS (SELECT CAST(unnest([0, 1]) AS BIGINT) AS batch_id, path, t FROM files)
+SELECT batch_id, path, t IS NOT NULL AS success, CASE WHEN t IS NULL THEN '' WHEN batch_id = 0 THEN 'markitdown' ELSE 'cached' END AS tool_used,
+ CASE WHEN t IS NULL THEN 'MarkItDown: UnsupportedFormat: .pdf' WHEN batch_id = 0 THEN '' ELSE '已存在，跳过' END AS error_message,
+ CASE WHEN batch_id = 0 THEN md5(t) END AS text_md5 FROM runs""",
 }

@@ -52,8 +52,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
     size = estimated_bytes(df)
-    unknown = size >= _NO_ESTIMATE  # a stream's micro-batch: go by its partitions
-    if df.rdd.getNumPartitions() >= cores if unknown else size >= cores * split:
+    if cores * split <= size < _NO_ESTIMATE:  # a stream's micro-batch has no estimate
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
