@@ -5,7 +5,7 @@ import pytest
 
 from foliomill import score_quality
 from foliomill.operators.scoring import with_counts, with_scores
-from tests.scorer import expected
+from tests.sql_scores import sql_scores
 
 HAN, FFFD, WIDE = chr(0x4E2D), chr(0xFFFD), chr(0x3000)
 WORDS = "word " * 60
@@ -49,7 +49,7 @@ def test_golden_rows(spark):
         assert found == pytest.approx((accuracy, completeness, weighted), abs=5e-7), row.text[:40]
 
 
-def test_random_texts_match_the_plain_rules_bit_for_bit(spark):
+def test_random_texts_match_the_sql_rules(spark):
     rng = random.Random(7)
     atoms = ["a", "b", "aaaaa", "------", ".", "! ", "?", " ", "\n", "\n\n", "\n\n\n", "\t", "\x01", "\x1f", "\r", FFFD, FFFD * 2]
     atoms += [HAN, HAN * 49, HAN * 51, WIDE, chr(0xA0) * 6, chr(0x85) * 7, chr(0x2028), "\x1c" * 6, "é" * 5, "_" * 6, "7" * 5]
@@ -59,10 +59,9 @@ def test_random_texts_match_the_plain_rules_bit_for_bit(spark):
         text = "".join(rng.choices(atoms, k=rng.randint(1, 25)))
         cases.append((text, rng.choice(exts), rng.choice([0, 1, len(text), len(text) * 2, len(text) * rng.randint(3, 50000)])))
     scored = score_quality(frame(spark, cases)).orderBy("id").collect()
-    for row, case in zip(scored, cases):
-        want = expected(*case)
+    for row, case, want in zip(scored, cases, sql_scores(cases), strict=True):
         found = (row.quality.accuracy, row.quality.completeness, row.quality.weighted_score)
-        assert found == (want.accuracy, want.completeness, want.weighted), repr(case)
+        assert found == pytest.approx(want, abs=1e-9), repr(case)
 
 
 def test_details_and_blank_error(spark):
@@ -78,7 +77,7 @@ def test_other_column_names_and_carried_columns(spark):
     df = spark.createDataFrame([(1, "One. Two.", ".txt", 50)], "k int, body string, kind string, bytes bigint")
     scored = score_quality(df, "body", "kind", "bytes")
     assert scored.columns == ["k", "body", "kind", "bytes", "quality"]
-    assert scored.first().quality.weighted_score == expected("One. Two.", ".txt", 50).weighted
+    assert scored.first().quality.weighted_score == pytest.approx(sql_scores([("One. Two.", ".txt", 50)])[0][2])
 
 
 def test_each_pattern_is_evaluated_once_even_below_a_filter(spark):
@@ -90,5 +89,5 @@ def test_each_pattern_is_evaluated_once_even_below_a_filter(spark):
 def test_long_texts_do_not_overflow_the_matcher(spark):
     texts = ["x" * 400_000, HAN * 400_000, "\n" * 400_000 + "a" + "\n" * 400_000, "ab" * 400_000 + "\n\n" + " " * 400_000]
     cases = [(t, ".txt", 1000) for t in texts]
-    for row, case in zip(score_quality(frame(spark, cases)).orderBy("id").collect(), cases):
-        assert row.quality.weighted_score == expected(*case).weighted
+    for row, want in zip(score_quality(frame(spark, cases)).orderBy("id").collect(), sql_scores(cases), strict=True):
+        assert row.quality.weighted_score == pytest.approx(want[2])

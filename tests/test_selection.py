@@ -5,7 +5,7 @@ from foliomill.operators.engines import table_engine
 from foliomill.operators.routing import route
 from foliomill.operators.selection import select_from_candidates, select_in_row, with_winning_text
 from foliomill.plans.corpus import convert_corpus, run_engines
-from tests.scorer import expected
+from tests.sql_scores import sql_scores
 
 GOOD, FLAT = "One. Two. Three.\n\nFour.", "no marks at all"
 # name, ext, text engine's text, second engine's text
@@ -60,14 +60,13 @@ def test_winner(chosen, name, tool, text, contested):
     r = chosen[name]
     assert (r.success, r.tool_used, r.text, r.contested, r.error_message) == (True, tool, text, contested, "")
     ext = dict((n, e) for n, e, _, _ in CASES)[name]
-    want = expected(text, ext, 120)
-    assert r.quality_score.weighted_score == want.weighted
+    assert r.quality_score.weighted_score == pytest.approx(sql_scores([(text, ext, 120)])[0][2])
     assert r.file_size_target == len(text.encode()) and r.file_size_source == 120
 
 
 def test_scores_of_both_engines_are_kept(chosen):
-    assert chosen["second better"].markitdown_score == expected("\x01" * 20, ".pdf", 120).weighted
-    assert chosen["second better"].ocr_score == expected(GOOD, ".pdf", 120).weighted
+    assert chosen["second better"].markitdown_score == pytest.approx(sql_scores([("\x01" * 20, ".pdf", 120)])[0][2])
+    assert chosen["second better"].ocr_score == pytest.approx(sql_scores([(GOOD, ".pdf", 120)])[0][2])
     assert chosen["only first"].ocr_score is None and chosen["image"].markitdown_score is None
 
 
@@ -104,7 +103,7 @@ def test_outside_candidates(spark):
     found = {r.source_path: (r.success, r.error_message) for r in results.collect()}
     assert found == {
         "f": (False, "MarkItDown: IOError: bad; PaddleOCR: Fault: no"),
-        "g": (False, ""),
+        "g": (False, "MarkItDown: 转换结果为空"),
         "i": (False, ""),  # the text engine's candidate does not count for an image
         "w": (False, "PaddleOCR: PaddleOCR 仅支持图片和PDF"),  # nor OCR's for a Word file
     }
