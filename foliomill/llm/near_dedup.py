@@ -13,7 +13,8 @@ where labels differ. For what then still lies in lists of several labels, shingl
 few of its shingles with any other cannot link and leaves. The others are merged by the same prefix rule once more, now on
 the lists of their full sets, which tells near misses apart, and all pairs of different labels in a list are made, from the
 members outside the list's most frequent label. Pairs with one label cannot change a class, so none that matters is
-left out. Every pair is confirmed on the full shingle sets before it links.
+left out. Every pair is confirmed on the full shingle sets before it links. List lengths and classes are written before
+they are joined back, so that Spark can split the partition of a hot key.
 
 With 64 coordinates and 32 matches a pair of similarity 0.8 is missed with a probability of about 1.5e-8.
 """
@@ -36,6 +37,7 @@ SHINGLE = 4
 COORDINATES = 64
 MATCHES = 32
 PERCENT = 80
+BEFORE = 8
 _SEEDS = W.mix(np.arange(1, 2 * COORDINATES + 1, dtype=W.U) * W.U(0xA0761D6478BD642F))
 _ONE_MULTIPLIER = W.U(0xE7037ED1A0B428DB)
 
@@ -121,7 +123,7 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     posted = classes.select(
         "id", "n", F.posexplode("signature").alias("coordinate", "value")
     ).select((F.col("coordinate") * F.lit(1 << 32) + F.col("value")).alias("key"), "id", "n")
-    lengths = posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
+    lengths = written(posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1"), "near-lengths")
     own = Window.partitionBy("id")
     merged = COORDINATES - MATCHES + 1
     return (
@@ -190,20 +192,26 @@ def _linkable(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 
 def _set_postings(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (key, id, n, label, most): members under the shortest of the lists of their full sets, by the prefix rule."""
+    """Rows (key, id, n, label, place, before): members under the shortest of the lists of their full sets, by the prefix rule.
+
+    `place` is the key's place in the member's set ordered by list length, `before` the keys next before it.
+    """
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.join(rest, "id", "left_semi").mapInArrow(_shingle_rows(width), f"shingle long, id {kind}")
     rows = written(rows, "near-shingles")
     lengths = rows.groupBy("shingle").agg(F.count("*").alias("length")).where("length > 1")
     own = Window.partitionBy("id")
+    ordered = own.orderBy("length", "shingle")
     needed = F.floor((F.col("n") * percent + 99) / 100)
     return (
         rows.join(lengths, "shingle")
         .withColumn("shared", F.count("*").over(own))
-        .withColumn("place", F.row_number().over(own.orderBy("length", "shingle")))
+        .withColumn("place", F.row_number().over(ordered))
+        .withColumn("before", F.collect_list("shingle").over(ordered.rowsBetween(-BEFORE, -1)))
         .join(rest.drop("most"), "id")
-        .where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - needed + 1)
-        .select(F.col("shingle").alias("key"), "id", "n", "label", F.col("shared").alias("most"))
+        .withColumn("place", F.col("place") + F.col("n") - F.col("shared"))
+        .where(F.col("place") <= F.col("n") - needed + 1)
+        .select(F.col("shingle").alias("key"), "id", "n", "label", "place", "before")
     )
 
 
@@ -215,11 +223,16 @@ def _several(labelled: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(several: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different labels in a list: members outside its most frequent label against all members."""
+    """All pairs of different labels in a list: members outside its most frequent label against all members.
+
+    A pair is made where the first key that it shares, in the order of lists, leaves enough keys after it on both sides; keys
+    with a shared one next before them are not the first.
+    """
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
     on &= (F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
-    common = F.least("x.most", "y.most")
+    common = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
     on &= common * 100 >= (F.col("x.n") + F.col("y.n") - common) * percent
+    on &= ~F.arrays_overlap("x.before", "y.before")
     pairs = several.where("label != major").alias("x").join(several.alias("y"), on)
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -239,7 +252,7 @@ def near_duplicates(
         rows.mapInArrow(_features(width), f"id {kind}, n long, low long, high long, signature array<long>"), "near-features"
     )
     filled = features.where("n > 0 and id is not null")
-    by_set = filled.groupBy("n", "low", "high").agg(F.min("id").alias("class"))
+    by_set = written(filled.groupBy("n", "low", "high").agg(F.min("id").alias("class")), "near-classes")
     heads = by_set.select(F.col("class").alias("id"))
     classes = filled.join(heads, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "signature")
     postings = written(prefix_postings(classes), "near-postings")
