@@ -62,6 +62,7 @@ def _pieces_of(path: str, capacity: int):
             ]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], names)
+        encoder.forget()  # the worker may serve other stages next
 
     return run
 

@@ -88,6 +88,10 @@ class WordIds:
         for word, found in split:
             self.words[word] = known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts in UTF-8; words that are new are learnt together."""
         split = [None if b"<|" in t else t.lower().split() for t in texts]
@@ -96,8 +100,7 @@ class WordIds:
             seen.update(words or ())
         missing = seen.difference(self.words)
         if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words.clear()
-            self.pieces.clear()
+            self.forget()
             missing = seen
         self._learn(missing)
         known = self.words
@@ -111,5 +114,5 @@ class WordIds:
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One encoder for all tasks that a Python worker runs, with the words it has learnt."""
+    """One encoder for all tasks that a Python worker runs."""
     return WordIds(path)
