@@ -14,7 +14,8 @@ Building it edge by edge would shuffle every word of the corpus many times, so e
    the coordinates of each distinct run's first occurrence. All other occurrences were dealt with in 2.
 
 Both steps give spans of source coordinates; words inside them go. Hot runs, anchors and windows are reduced before each
-shuffle, joins back are on unique keys, and per document the work is bounded by the document itself.
+shuffle. Joins back are on unique keys that are written first: both sides then come straight from an exchange, so that Spark
+can split a hot key's partition. Per document the work is bounded by the document itself.
 
 Hashes have 64 bits and are compared only under an equal 64-bit anchor.
 """
@@ -137,7 +138,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Runs (id, anchor, content, start, n) of `docs` (id, text) whose anchor is found at least twice."""
     kind = docs.schema["id"].dataType.simpleString()
     counts = docs.mapInArrow(_runs_of(width, True), "anchor long, n long")
-    repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    repeated = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "substring-anchors")
     runs = docs.mapInArrow(_runs_of(width, False), f"id {kind}, anchor long, content long, start long, n long")
     return runs.join(repeated, "anchor", "left_semi")
 
@@ -197,6 +198,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     )
     packed = docs.mapInArrow(_packed, f"id {kind}, packed binary")
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = written(mixed, "substring-mixed")
     asked = (
         distinct.join(mixed, "anchor", "left_semi")
         .groupBy(F.col("first.id").alias("id"))
@@ -206,11 +208,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
         packed.join(asked, "id").mapInArrow(_windows_of(width), f"id {kind}, anchor long, window long, start long"),
         "substring-windows",
     )
-    earliest = (
+    earliest = written(
         windows.groupBy("anchor", "window")
         .agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first"))
         .where("n > 1")
-        .drop("n")
+        .drop("n"),
+        "substring-earliest",
     )
     single = (
         windows.join(earliest, ["anchor", "window"])
