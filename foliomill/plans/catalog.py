@@ -19,7 +19,7 @@ from foliomill.operators import report, tables, targets
 from foliomill.operators.engines import ColumnEngine, isolated_engine, missing_ocr, table_engine
 from foliomill.operators.formats import format_engine
 from foliomill.operators.routing import route, use_ocr_engine, use_text_engine
-from foliomill.operators.scoring import with_counts, with_scores
+from foliomill.operators.scoring import score_quality, with_counts, with_scores
 from foliomill.operators.selection import select_from_candidates, select_in_row
 from foliomill.plans.corpus import convert_corpus, convert_to_tables, read_results, run_engines, running_stats
 from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
@@ -229,6 +229,18 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", "ext", *[F.round(c, 6).alias(c) for c in ratios_and_scores])
 
 
+def quality_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole score record of every document, by the one call that takes any table."""
+    scored = score_quality(_texts(spark, sf_dir)).select("doc_id", "quality.*")
+    details = ("char_count", "sentence_count", "error")
+    return scored.select(
+        "doc_id",
+        *[F.round(c, 6).alias(c) for c in ("accuracy", "completeness", "weighted_score")],
+        *[F.col(f"details.{c}").alias(c) for c in details],
+        *[F.round(f"details.{c}", 6).alias(c) for c in ("chinese_ratio", "garbage_ratio")],
+    )
+
+
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score distribution per extension and label, with totals; a score of 80 counts as won."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
@@ -581,6 +593,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         csv_to_markdown,
         quality_features,
         quality_score,
+        quality_details,
         quality_report,
         select_best,
         select_best_long,

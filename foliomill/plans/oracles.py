@@ -308,6 +308,12 @@ SELECT k AS doc_id, char_count, byte_count, control_chars, replacement_runs, wor
     "quality_score": f"""{DOC_SCORES}
 SELECT k AS doc_id, ext, round(garbage_ratio, 6) AS garbage_ratio, round(chinese_ratio, 6) AS chinese_ratio,
  round(accuracy, 6) AS accuracy, round(completeness, 6) AS completeness, round(weighted_score, 6) AS weighted_score FROM scores""",
+    "quality_details": f"""{DOC_SCORES}
+SELECT k AS doc_id, round(accuracy, 6) AS accuracy, round(completeness, 6) AS completeness, round(weighted_score, 6) AS weighted_score,
+ CASE WHEN paragraph_count > 0 THEN char_count END AS char_count, CASE WHEN paragraph_count > 0 THEN sentence_count END AS sentence_count,
+ CASE WHEN paragraph_count = 0 THEN '空文本' END AS error,
+ CASE WHEN paragraph_count > 0 THEN round(chinese_ratio, 6) END AS chinese_ratio,
+ CASE WHEN paragraph_count > 0 THEN round(garbage_ratio, 6) END AS garbage_ratio FROM scores""",
     "quality_report": f"""{DOC_SCORES},
 labelled AS (
  SELECT ext, coalesce(CAST(quality AS VARCHAR), 'none') AS label, weighted_score, floor(weighted_score * 10) / 10 AS tenth
