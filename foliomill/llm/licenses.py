@@ -1,7 +1,7 @@
 """Licence texts found by the digest of their canonical form; DataFrame functions only.
 
-Texts are brought to one spelling: lower case, copyright and rights lines gone, equivalent words alike, everything but
-letters and digits one space. Two texts with the same canonical form have the same SHA-256 digest, so whole texts are looked up by
+Texts are brought to one spelling: lower case, copyright and rights lines gone, equivalent words alike, runs of white space,
+punctuation and other marks one space. Two texts with the same canonical form have the same SHA-256 digest, so whole texts are looked up by
 a join of digests. Each line is looked up the same way as a text of its own, which finds notices in longer texts.
 """
 
@@ -12,21 +12,31 @@ from pyspark.sql import functions as F
 
 from foliomill.llm.tables import written
 
-#: Patterns and their replacements, in order; the dialect is common to Java and RE2.
+#: Steps in order: marks of which a text holds one if the step may change it, and patterns with replacements. The dialect is
+#: common to Java and RE2.
 CANONICAL_STEPS = (
-    (r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$", ""),
-    (r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$", ""),
-    (r"[^\p{L}\p{N}]+", " "),
-    (r"(^| )licence", "$1license"),
-    (r"(^| )sub license", "$1sublicense"),
-    (r"(^| )non commercial", "$1noncommercial"),
-    (r"(^| )merchantibility", "$1merchantability"),
-    (r"(^| )organisation", "$1organization"),
-    (r"(^| )favour", "$1favor"),
-    (r"(^| )creative commons ", "$1cc "),
-    (r"(^| )gnu general public license", "$1gnu gpl"),
-    (r"(^| )(version |ver |v)([0-9])", "$1$3"),
-    (r"^ +| +$", ""),
+    (
+        ("copyright", "(c)", "©", "all rights reserved"),
+        (
+            (r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$", ""),
+            (r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", ""),
+        ),
+    ),
+    ((), ((r"[\x00-\x2f\x3a-\x60\x7b-\x{bf}\x{2000}-\x{206f}\x{3000}-\x{303f}]+", " "),)),
+    (
+        ("licen", "non commercial", "merchantib", "organisation", "favour", "creative commons"),
+        (
+            (r"(^| )licence", "$1license"),
+            (r"(^| )sub license", "$1sublicense"),
+            (r"(^| )non commercial", "$1noncommercial"),
+            (r"(^| )merchantibility", "$1merchantability"),
+            (r"(^| )organisation", "$1organization"),
+            (r"(^| )favour", "$1favor"),
+            (r"(^| )creative commons ", "$1cc "),
+            (r"(^| )gnu general public license", "$1gnu gpl"),
+            (r"(^| )(version |ver |v)([0-9])", "$1$3"),
+        ),
+    ),
 )
 
 #: Names that notices give to licences.
@@ -88,11 +98,27 @@ WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
 
+def _step(marks: tuple[str, ...], rules: tuple[tuple[str, str], ...]):
+    def apply(text: Column) -> Column:
+        changed = text
+        for pattern, replacement in rules:
+            changed = F.regexp_replace(changed, F.lit(pattern), F.lit(replacement))
+        if not marks:
+            return changed
+        held = F.lit(False)
+        for m in marks:
+            held |= F.contains(text, F.lit(m))
+        return F.when(held, changed).otherwise(text)
+
+    return apply
+
+
 def canonical(text: Column) -> Column:
+    """The canonical form; a step's patterns run only on texts that hold one of its marks."""
     out = F.lower(text)
-    for pattern, replacement in CANONICAL_STEPS:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
-    return out
+    for marks, rules in CANONICAL_STEPS:
+        out = F.transform(F.array(out), _step(marks, rules))[0]  # names the text, so that it is made once
+    return F.trim(out)
 
 
 def digest(text: Column) -> Column:

@@ -114,11 +114,15 @@ FROM counts LEFT JOIN verdicts USING (doc_id)
 
 def _canonical(text: str) -> str:
     out = f"lower({text})"
-    for pattern, replacement in CANONICAL_STEPS:
-        for k in "123":
-            replacement = replacement.replace(f"${k}", f"\\{k}")
-        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
-    return out
+    for marks, rules in CANONICAL_STEPS:
+        changed = "t"
+        for pattern, replacement in rules:
+            for k in "123":
+                replacement = replacement.replace(f"${k}", f"\\{k}")
+            changed = f"regexp_replace({changed}, '{pattern}', '{replacement}', 'g')"
+        held = " OR ".join(f"contains(t, '{m}')" for m in marks)
+        out = f"list_transform([{out}], lambda t: {f'CASE WHEN {held} THEN {changed} ELSE t END' if held else changed})[1]"
+    return f"trim({out})"
 
 
 def _licenses() -> str:
