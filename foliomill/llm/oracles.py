@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliomill.llm.licenses import CANONICAL_STEPS, known_texts
+from foliomill.llm.licenses import known_texts
 from foliomill.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, SPREAD_FACTOR
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -112,17 +112,29 @@ FROM counts LEFT JOIN verdicts USING (doc_id)
 """
 
 
+#: The canonical form by its definition: every rule on every text.
+_SPELLING = (
+    (r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$", ""),
+    (r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$", ""),
+    (r"[^\p{L}\p{N}]+", " "),
+    (r"(^| )licence", r"\1license"),
+    (r"(^| )sub license", r"\1sublicense"),
+    (r"(^| )non commercial", r"\1noncommercial"),
+    (r"(^| )merchantibility", r"\1merchantability"),
+    (r"(^| )organisation", r"\1organization"),
+    (r"(^| )favour", r"\1favor"),
+    (r"(^| )creative commons ", r"\1cc "),
+    (r"(^| )gnu general public license", r"\1gnu gpl"),
+    (r"(^| )(version |ver |v)([0-9])", r"\1\3"),
+    (r"^ +| +$", ""),
+)
+
+
 def _canonical(text: str) -> str:
     out = f"lower({text})"
-    for marks, rules in CANONICAL_STEPS:
-        changed = "t"
-        for pattern, replacement in rules:
-            for k in "123":
-                replacement = replacement.replace(f"${k}", f"\\{k}")
-            changed = f"regexp_replace({changed}, '{pattern}', '{replacement}', 'g')"
-        held = " OR ".join(f"contains(t, '{m}')" for m in marks)
-        out = f"list_transform([{out}], lambda t: {f'CASE WHEN {held} THEN {changed} ELSE t END' if held else changed})[1]"
-    return f"trim({out})"
+    for pattern, replacement in _SPELLING:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
+    return out
 
 
 def _licenses() -> str:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import time
 
+import duckdb
 import zstandard
 from pyspark.sql import functions as F
 
@@ -155,6 +156,27 @@ def test_licences_under_other_spellings(spark, empty):
     assert licenses.license_scan(docs, known.limit(0)).where("license_id is not null").count() == 0
 
 
+def test_every_spelling_rule_runs_on_every_text(spark):
+    from foliomill.llm.oracles import _canonical
+
+    lines = {
+        "Released under the GNU GPL v3.": ["GPL-3.0"],
+        "Released under CC BY v4.0": ["CC-BY-4.0"],
+        "Distributed under the CC0 version 1.0": ["CC0-1.0"],
+        "\ufeffReleased under the MIT License.": ["MIT"],
+        "Released under the MIT\u2122 License\uff0e": ["MIT"],
+        "\u25a0 Released under the MIT License.": ["MIT"],
+        "v4 favour \u00e9t\u00e9 over ver 2": [],
+        "\u00e9 copyright 2020": [],
+    }
+    rows = list(enumerate(lines))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.license_scan(docs, licenses.known_digests(spark)).collect()}
+    assert [found[k]["notices"] for k, _ in rows] == list(lines.values())
+    sql = duckdb.connect().execute(f"SELECT k, sha256({_canonical('t')}) FROM (SELECT unnest(?) AS k, unnest(?) AS t)", [[k for k, _ in rows], list(lines)])
+    assert dict(sql.fetchall()) == {k: r["text_digest"] for k, r in found.items()}
+
+
 def test_licence_scan_is_native(spark, sf_dir):
     from foliomill.llm.queries import op10_license_scan
 
