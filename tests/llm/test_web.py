@@ -98,6 +98,14 @@ def test_constant_nodes_of_a_host_are_template(spark):
     assert found[50].startswith("Welcome")  # alone on its host
 
 
+def test_a_host_has_a_template_for_each_layout(spark):
+    one = lambda k: f"<body><div><p>Welcome</p><p>Story {k}</p></div></body>"
+    two = lambda k: f"<body><section><h2>Archive</h2><p>Entry {k}</p></section></body>"
+    rows = [(k, f"http://one.example/{k}", (one if k % 2 else two)(k)) for k in range(2, 30)]
+    found = texts(spark, [(0, "http://one.example/0", None), (1, "http://one.example/1", "<body></body>"), *rows])
+    assert found == {0: "", 1: ""} | {k: f"{'Story' if k % 2 else 'Entry'} {k}" for k in range(2, 30)}
+
+
 def test_copies_of_one_page_are_no_template(spark):
     rows = [(k, f"http://one.example/{k}", "<body><p>Same story</p><p>everywhere</p></body>") for k in range(30)]
     assert set(texts(spark, rows).values()) == {"Same story\neverywhere"}
