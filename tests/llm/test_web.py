@@ -88,6 +88,17 @@ def test_article_without_its_surroundings(spark):
     assert found == {1: TEXT, 2: "", 3: "", 4: "plain text <b>", 5: "unclosed x", None: TEXT}
 
 
+def test_no_part_of_an_article_goes():
+    text = lambda h: [n.text for n in wrapper.leaves(wrapper.content_tree(h)[0])]
+    assert text("<p>x</p><article><p>one</p></article><p>y</p><article><p>part two</p></article>") == ["one", "part two"]
+    assert text("<div itemprop=articleBody>a</div><div class=ad>buy</div><div itemprop=articleBody>b</div>") == ["a", "b"]
+    assert text("<div class='has-sidebar'><article><p>one</p></article><div class='sidebar'>side</div></div>") == ["one"]
+    post = "<article class='post comment-open'><p>story of the day</p><div class='share'>share</div></article>"
+    assert text(f"{post}<ol class='commentlist'><li><article class='comment'>first</article></ol>") == ["story of the day"]
+    assert text("<form><p>a long story in a form</p><div class='menu'>menu</div></form>") == ["a long story in a form"]
+    assert text("<p><a href=x>a linked paragraph</a></p><p>more</p>") == ["a linked paragraph", "more"]
+
+
 def test_constant_nodes_of_a_host_are_template(spark):
     def page(k):
         return f"<body><div><p>Welcome to our site</p><div><p>Story {k}</p><p>More of {k * 7}</p></div><p>Call us any time</p></div></body>"
