@@ -18,6 +18,8 @@ from foliomill.llm.queries import PACKING_VOCABULARY, quality_model
 from foliomill.llm.substring import remove_repeats
 from foliomill.llm.tables import table, written
 
+#: Words of a shingle in the near-duplicate stage; the query of op5 has its own.
+SHINGLE = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -29,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each near-duplicate class; of rows with one id, one; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
+    kept = near_duplicates(docs, width=SHINGLE).where("kept").select("doc_id").where("doc_id is not null").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 

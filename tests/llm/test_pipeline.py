@@ -82,6 +82,14 @@ def test_stages_do_what_they_say(spark, sf, corpus):
     assert {r["doc_id"] for r in packed} == {k for k, _ in rows}
 
 
+def test_near_duplicates_by_five_words(spark, sf):
+    words = [f"w{k}" for k in range(400)]
+    edited = [f"x{k}" if k % 40 == 20 else w for k, w in enumerate(words)]  # 10 words apart: 357/437 by four words, 346/446 by five
+    docs = spark.createDataFrame([(k, " ".join(w), "en", "a", 1) for k, w in enumerate((words, edited, words))], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, sf)
+    assert sorted(k for k, _ in collected(kept)) == [0, 1]
+
+
 def test_run_and_empty_tables(spark, sf, empty):
     assert corpus_pipeline.run(spark, sf).count() > 0
     docs = empty.select(*corpus_pipeline.COLUMNS)
