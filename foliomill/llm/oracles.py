@@ -151,9 +151,64 @@ FROM whole LEFT JOIN known ON text_digest = digest LEFT JOIN found USING (doc_id
 """
 
 
+MERKLE = """
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, n_chars, crc,
+         sha256(head || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS bad,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT *,  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+              lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) AS crc,
+          coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+            || coalesce(octet_length(encode(source)) || ':' || source, '-')
+            || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+          coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM documents)
+),
+nodes AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n
+),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+above AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY level, pos // 2, n
+),
+tree AS (
+  SELECT coalesce('l' || lang, '') AS tree, level, pos, n, digest FROM nodes
+  UNION ALL SELECT 'top', level, pos, n, digest FROM above
+),
+walk AS (
+  SELECT doc_id, lang, 'l' AS stage, coalesce('l' || lang, '') AS tree, 0 AS level, pos, n, leaf, '' AS proof,
+         CASE WHEN crc % 7 = 0 THEN bad ELSE leaf END AS own
+  FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.lang,
+         CASE WHEN w.n > 1 THEN w.stage ELSE 'top' END, CASE WHEN w.n > 1 THEN w.tree ELSE 'top' END,
+         CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.pos // 2 ELSE r.pos END,
+         CASE WHEN w.n > 1 THEN (w.n + 1) // 2 ELSE r.n END, w.leaf,
+         CASE WHEN w.n > 1 THEN w.proof || coalesce(s.digest, '') ELSE w.proof END,
+         CASE WHEN w.n = 1 THEN w.own WHEN w.pos % 2 = 0 THEN sha256(w.own || coalesce(s.digest, '')) ELSE sha256(s.digest || w.own) END
+  FROM walk w
+  LEFT JOIN tree s ON s.tree = w.tree AND s.level = w.level AND s.pos = xor(w.pos, 1)
+  LEFT JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang
+  WHERE w.n > 1 OR w.stage = 'l'
+)
+SELECT w.doc_id, w.leaf, r.subroot, a.digest AS root, sha256(w.proof) AS proof_sha256, w.own AS folded_root, w.own = a.digest AS verified
+FROM walk w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang JOIN above a ON a.n = 1
+WHERE w.stage = 'top' AND w.n = 1
+"""
+
 ORACLES = {
     "op4_substring_dedup": SUBSTRING,
     "op5_near_dedup": NEAR,
     "op8_quality_rules": _quality(),
     "op10_license_scan": _licenses(),
+    "op11_merkle_manifest": MERKLE,
 }

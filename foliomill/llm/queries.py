@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliomill.llm import language, mil
 from foliomill.llm.decontaminate import contaminated
 from foliomill.llm.licenses import known_digests, license_scan
+from foliomill.llm.merkle import manifest, proof_text
 from foliomill.llm.oracles import ORACLES as ORACLES
 from foliomill.llm.packing import pack_documents
 from foliomill.llm.near_dedup import near_duplicates
@@ -87,9 +88,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tree = manifest(table(spark, sf_dir, "documents"), F.when(tampered, n_chars + 1).otherwise(n_chars))
+    proof = F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256")
+    return tree.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op6_warc,
-        op7_wrapper_induction, op8_quality_rules, op9_quality_classifier, op10_license_scan,
+        op7_wrapper_induction, op8_quality_rules, op9_quality_classifier, op10_license_scan, op11_merkle_manifest,
     )
 }
