@@ -205,10 +205,94 @@ FROM walk w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang JOIN above a O
 WHERE w.stage = 'top' AND w.n = 1
 """
 
+def _way(state: str, cost: str, letter: str, line: str | None = None, when: str = "true") -> str:
+    """The way to a state, one edit longer."""
+    left = f"{state}.o" if line is None else f"list_append({state}.o, {line})"
+    key = f"lpad(({state}.k[:9]::BIGINT + {cost})::VARCHAR, 9, '0') || {state}.k[10:] || '{letter}'"
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'k': {key}, 'o': {left}}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _conversations() -> str:
+    user, assistant, own = "'user:' || text", "'assistant:' || text", "role || ':' || text"
+    delete = lambda k: _way(f"w.s{k}", "3", "D")
+    rerole = lambda k, line: _way(f"w.s{k}", "2 + extra", "R", line, "stays")
+    keep = lambda k, initial: _way(f"w.s{k}", "extra", "K", own, f"stays AND initial = '{initial}'")
+    s0, s1, s3 = _least(delete(0)), _least(delete(1), keep(0, "s")), _least(delete(3), keep(2, "a"), rerole(2, assistant))
+    s2 = _least(delete(2), *[keep(k, "u") for k in (0, 1, 3)], *[rerole(k, user) for k in (0, 1, 3)])
+    i2 = _least("s2", *[_way(f"s{k}", "2", "I", "'user:'") for k in (0, 1, 3)])
+    i3 = _least("s3", _way("i2", "2", "I", "'assistant:'"))
+    return rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+),
+dealt AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS fault
+  FROM named
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM dealt
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid
+  FROM hurt
+),
+judged AS (
+  SELECT *, left(role, 1) AS initial, solid = '' AS blank,
+         solid <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS duplicate,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair
+  FROM placed
+),
+faults AS (SELECT *, NOT blank AND NOT duplicate AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated FROM judged),
+steps AS (
+  SELECT conv_id, pos, NOT (blank OR duplicate) AS stays, truncated::INT AS extra, initial, role, text,
+         pos = max(pos) OVER (PARTITION BY conv_id) AS final FROM faults
+),
+-- a way is its cost in nine digits, its audit, and what it leaves; the least way of a state is the least text
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, {{'k': '000000000', 'o': []::VARCHAR[]}} AS s0, NULL::STRUCT(k VARCHAR, o VARCHAR[]) AS s1,
+         NULL::STRUCT(k VARCHAR, o VARCHAR[]) AS s2, NULL::STRUCT(k VARCHAR, o VARCHAR[]) AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT w.conv_id, s.pos, {s0}, {s1}, {s2}, {s3}
+  FROM (SELECT conv_id, pos, s0, s1, i2 AS s2, {i3} AS s3 FROM (SELECT *, {i2} AS i2 FROM walk)) w
+  JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.pos = w.pos + 1
+),
+ended AS (
+  SELECT w.conv_id, {_least('s0', 's3')} AS best
+  FROM (SELECT conv_id, pos, s0, s1, i2 AS s2, {i3} AS s3 FROM (SELECT *, {i2} AS i2 FROM walk)) w
+  LEFT JOIN (SELECT conv_id, max(pos) AS n FROM steps GROUP BY conv_id) s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
+  WHERE w.pos = coalesce(s.n, 0)
+),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.k[:9]::BIGINT AS cost, best.k[10:] AS audit,
+       sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 ORACLES = {
     "op4_substring_dedup": SUBSTRING,
     "op5_near_dedup": NEAR,
     "op8_quality_rules": _quality(),
     "op10_license_scan": _licenses(),
     "op11_merkle_manifest": MERKLE,
+    "op13_conversation_repair": _conversations(),
 }

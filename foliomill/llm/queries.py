@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import language, mil
+from foliomill.llm.conversations import audited
 from foliomill.llm.decontaminate import contaminated
 from foliomill.llm.licenses import known_digests, license_scan
 from foliomill.llm.merkle import manifest, proof_text
@@ -96,9 +97,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op6_warc,
         op7_wrapper_induction, op8_quality_rules, op9_quality_classifier, op10_license_scan, op11_merkle_manifest,
+        op13_conversation_repair,
     )
 }

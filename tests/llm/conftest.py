@@ -35,6 +35,6 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def duck(sf_dir):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "labels", "benchmark"):
+    for table in ("documents", "pages", "labels", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     return connection
