@@ -205,6 +205,30 @@ FROM walk w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang JOIN above a O
 WHERE w.stage = 'top' AND w.n = 1
 """
 
+BYTES = """
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), places AS (
+  SELECT r, h, unnest(range(0, length(h) // 2)) AS p FROM texts
+), windows AS (
+  SELECT r, p, substr(h, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 400 <= length(h) THEN md5(substr(h, 2 * p + 1, 400)) END AS w FROM places
+), marked AS (
+  SELECT r, p, byte, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS again FROM windows
+), covered AS (
+  SELECT r, p, byte, max(again) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM marked
+), spans AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM covered
+), kept AS (
+  SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+         coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS left_over
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(left_over, ''))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
 def _way(state: str, cost: str, letter: str, line: str | None = None, when: str = "true") -> str:
     """The way to a state, one edit longer."""
     left = f"{state}.o" if line is None else f"list_append({state}.o, {line})"
@@ -294,5 +318,6 @@ ORACLES = {
     "op8_quality_rules": _quality(),
     "op10_license_scan": _licenses(),
     "op11_merkle_manifest": MERKLE,
+    "op12_suffix_array_dedup": BYTES,
     "op13_conversation_repair": _conversations(),
 }

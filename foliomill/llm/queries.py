@@ -17,6 +17,7 @@ from foliomill.llm.packing import pack_documents
 from foliomill.llm.near_dedup import near_duplicates
 from foliomill.llm.quality_rules import quality_rules
 from foliomill.llm.substring import remove_repeats
+from foliomill.llm.suffixes import remove_repeated_bytes
 from foliomill.llm.tables import table
 from foliomill.llm.warc import archive_pages
 from foliomill.llm.wrapper import extract_text
@@ -97,6 +98,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -105,6 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_language_id, op3_best_fit_packing, op4_substring_dedup, op5_near_dedup, op6_warc,
         op7_wrapper_induction, op8_quality_rules, op9_quality_classifier, op10_license_scan, op11_merkle_manifest,
-        op13_conversation_repair,
+        op12_suffix_array_dedup, op13_conversation_repair,
     )
 }

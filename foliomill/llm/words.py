@@ -162,3 +162,13 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+BYTE_VALUE = _BYTE_VALUE
+
+
+def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the byte values times powers of a base, and the inverse powers: (p[j] - p[i]) * inverse[i] is the hash of [i, j)."""
+    prefix = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum(_BYTE_VALUE[data] * powers(_BASE, len(data)), out=prefix[1:])
+    return prefix, powers(_BASE_INV, len(data) + 1)
