@@ -208,10 +208,12 @@ WHERE w.stage = 'top' AND w.n = 1
 BYTES = """
 WITH texts AS (
   SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT r, c, substr(h, 2 * c + 1, 512 + 398) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 2, 256)) AS c FROM texts)
 ), places AS (
-  SELECT r, h, unnest(range(0, length(h) // 2)) AS p FROM texts
+  SELECT r, c, h, unnest(range(0, least(256, length(h) // 2))) AS q FROM pieces
 ), windows AS (
-  SELECT r, p, substr(h, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 400 <= length(h) THEN md5(substr(h, 2 * p + 1, 400)) END AS w FROM places
+  SELECT r, c + q AS p, substr(h, 2 * q + 1, 2) AS byte, CASE WHEN 2 * q + 400 <= length(h) THEN md5(substr(h, 2 * q + 1, 400)) END AS w FROM places
 ), marked AS (
   SELECT r, p, byte, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS again FROM windows
 ), covered AS (

@@ -218,13 +218,13 @@ class Suffixes:
             x, y = order[at - 1], order[at]
             most = np.minimum(self.length[x], self.length[y])
             column = np.arange(int(most.max(initial=0)) + 1)
-            cell = np.minimum(column, most[:, None] - 1).clip(min=0)
-            differ = self.text[self.start[x][:, None] + cell] != self.text[self.start[y][:, None] + cell]
+            last = len(self.text) - 1
+            p, q = (np.minimum(self.start[s][:, None] + np.minimum(column, most[:, None]), last) for s in (x, y))
+            differ = self.text[p] != self.text[q]
             differ |= column >= most[:, None]
             shared[at] = common = differ.argmax(axis=1)
             ends = common == most
-            behind = np.minimum(common, most - 1).clip(min=0)
-            less = self.text[self.start[x] + behind] < self.text[self.start[y] + behind]
+            less = self.text[np.minimum(self.start[x] + common, last)] < self.text[np.minimum(self.start[y] + common, last)]
             right &= bool(np.where(ends, self.length[x] <= self.length[y], less).all())
         return shared, right
 

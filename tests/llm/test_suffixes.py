@@ -30,6 +30,7 @@ def random_suffixes(rng, letters, n):
     text = np.array(rng.choices(letters, k=4000), dtype=np.uint8)
     start = np.array([rng.randrange(3700) for _ in range(n)])
     length = np.array([rng.randrange(0, 250) for _ in range(n)])
+    start[-1], length[-1] = len(text), 0
     return text, start, length, np.array([rng.randrange(1 + n // 20) for _ in range(n)])
 
 
