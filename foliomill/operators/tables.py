@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.operators.skew import attach_group_extreme
+from foliomill.sources.split_csv import SPLIT_BYTES, csv_files, read_csv_rows
 
 ROWS_PER_PART = 10_000
 
@@ -15,9 +15,12 @@ def cell(df: DataFrame, column: str) -> Column:
     """A value as it stands in a pipe table. Strings, and what holds strings, can have a pipe or a line break in them."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    if not isinstance(df.schema[column].dataType, plain):
-        for old, new in (("\r\n", " "), ("\n", " "), ("\r", " "), ("|", "\\|")):
-            text = F.replace(text, F.lit(old), F.lit(new))
+    return text if isinstance(df.schema[column].dataType, plain) else one_line(text)
+
+
+def one_line(text: Column) -> Column:
+    for old, new in (("\r\n", " "), ("\n", " "), ("\r", " "), ("|", "\\|")):
+        text = F.replace(text, F.lit(old), F.lit(new))
     return text
 
 
@@ -63,29 +66,21 @@ def _literal_row(names: list[str]) -> str:
     return "| " + " | ".join(n.replace("|", "\\|") for n in names) + " |"
 
 
-def file_path() -> Column:
-    """The path of a row's file as manifests have it: not encoded, without the scheme of local files."""
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, "^file:(//)?(?=/)", "")
+def cells_to_markdown(rows: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """One pipe table per path of `path, row_no, cells`, as `rows_to_markdown`; row 0 is the heading, rows keep all their cells."""
+    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", one_line), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit("---|"), F.size("cells")))
+    lines = rows.select("path", "row_no", F.concat(line, F.when(F.col("row_no") == 0, rule).otherwise(F.lit(""))).alias("line"))
+    return (
+        lines.groupBy("path", F.floor(F.col("row_no") / rows_per_part).alias("part_no"))
+        .agg(F.count(F.lit(1)).alias("row_count"), F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("rows"))
+        .select("path", "part_no", "row_count", F.array_join(F.col("rows.line"), "\n").alias("text"))
+    )
 
 
-def csv_to_markdown(
-    spark: SparkSession, path: str, n_columns: int, multi_line: bool = True, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """One Markdown table per csv file of `n_columns` columns; each file's first row is its heading.
+def csv_to_markdown(spark: SparkSession, root: str, split_bytes: int = SPLIT_BYTES, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """One Markdown table per csv file below `root`, with all its columns; each file's first row is its heading.
 
-    With `multi_line`, quoted line breaks are read, but a file is one task. Without it large files are split.
+    A file larger than `split_bytes` is read by several tasks, whatever its quoted cells hold.
     """
-    names = [f"c{i}" for i in range(n_columns)]
-    rows = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("multiLine", multi_line)
-        .option("header", False)
-        .option("escape", '"')
-        .csv(path)
-        .select(file_path().alias("path"), F.monotonically_increasing_id().alias("_row_id"), *names)
-    )
-    row_id = F.col("_row_id")
-    numbered = attach_group_extreme(rows, "path", row_id, "_first_id", salt_on=row_id)
-    placed = numbered.withColumn("_row_no", row_id - F.col("_first_id"))
-    return rows_to_markdown(placed, "path", "_row_no", names, header=False, rows_per_part=rows_per_part)
+    return cells_to_markdown(read_csv_rows(csv_files(spark, root), split_bytes), rows_per_part)

@@ -26,6 +26,7 @@ from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
 from foliomill.session import spread, work_folder
 from foliomill.sources.files import default_output_dir, manifest, scan_files
 from foliomill.sources.sinks import export_texts
+from foliomill.sources.split_csv import read_csv_rows
 from foliomill.sources.walk import read_contents, walk_files
 from foliomill.streaming.incremental import convert_stream
 
@@ -573,11 +574,31 @@ def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("escape", '"')
         .csv(folder)
     )
-    per_file = tables.csv_to_markdown(spark, folder, 2)
+    per_file = tables.csv_to_markdown(spark, folder)
     nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int")
     return per_file.select(nation.alias("c_nationkey"), "part_no", "row_count", "text")
 
 
+CSV_SPLIT = 2_000
+
+
+def csv_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One csv file a market segment, cut at every 2,000 bytes: quoted line breaks, doubled and lone quotes, rows of any width."""
+    folder = work_folder(spark, "csv-split")
+    key, name = F.col("c_custkey"), F.col("c_name")
+    quoted = F.concat(F.lit('"'), F.replace("c_name", F.lit("#"), F.lit(',\r\n""')), F.lit('"'))
+    cell = F.when(key % 4 == 0, quoted).when(key % 4 == 1, F.concat(name, F.lit('" wide'))).when(key % 4 == 2, "").otherwise(name)
+    width = F.repeat(F.concat(F.lit(","), F.col("c_nationkey").cast("string")), (key % 3).cast("int"))
+    lines = _table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", F.concat(key.cast("string"), F.lit(","), cell, width).alias("value"))
+    one_file = lines.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey")
+    one_file.select("c_mktsegment", "value").write.partitionBy("c_mktsegment").text(f"{folder}/text")
+    # the csv reader goes by file names
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/text")
+    rows = read_csv_rows(files.select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("path"), "length"), CSV_SPLIT)
+    segment = F.regexp_extract("path", r"c_mktsegment=([^/]*)/", 1)
+    return rows.select(F.url_decode(segment).alias("c_mktsegment"), "row_no", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -591,6 +612,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table_to_markdown,
         table_to_markdown_parts,
         csv_to_markdown,
+        csv_split_rows,
         quality_features,
         quality_score,
         quality_details,

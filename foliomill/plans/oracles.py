@@ -302,6 +302,11 @@ FROM customer JOIN firsts USING (c_nationkey) GROUP BY c_nationkey, c_custkey //
    '| ' || CASE WHEN c_custkey % 4 = 0 THEN replace(c_name, '#', ' ') ELSE c_name END || ' | ' || c_mktsegment || '\|" |',
    chr(10) ORDER BY c_custkey) AS text
 FROM customer GROUP BY c_nationkey""",
+    "csv_split_rows": r"""SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS row_no,
+ CAST(2 + c_custkey % 3 AS INTEGER) AS n_cells, c_custkey || '|' || CASE c_custkey % 4
+   WHEN 0 THEN replace(c_name, '#', ',' || chr(13) || chr(10) || '"') WHEN 1 THEN c_name || '" wide' WHEN 2 THEN '' ELSE c_name END
+   || repeat('|' || c_nationkey, CAST(c_custkey % 3 AS INTEGER)) AS cells
+FROM customer""",
     "quality_features": f"""{DOC_SCORES}
 SELECT k AS doc_id, char_count, byte_count, control_chars, replacement_runs, word_runs, wide_runs, chinese_chars, sentence_count,
  glyph_runs, paragraph_count FROM counts""",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from foliomill.schemas import SKIP_DIRS
 from foliomill.session import work_folder
 from foliomill.sources.files import default_output_dir, manifest, plain_root, qualified_root
+from foliomill.sources.ranges import storage_of
 
 LISTING = "path string, is_dir boolean, length bigint, modified_us bigint"
 ROWS_PER_BATCH = 10_000
@@ -83,28 +84,13 @@ def _read(path: str) -> tuple[bytes | None, str | None]:
         if "://" not in path:
             with open(path, "rb") as file:
                 return file.read(), None
-        storage, place = _storage(path)
+        storage, place = storage_of(path)
         with storage.open_input_stream(place) as file:
             return file.read(), None
     except Exception as fault:  # whatever the storage raises belongs to this file
         return None, f"{type(fault).__name__}: {fault}"
 
 
-_STORAGES: dict[str, object] = {}
-
-
-def _storage(uri: str):
-    """The file system of a URI, made once for each storage and Python worker, and the place in it."""
-    from pyarrow import fs
-
-    head = "/".join(uri.split("/", 3)[:3])
-    storage, place = (None, None) if head in _STORAGES else fs.FileSystem.from_uri(uri)
-    if storage is None:
-        storage = _STORAGES[head]
-        place = uri.split("://", 1)[1] if storage.type_name in ("s3", "gcs") else uri[len(head) :]
-    return _STORAGES.setdefault(head, storage), place
-
-
 def _lister(pruned: str, wave_entries: int):
     def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, seen = [], 0
@@ -134,7 +120,7 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
     if "://" in folder:
         from pyarrow import fs
 
-        storage, place = _storage(folder)
+        storage, place = storage_of(folder)
         head = folder[: len(folder) - len(place)] if folder.endswith(place) else folder.split("://")[0] + "://"
         try:
             found = storage.get_file_info(fs.FileSelector(place))

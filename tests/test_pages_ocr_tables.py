@@ -98,7 +98,7 @@ def test_table_parts_join_to_the_whole(spark, header):
 def test_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('h1,h2\n1,"line\nbreak"\n2,"q ""x"" | y"\n', encoding="utf-8")
     (tmp_path / "b.csv").write_text("k,v\nonly,row\n", encoding="utf-8")
-    found = {r.path.rsplit("/", 1)[1]: r.text for r in TB.csv_to_markdown(spark, str(tmp_path), 2).collect()}
+    found = {r.path.rsplit("/", 1)[1]: r.text for r in TB.csv_to_markdown(spark, str(tmp_path)).collect()}
     assert found == {
         "a.csv": '| h1 | h2 |\n|---|---|\n| 1 | line break |\n| 2 | q "x" \\| y |',
         "b.csv": "| k | v |\n|---|---|\n| only | row |",
