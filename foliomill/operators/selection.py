@@ -32,7 +32,7 @@ def candidate_columns(files: DataFrame, engines: list[ColumnEngine], ocr_availab
             runs, errors[p + "error"] = f"{runs} AND {fault} IS NULL", f"CASE WHEN {runs} THEN {fault} END"
         else:
             empty = f"{runs} AND NOT {is_usable(p + 'text')}"
-            known = [x for x in (e.error, "read_error" if "read_error" in files.columns else None) if x]
+            known = [x for x in ("read_error" if "read_error" in files.columns else None, e.error) if x]
             errors[p + "error"] = f"CASE WHEN {empty} THEN coalesce({', '.join([*known, repr(MSG_EMPTY_RESULT)])}) END"
         texts[p + "text"] = f"CASE WHEN {runs} THEN {e.text} END"
         usable[p + "usable"] = is_usable(p + "text")

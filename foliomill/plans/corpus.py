@@ -68,7 +68,7 @@ def run_engines(routed: DataFrame, engines: list[Engine], ocr_available: bool =
             continue
         chosen = routed.where(f"{e.runs()} AND ocr_supported" if e.kind == "ocr" else e.runs())
         if isinstance(e, ColumnEngine):
-            known = [x for x in (e.error, "read_error" if "read_error" in chosen.columns else None, "cast(NULL AS string)") if x]
+            known = [x for x in ("read_error" if "read_error" in chosen.columns else None, e.error, "cast(NULL AS string)") if x]
             from_engine = chosen.selectExpr("path", f"{e.text} AS text", f"coalesce({', '.join(known)}) AS error")
         else:
             from_engine = e.run(chosen)
@@ -123,7 +123,7 @@ def convert_to_tables(
     ocr = _ocr_available(engines, ocr_available)
     earlier = read_results(spark, out) if done else None
     existing = None if overwrite or earlier is None else targets.existing_targets(earlier.where(F.col("batch_id") != batch_id))
-    known = [c for c in files.columns if c in ROUTING]
+    known = [c for c in files.columns if c in (*ROUTING, "read_error")]
     listed = _written(files.select(*METADATA, *known), "files")
     if batch_id in done:
         replaced = earlier.where(F.col("batch_id") == batch_id).select(F.col("source_path").alias("path"))
