@@ -22,10 +22,11 @@ from foliomill.operators.routing import route, use_ocr_engine, use_text_engine
 from foliomill.operators.scoring import score_quality, with_counts, with_scores
 from foliomill.operators.selection import select_from_candidates, select_in_row
 from foliomill.plans.corpus import convert_corpus, convert_to_tables, read_results, run_engines, running_stats
+from foliomill.plans.refresh import current_texts, refresh
 from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
 from foliomill.session import spread, work_folder
 from foliomill.sources.files import default_output_dir, manifest, scan_files
-from foliomill.sources.sinks import export_texts
+from foliomill.sources.sinks import delete_files, export_texts
 from foliomill.sources.split_csv import read_csv_rows
 from foliomill.sources.walk import read_contents, walk_files
 from foliomill.streaming.incremental import convert_stream
@@ -599,6 +600,31 @@ def csv_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.url_decode(segment).alias("c_mktsegment"), "row_no", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
 
 
+def refreshed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder converted, then again after files were added, changed, touched and removed: what was seen and the texts that are current."""
+    root, out, doc = work_folder(spark, "refresh"), work_folder(spark, "refresh-out"), F.col("doc_id")
+    docs = spread(_table(spark, sf_dir, "documents"), "doc_id")
+    path = F.concat(F.lit(root + "/"), F.col("source"), F.lit("/"), doc.cast("string"), F.lit(".txt"))
+
+    def put(rows: DataFrame, text: Column) -> None:
+        export_texts(rows.select(path.alias("target_path"), text.alias("text"))).write.format("noop").mode("overwrite").save()
+
+    def look() -> DataFrame:
+        return refresh(walk_files(spark, root, output_dir=out), [format_engine()], out, load=read_contents)
+
+    old = docs.where(doc % 5 != 0)
+    put(old, F.col("text"))
+    look()
+    put(old.where(doc % 7 == 1), F.concat("text", F.lit(" changed")))
+    put(old.where(doc % 7 == 2), F.col("text"))
+    delete_files(old.where(doc % 7 == 3).select(path.alias("path"))).write.format("noop").mode("overwrite").save()
+    put(docs.where(doc % 5 == 0), F.col("text"))
+    changes = look()
+    number = lambda column: F.regexp_extract(column, r"(\d+)\.[a-z]+$", 1).cast("bigint").alias("doc_id")
+    texts = current_texts(spark, out).select(number("target_path"), F.md5("text").alias("text_md5"))
+    return docs.select("doc_id").join(changes.select(number("path"), "change"), "doc_id", "left").join(texts, "doc_id", "left")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -642,5 +668,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         export_and_scan,
         repeated_runs,
         folder_run,
+        refreshed_folder,
     )
 }

@@ -425,4 +425,9 @@ runs AS (SELECT CAST(unnest([0, 1]) AS BIGINT) AS batch_id, path, t FROM files)
 SELECT batch_id, path, t IS NOT NULL AS success, CASE WHEN t IS NULL THEN '' WHEN batch_id = 0 THEN 'markitdown' ELSE 'cached' END AS tool_used,
  CASE WHEN t IS NULL THEN 'MarkItDown: UnsupportedFormat: .pdf' WHEN batch_id = 0 THEN '' ELSE '已存在，跳过' END AS error_message,
  CASE WHEN batch_id = 0 THEN md5(t) END AS text_md5 FROM runs""",
+    "refreshed_folder": """WITH seen AS (
+ SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 1 THEN 'changed' WHEN doc_id % 7 = 2 THEN 'touched'
+   WHEN doc_id % 7 = 3 THEN 'removed' END AS change FROM documents)
+SELECT doc_id, change, CASE WHEN change IS DISTINCT FROM 'removed' THEN md5(text || CASE WHEN change = 'changed' THEN ' changed' ELSE '' END) END AS text_md5
+FROM seen""",
 }
