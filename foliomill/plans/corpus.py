@@ -13,6 +13,8 @@ from foliomill.operators import report, targets
 from foliomill.operators.engines import ColumnEngine, Engine, is_available
 from foliomill.operators.routing import route
 from foliomill.operators.selection import select_from_candidates, select_in_row, with_winning_text
+from foliomill.plans.state import add_batch, score_report, score_rows, score_state, totals
+from foliomill.plans.target_index import TargetIndex, written_batches
 from foliomill.session import work_folder
 from foliomill.sources.sinks import write_report
 
@@ -100,7 +102,7 @@ def convert_to_tables(
 
     * `converted/batch_id=N`: results with the winning text. By default every run is a new batch. Running a stated batch again
       replaces it, so retries are safe; if files of its earlier output are not in the list, that is refused.
-    * `counters/batch_id=N`, `errors/batch_id=N`: what the running report is added up from.
+    * `state`: what the running report is added up from; `targets`: an index of the targets that are there (`target_index`).
     * `conversion_report.json`: the report over all batches.
 
     Targets of other batches count as existing. The file list and what to convert of it are written out first, so that
@@ -116,17 +118,17 @@ def convert_to_tables(
         df.write.parquet(folders[-1])
         return spark.read.parquet(folders[-1])
 
-    done = _batches(spark, out)
+    done = written_batches(spark, out)
     if batch_id is None:
         batch_id = max((b for b in done if b < STREAM_BATCHES), default=-1) + 1
     files = _targeted(files_df, output_dir, preserve_structure)
     ocr = _ocr_available(engines, ocr_available)
-    earlier = read_results(spark, out) if done else None
-    existing = None if overwrite or earlier is None else targets.existing_targets(earlier.where(F.col("batch_id") != batch_id))
     known = [c for c in files.columns if c in (*ROUTING, "read_error")]
     listed = _written(files.select(*METADATA, *known), "files")
+    index = TargetIndex(spark, out)
+    existing = index.lookup(listed, batch_id) if done and not overwrite else None
     if batch_id in done:
-        replaced = earlier.where(F.col("batch_id") == batch_id).select(F.col("source_path").alias("path"))
+        replaced = read_batch(spark, out, batch_id).select(F.col("source_path").alias("path"))
         if not replaced.join(listed.select("path"), "path", "left_anti").isEmpty():
             raise ValueError(f"batch {batch_id} holds other files; give another batch_id, or none for a new batch")
     decision = _written(targets.decide(listed, existing, overwrite), "decision")
@@ -141,13 +143,15 @@ def convert_to_tables(
         chosen = select_from_candidates(_without_content(routed), candidates, engines, ocr)
         converted = with_winning_text(chosen, candidates)
     rows = converted.unionByName(targets.as_cached_results(cached), allowMissingColumns=True)
+    if batch_id in done:
+        index.forget()
     rows.write.mode("overwrite").parquet(f"{out}/converted/batch_id={batch_id}")
-    batch = read_results(spark, out).where(F.col("batch_id") == batch_id)
+    batch = read_batch(spark, out, batch_id)
+    index.catch_up()
     names = tuple(e.name for e in engines)
-    report.counters(batch, names).withColumn("seconds", F.lit(time.time() - started)).write.mode("overwrite").parquet(
-        f"{out}/counters/batch_id={batch_id}"
-    )
-    report.first_errors(report.errors(batch)).write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
+    counted = report.counters(batch, names).withColumn("seconds", F.lit(time.time() - started))
+    first = report.first_errors(report.errors(batch))
+    add_batch(spark, out, batch_id, {"counters": counted, "errors": first, "scores": score_state(score_rows(batch))})
     stats = running_stats(spark, out)
     write_report(report.report_json(stats, input_dir, out, names, pretty=True), out)
     for folder in folders:
@@ -162,13 +166,22 @@ def read_results(spark: SparkSession, output_dir: str, texts: bool = False) -> D
     return table if table is None or texts else table.drop("text")
 
 
+def read_batch(spark: SparkSession, output_dir: str, batch_id: int) -> DataFrame:
+    """Results of one batch, without texts; no other batch is listed or read."""
+    folder = f"{output_dir.rstrip('/')}/converted"
+    return spark.read.option("basePath", folder).parquet(f"{folder}/batch_id={batch_id}").drop("text")
+
+
 def running_stats(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Report over all batches, from one counter row and at most ten errors of each."""
-    rows = _table(spark, output_dir, "counters").drop("batch_id")
-    total = report.add_counters(rows.drop("seconds"))
-    seconds = rows.agg(F.sum("seconds").alias("seconds"))
-    failed = _table(spark, output_dir, "errors").select("path", "error")
-    return report.stats(total, failed).withColumn("total_time", F.round(seconds.scalar(), 2))
+    """Report over all batches, from the last snapshot and the few batches since."""
+    total = totals(spark, output_dir)
+    stats = report.stats(total["counters"].drop("seconds"), total["errors"])
+    return stats.withColumn("total_time", F.round(total["counters"].select("seconds").scalar(), 2))
+
+
+def running_scores(spark: SparkSession, output_dir: str) -> DataFrame:
+    """Score distribution per extension and engine over all batches, without reading results."""
+    return score_report(totals(spark, output_dir)["scores"])
 
 
 def surviving_texts(spark: SparkSession, output_dir: str) -> DataFrame:
@@ -191,13 +204,6 @@ def _table(spark: SparkSession, output_dir: str, name: str) -> DataFrame | None:
     return spark.read.option("basePath", folder).parquet(folder)
 
 
-def _batches(spark: SparkSession, output_dir: str) -> list[int]:
-    """Numbers of the batches whose results are written whole, from folder names alone."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{output_dir}/converted/batch_id=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return [int(s.getPath().getParent().getName().removeprefix("batch_id=")) for s in found]
-
-
 def _targeted(files: DataFrame, output_dir: str | None, preserve_structure: bool) -> DataFrame:
     if "target_path" in files.columns:
         return files
