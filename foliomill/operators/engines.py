@@ -64,6 +64,14 @@ def registered_engines(*names: str) -> list[Engine]:
     return by_priority(chosen)
 
 
+def named_engines(engines: list[Engine | str]) -> list[Engine]:
+    """The engines as they are, names replaced by the engines registered under them."""
+    unknown = [e for e in engines if isinstance(e, str) and e not in _REGISTRY]
+    if unknown:
+        raise KeyError(f"no engine is registered as {', '.join(unknown)}")
+    return [_REGISTRY[e] if isinstance(e, str) else e for e in engines]
+
+
 def by_priority(engines: list[Engine]) -> list[Engine]:
     return sorted(engines, key=lambda e: (e.priority, e.name))
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import ocr
 from foliomill.functions import quality as Q
+from foliomill.operators.engines import FrameEngine
 from foliomill.operators.scoring import with_counts, with_scores
+from foliomill.schemas import OCR_ENGINE, SEPARATOR
 
 PAGES_PER_PART = 256
-SEPARATOR = "\n\n"
 
 
 def page_counts(page_texts: DataFrame) -> DataFrame:
@@ -66,3 +67,19 @@ def assembled_counts(page_texts: DataFrame) -> DataFrame:
 def score_assembled(page_texts: DataFrame, files: DataFrame) -> DataFrame:
     """Scores of assembled documents, joined to their file rows (`path, ext, length`)."""
     return with_scores(files.join(assembled_counts(page_texts), "path"))
+
+
+def page_engine(page_texts: DataFrame, name: str = OCR_ENGINE, priority: int = 1, kind: str = "ocr", pages_per_part: int = PAGES_PER_PART) -> FrameEngine:
+    """An engine whose texts are there page by page: documents come in parts, of which selection adds up the counts.
+
+    `page_texts` has path, page_no and text (null: nothing found on the page). A document on none of whose pages anything was found has an empty text.
+    """
+
+    def run(files: DataFrame) -> DataFrame:
+        pages = page_texts.join(files.select("path").distinct(), "path", "left_semi")
+        parts = assemble_pages(pages, pages_per_part).select("path", "part_no", "text", F.lit(None).cast("string").alias("error"))
+        empty = pages.groupBy("path").agg(F.count("text").alias("found")).where("found = 0")
+        nothing = empty.select("path", F.lit(0).alias("part_no"), F.lit("").alias("text"), F.lit(None).cast("string").alias("error"))
+        return parts.unionByName(nothing)
+
+    return FrameEngine(name, priority, kind, run=run)

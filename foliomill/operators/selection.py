@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import quality as Q
 from foliomill.operators.engines import ColumnEngine, Engine, by_priority, is_usable, ocr_fault
 from foliomill.operators.scoring import with_counts, with_expressions, with_scores
-from foliomill.schemas import MSG_EMPTY_RESULT, OCR_ENGINE, TEXT_ENGINE
+from foliomill.schemas import MSG_EMPTY_RESULT, OCR_ENGINE, SEPARATOR, TEXT_ENGINE
 
 
 def _pre(engine: Engine) -> str:
@@ -42,12 +42,15 @@ def candidate_columns(files: DataFrame, engines: list[ColumnEngine], ocr_availab
 
 
 def candidate_counts(candidates: DataFrame, engines: list[Engine]) -> DataFrame:
-    """One row per path from a long `path, engine, text, error[, seconds]` table.
+    """One row per path from a long `path, engine, text, error[, seconds][, part_no]` table.
 
-    (path, engine) is its key: a second candidate of an engine for a path is an error and not merged.
+    (path, engine), or (path, engine, part_no) if there are parts, is its key: a second candidate is an error and not merged. Parts are
+    joined by a blank line, over which the counts add up, so a document of any number of parts is scored where its parts are read.
     """
     seconds = "seconds" if "seconds" in candidates.columns else "cast(NULL AS double)"
-    counted = with_expressions(with_counts(candidates), {"usable": is_usable("text"), "seconds": seconds})
+    counted = with_expressions(with_counts(candidates), {"usable": is_usable("text"), "seconds": seconds, "offers": "1L"})
+    if "part_no" in candidates.columns:
+        counted = _whole_counts(counted)
 
     def of(e: Engine, column: str) -> str:
         return f"max({column}) FILTER (WHERE engine = '{e.name}')"
@@ -55,7 +58,7 @@ def candidate_counts(candidates: DataFrame, engines: list[Engine]) -> DataFrame:
     numbers = counted.groupBy("path").agg(
         *[F.expr(f"{of(e, c)} AS {_pre(e)}{c}") for e in engines for c in Q.COUNTS],
         *[F.expr(f"coalesce({of(e, 'usable')}, false) AS {_pre(e)}usable") for e in engines],
-        *[F.expr(f"count(*) FILTER (WHERE engine = '{e.name}') AS {_pre(e)}offered") for e in engines],
+        *[F.expr(f"coalesce(sum(offers) FILTER (WHERE engine = '{e.name}'), 0) AS {_pre(e)}offered") for e in engines],
         F.sum("seconds").alias("_seconds"),
     )
     # Strings would turn the hash aggregation into a sort, so the (few) errors are reduced on their own.
@@ -67,6 +70,20 @@ def candidate_counts(candidates: DataFrame, engines: list[Engine]) -> DataFrame:
     return numbers.join(errors, "path", "left")
 
 
+def _whole_counts(parts: DataFrame) -> DataFrame:
+    """Counts of whole candidates from those of their parts; `offers` is the most often that a part is there. Only numbers are shuffled."""
+    single = parts.groupBy("path", "engine", F.coalesce("part_no", F.lit(0)).alias("part_no")).agg(
+        *[F.sum(c).alias(c) for c in Q.COUNTS], F.max("usable").alias("usable"), F.sum("seconds").alias("seconds"), F.sum("offers").alias("offers")
+    )
+    gaps = (F.count(F.col("char_count")) - 1) * len(SEPARATOR)
+    sums = {c: F.sum(c) for c in Q.COUNTS}
+    for c in ("char_count", "byte_count"):
+        sums[c] = sums[c] + gaps
+    return single.groupBy("path", "engine").agg(
+        *[c.alias(name) for name, c in sums.items()], F.max("usable").alias("usable"), F.sum("seconds").alias("seconds"), F.max("offers").alias("offers")
+    )
+
+
 def choose(wide: DataFrame, engines: list[Engine], with_text: bool = False) -> DataFrame:
     """Results from wide candidate rows that also have `path, target_path, ext, length`."""
     ranked = by_priority(engines)
@@ -133,7 +150,20 @@ def select_from_candidates(
     return choose(with_expressions(wide, offered), engines)
 
 
+def winning_parts(results: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The winners' parts, `source_path, tool_used, target_path, part_no, text`: the one join that moves texts, for the sink alone."""
+    texts = candidates.select(
+        F.col("path").alias("source_path"), F.col("engine").alias("tool_used"), F.coalesce("part_no", F.lit(0)).alias("part_no"), "text"
+    )
+    keys = results.where("tool_used <> ''").select("source_path", "tool_used", "target_path")
+    return texts.where("text IS NOT NULL").join(keys, ["source_path", "tool_used"])
+
+
 def with_winning_text(results: DataFrame, candidates: DataFrame) -> DataFrame:
     """Add the winner's `text` to results: the one join that moves texts, for the sink alone."""
+    if "part_no" in candidates.columns:
+        ordered = F.array_sort(F.collect_list(F.struct("part_no", "text")))["text"]
+        parts = winning_parts(results, candidates).groupBy("source_path", "tool_used")
+        return results.join(parts.agg(F.array_join(ordered, SEPARATOR).alias("text")), ["source_path", "tool_used"], "left")
     texts = candidates.select(F.col("path").alias("source_path"), F.col("engine").alias("tool_used"), "text")
     return results.join(texts, ["source_path", "tool_used"], "left")

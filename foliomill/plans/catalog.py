@@ -16,17 +16,18 @@ from foliomill.functions import quality as Q
 from foliomill.functions.paths import target_path
 from foliomill.operators import pages as P
 from foliomill.operators import report, tables, targets
-from foliomill.operators.engines import ColumnEngine, isolated_engine, missing_ocr, table_engine
+from foliomill.operators.engines import ColumnEngine, isolated_engine, missing_ocr, register_engine, table_engine
 from foliomill.operators.formats import format_engine
 from foliomill.operators.routing import route, use_ocr_engine, use_text_engine
 from foliomill.operators.scoring import score_quality, with_counts, with_scores
-from foliomill.operators.selection import select_from_candidates, select_in_row
-from foliomill.plans.corpus import convert_corpus, convert_to_tables, read_results, run_engines, running_stats
+from foliomill.operators.selection import select_from_candidates, select_in_row, winning_parts
+from foliomill.plans.corpus import convert_corpus, convert_to_tables, read_results, run_engines, running_scores, running_stats, surviving_texts
 from foliomill.plans.refresh import current_texts, refresh
+from foliomill.plans.state import PERCENTILES, RANK_ERROR, score_rows
 from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
 from foliomill.session import spread, work_folder
 from foliomill.sources.files import default_output_dir, manifest, scan_files
-from foliomill.sources.sinks import delete_files, export_texts
+from foliomill.sources.sinks import delete_files, export_parts, export_texts
 from foliomill.sources.split_csv import read_csv_rows
 from foliomill.sources.walk import read_contents, walk_files
 from foliomill.streaming.incremental import convert_stream
@@ -415,6 +416,36 @@ def assembled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR arrays to pages, pages to candidates in parts, the best candidate to a file; one document has a page for every order."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    new = F.array(F.struct(_lines().alias("rec_texts"), F.transform(_lines(), lambda x: F.lit(0.9)).alias("rec_scores")))
+    box = F.array(F.array(F.lit(0.0), F.lit(0.0)))
+    old = F.array(F.transform(_lines(), lambda x: F.struct(box.alias("bbox"), x.alias("text"), F.lit(0.3).alias("confidence"))))
+    new, old = F.when((conv + turn) % 5 != 0, new), F.when((conv + turn) % 4 != 0, old)
+    read = F.when(conv % 2 == 0, F.when(ocr.found_fields(new), ocr.text_of_fields(new))).otherwise(F.when(ocr.found_rows(old), ocr.text_of_rows(old)))
+    scan = lambda name: F.concat(F.lit("/scans/"), name, F.lit(".pdf")).alias("path")
+    short = _table(spark, sf_dir, "conversations").select(scan(conv.cast("string")), (turn + 1).cast("int").alias("page_no"), read.alias("text"))
+    order = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" is "), F.col("o_orderstatus"), F.lit("."))
+    orders = _table(spark, sf_dir, "orders").select(scan(F.lit("orders")), F.col("o_orderkey").cast("int").alias("page_no"), order.alias("text"))
+    pages = short.unionByName(orders)
+    root = work_folder(spark, "pages-out")
+    size = (F.count(F.lit(1)) * 20000).alias("length")
+    target = F.concat(F.lit(root), F.replace("path", F.lit(".pdf"), F.lit(".md")))
+    files = pages.groupBy("path").agg(size).select("path", target.alias("target_path"), F.lit(".pdf").alias("ext"), "length")
+    number = F.regexp_extract("path", r"(\d+)", 1)
+    known = F.when(number == "", "Orders.").when(number.cast("int") % 3 == 0, F.concat(F.lit("One. Two. Three.\n\nFour "), number))
+    engines = [table_engine(TEXT_ENGINE, 0, files.select("path", known.alias("text"), F.lit(None).cast("string").alias("error"))), P.page_engine(pages)]
+    routed = route(files)
+    candidates = run_engines(routed, engines)
+    results = select_from_candidates(routed, candidates, engines)
+    export_parts(winning_parts(results, candidates)).write.format("noop").mode("overwrite").save()
+    written = read_contents(walk_files(spark, root, extensions=[".md"]).select(F.col("path").alias("target_path"), "path"))
+    texts = written.select("target_path", F.md5("content").alias("text_md5"))
+    joined = results.join(texts, "target_path", "left")
+    return joined.select("source_path", "success", "tool_used", "file_size_target", F.round("quality_score.weighted_score", 6).alias("weighted_score"), "contested", "text_md5")
+
+
 # --- Reports ----------------------------------------------------------------------------------
 
 
@@ -600,6 +631,57 @@ def csv_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.url_decode(segment).alias("c_mktsegment"), "row_no", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
 
 
+def registry_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python engine chosen by its name, with a resource set up once a task and the seconds it took for each file."""
+    register_engine(isolated_engine("thin", 0, lambda table, text: text.translate(table), ["text"], setup=lambda: {ord("e"): None}))
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = spread(_table(spark, sf_dir, "documents"), "doc_id")
+    files = docs.select(path.alias("path"), F.lit("/out").alias("target_path"), F.lit(".txt").alias("ext"), "n_chars", "text")
+    results, _ = convert_corpus(spark, files.withColumnRenamed("n_chars", "length"), ["thin"], unique_targets=True)
+    timed = F.coalesce(F.col("processing_time") >= 0, F.lit(False)).alias("timed")
+    return results.select("source_path", "success", "tool_used", "error_message", "file_size_target", timed)
+
+
+def empty_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run to which no file is left: a report of zeros."""
+    _, stats = convert_to_tables(_web_files(spark, sf_dir).where("length < 0"), _web_engines(), work_folder(spark, "nothing"))
+    return _flat_stats(stats)
+
+
+def own_output_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs into a folder below the one they read, with the texts written there as files in between: none of them is read."""
+    root, doc = work_folder(spark, "own"), F.col("doc_id").cast("string")
+    out = default_output_dir(root)
+    docs = spread(_table(spark, sf_dir, "documents"), "doc_id")
+    place = F.concat(F.lit(root + "/"), F.col("source"), F.lit("/"), doc, F.lit(".txt"))
+    export_texts(docs.select(place.alias("target_path"), "text")).write.format("noop").mode("overwrite").save()
+    for _ in range(2):
+        convert_to_tables(walk_files(spark, root), [format_engine()], out, load=read_contents)
+        named = surviving_texts(spark, out).select(F.replace("target_path", F.lit(".md"), F.lit(".txt")).alias("target_path"), "text")
+        export_texts(named).write.format("noop").mode("overwrite").save()
+    results = read_results(spark, out)
+    below = F.substring("source_path", F.lit(len(root) + 1), F.length("source_path"))
+    return results.select(F.col("batch_id").cast("bigint").alias("batch_id"), below.alias("path"), "success", "tool_used")
+
+
+def engine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score distribution per extension and engine over two batches, from what each left; percentiles are checked against all scores."""
+    files, engines = _document_engines(spark, sf_dir)
+    out, half = work_folder(spark, "scores"), F.floor(F.regexp_extract("path", r"(\d+)", 1).cast("bigint") / 2) % 2
+    for k in (0, 1):
+        convert_to_tables(files.where(half == k), engines, out)
+    found, scores = running_scores(spark, out), score_rows(read_results(spark, out))
+    both = scores.join(F.broadcast(found.select("ext", "engine", *[f"p{p}" for p in PERCENTILES])), ["ext", "engine"])
+    ranks = both.groupBy("ext", "engine").agg(
+        *[
+            ((F.avg((F.col("score") < F.col(f"p{p}")).cast("int")) <= p / 100 + RANK_ERROR) & (F.avg((F.col("score") <= F.col(f"p{p}")).cast("int")) >= p / 100 - RANK_ERROR)).alias(f"p{p}_holds")
+            for p in PERCENTILES
+        ]
+    )
+    rounded = [F.round(c, 6).alias(c) for c in ("avg_score", "min_score", "max_score", "win_rate")]
+    return found.join(ranks, ["ext", "engine"]).select("ext", "engine", "n", "wins", *rounded, *[f"p{p}_holds" for p in PERCENTILES])
+
+
 def refreshed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder converted, then again after files were added, changed, touched and removed: what was seen and the texts that are current."""
     root, out, doc = work_folder(spark, "refresh"), work_folder(spark, "refresh-out"), F.col("doc_id")
@@ -657,6 +739,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         assemble_pages,
         assemble_pages_parts,
         assembled_scores,
+        page_engine_results,
         batch_stats,
         web_stats,
         tool_wins,
@@ -669,5 +752,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         repeated_runs,
         folder_run,
         refreshed_folder,
+        registry_engine,
+        empty_run,
+        own_output_run,
+        engine_scores,
     )
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import paths as P
 from foliomill.operators import report, targets
-from foliomill.operators.engines import ColumnEngine, Engine, is_available
+from foliomill.operators.engines import ColumnEngine, Engine, is_available, named_engines
 from foliomill.operators.routing import route
 from foliomill.operators.selection import select_from_candidates, select_in_row, with_winning_text
 from foliomill.plans.state import add_batch, score_report, score_rows, score_state, totals
@@ -27,7 +27,7 @@ CANDIDATE_COLUMNS = "path string, engine string, text string, error string, seco
 def convert_corpus(
     spark: SparkSession,
     files_df: DataFrame,
-    engines: list[Engine],
+    engines: list[Engine | str],
     existing: DataFrame | None = None,
     overwrite: bool = False,
     preserve_structure: bool = True,
@@ -39,10 +39,11 @@ def convert_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """Lazy `(results, stats)` of a file table with `path, ext, length`, and `target_path` or `rel_dir, stem`.
 
-    `existing` is an earlier results table. `unique_targets` states that no two files share a target; a first run of
+    `engines` are engines or names of registered ones. `existing` is an earlier results table. `unique_targets` states that no two files share a target; a first run of
     expression engines is then one narrow stage without any shuffle. `load` (such as `read_contents`) adds what engines
     read to the files that are left to convert. Use `convert_to_tables` to also keep the texts.
     """
+    engines = named_engines(engines)
     files = _targeted(files_df, output_dir, preserve_structure)
     ocr = _ocr_available(engines, ocr_available)
     if overwrite or (unique_targets and existing is None):
@@ -63,7 +64,10 @@ def convert_corpus(
 
 
 def run_engines(routed: DataFrame, engines: list[Engine], ocr_available: bool = True) -> DataFrame:
-    """Long candidate table of all engines, each over the files routed to it. Filtering comes before any Python stage."""
+    """Long candidate table of all engines, each over the files routed to it. Filtering comes before any Python stage.
+
+    It has a `part_no` if an engine gives its texts in parts (`page_engine`).
+    """
     outputs = []
     for e in engines:
         if not is_available(e) or (e.kind == "ocr" and not ocr_available):
@@ -75,18 +79,19 @@ def run_engines(routed: DataFrame, engines: list[Engine], ocr_available: bool =
         else:
             from_engine = e.run(chosen)
         seconds = F.col("seconds") if "seconds" in from_engine.columns else F.lit(None).cast("double")
-        outputs.append(from_engine.select("path", F.lit(e.name).alias("engine"), "text", "error", seconds.alias("seconds")))
+        part = ["part_no"] if "part_no" in from_engine.columns else []
+        outputs.append(from_engine.select("path", F.lit(e.name).alias("engine"), "text", "error", seconds.alias("seconds"), *part))
     if not outputs:
         return routed.sparkSession.createDataFrame([], CANDIDATE_COLUMNS)
     stacked = outputs[0]
     for more in outputs[1:]:
-        stacked = stacked.unionByName(more)
+        stacked = stacked.unionByName(more, allowMissingColumns=True)
     return stacked
 
 
 def convert_to_tables(
     files_df: DataFrame,
-    engines: list[Engine],
+    engines: list[Engine | str],
     output_dir: str,
     batch_id: int | None = None,
     overwrite: bool = False,
@@ -121,6 +126,7 @@ def convert_to_tables(
     done = written_batches(spark, out)
     if batch_id is None:
         batch_id = max((b for b in done if b < STREAM_BATCHES), default=-1) + 1
+    engines = named_engines(engines)
     files = _targeted(files_df, output_dir, preserve_structure)
     ocr = _ocr_available(engines, ocr_available)
     known = [c for c in files.columns if c in (*ROUTING, "read_error")]

@@ -430,4 +430,36 @@ SELECT batch_id, path, t IS NOT NULL AS success, CASE WHEN t IS NULL THEN '' WHE
    WHEN doc_id % 7 = 3 THEN 'removed' END AS change FROM documents)
 SELECT doc_id, change, CASE WHEN change IS DISTINCT FROM 'removed' THEN md5(text || CASE WHEN change = 'changed' THEN ' changed' ELSE '' END) END AS text_md5
 FROM seen""",
+    "page_engine_results": f"""WITH pages AS (
+ SELECT '/scans/' || conv_id || '.pdf' AS path, conv_id, turn + 1 AS page_no,
+   CASE WHEN (conv_id + turn) % (CASE conv_id % 2 WHEN 0 THEN 5 ELSE 4 END) <> 0 THEN text END AS text FROM conversations
+ UNION ALL SELECT '/scans/orders.pdf', -1, o_orderkey, 'Order ' || o_orderkey || ' is ' || o_orderstatus || '.' FROM orders),
+whole AS (
+ SELECT path, any_value(conv_id) AS conv_id, count(*) * 20000 AS length, coalesce(string_agg('--- 第 ' || page_no || ' 页 ---' || chr(10) || text,
+   chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE text IS NOT NULL), '') AS read FROM pages GROUP BY path),
+files AS (SELECT path, path AS target_path, '.pdf' AS ext, length FROM whole),
+cand AS (
+ SELECT path, 'markitdown' AS engine, 0 AS prio, 'MarkItDown' AS label, CASE WHEN conv_id < 0 THEN 'Orders.' WHEN conv_id % 3 = 0 THEN
+   'One. Two. Three.' || chr(10) || chr(10) || 'Four ' || conv_id END AS t, '转换结果为空' AS err FROM whole
+ UNION ALL SELECT path, 'paddleocr', 1, 'PaddleOCR', read, NULL FROM whole),
+{choosing('files', 'cand')}
+SELECT source_path, success, tool_used, file_size_target, round(weighted_score, 6) AS weighted_score, contested, md5(t) AS text_md5
+FROM results LEFT JOIN cand ON cand.path = source_path AND cand.engine = tool_used""",
+    "registry_engine": """SELECT '/in/' || doc_id || '.txt' AS source_path, t <> '' AS success, CASE WHEN t <> '' THEN 'thin' ELSE '' END AS tool_used,
+ CASE WHEN t = '' THEN 'thin: 转换结果为空' ELSE '' END AS error_message, CAST(strlen(t) AS BIGINT) AS file_size_target, true AS timed
+FROM (SELECT doc_id, replace(text, 'e', '') AS t FROM documents)""",
+    "empty_run": f"""{_web(3)},
+nothing AS (SELECT * FROM results WHERE file_size_source < 0)
+{_stats('nothing')}""",
+    "own_output_run": """SELECT CAST(unnest([0, 1]) AS BIGINT) AS batch_id, '/' || source || '/' || doc_id || '.txt' AS path, text <> '' AS success,
+ CASE WHEN text = '' THEN '' ELSE unnest(['markitdown', 'cached']) END AS tool_used FROM documents""",
+    "engine_scores": f"""WITH {DOC_CANDIDATES},
+converted AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY source_path) AS nth FROM results) WHERE nth = 1 AND success),
+rows AS (
+ SELECT regexp_extract(source_path, '[.][a-z]+$') AS ext, unnest(['markitdown', 'paddleocr']) AS engine,
+   unnest([markitdown_score, ocr_score]) AS score, tool_used FROM converted)
+SELECT ext, engine, count(*) AS n, count(*) FILTER (engine = tool_used) AS wins, round(avg(score), 6) AS avg_score, round(min(score), 6) AS min_score,
+ round(max(score), 6) AS max_score, round(count(*) FILTER (engine = tool_used) / count(*), 6) AS win_rate, true AS p25_holds, true AS p50_holds, true AS p75_holds
+FROM rows WHERE score IS NOT NULL GROUP BY ext, engine""",
 }

@@ -157,3 +157,6 @@ STATS = T.StructType(
         T.StructField("ok", T.BooleanType()),
     ]
 )
+
+#: Between pages, and between parts of a document.
+SEPARATOR = "\n\n"
