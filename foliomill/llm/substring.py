@@ -6,10 +6,10 @@ Building it edge by edge would shuffle every word of the corpus many times, so e
 1. Each window has an anchor, its smallest inner `ANCHOR`-gram (by hash, leftmost). Consecutive windows with one anchor
    form a run of at most WIDTH - ANCHOR + 1 windows; equal windows have equal anchors. Anchors found once in the
    corpus drop out with their runs: none of their windows repeats.
-2. Runs that are left get a key, (anchor, hash of all their words). Equal runs repeat as a whole. A run whose
-   occurrences all go on with one and the same run, which in turn always follows it, is not a branch: such runs
-   compact, through joins of keys with their predecessors' keys, into long paths, and only heads of paths look up their
-   occurrences in the sources. Occurrences other than the first (smallest document, then smallest start) repeat.
+2. Runs that are left get a key, (anchor, hash of all their words). Equal runs repeat as a whole. A join gives every run the
+   source coordinates of its first occurrence (smallest document, then smallest start). As long as a document's runs stay on
+   the path of one earlier occurrence, at one distance from it, they compact into one edge: one span, however long,
+   and however many other documents branch off between. All occurrences other than the first repeat.
 3. Runs that share an anchor but not all words (ends of repeats, small edits) are compared window by window, by
    the coordinates of each distinct run's first occurrence. All other occurrences were dealt with in 2.
 
@@ -143,59 +143,32 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return runs.join(repeated, "anchor", "left_semi")
 
 
-def compacted_paths(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct runs (anchor, content, count, first, ...) and the paths they compact into, by the key of their heads."""
-    key = F.struct("anchor", "content")
-    here = Window.partitionBy("id").orderBy("start")
-    linked = runs.select(
-        "*",
-        F.when(F.lead("start").over(here) == F.col("start") + F.col("n"), F.lead(key).over(here)).alias("next"),
-        F.when(F.lag(F.col("start") + F.col("n")).over(here) == F.col("start"), F.lag(key).over(here)).alias("prev"),
-    )
-    one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
-    distinct = linked.groupBy("anchor", "content").agg(
-        F.count("*").alias("count"),
-        F.min(F.struct("id", "start")).alias("first"),
-        F.first("n").alias("n"),
-        F.coalesce(one("next"), F.lit(False)).alias("one_next"),
-        F.when(one("prev"), F.min("prev")).alias("prev"),
-    )
-    return linked, distinct
-
-
-def _paths(distinct: DataFrame) -> DataFrame:
-    """Heads (anchor, content), `windows` of the whole path and `first` coordinate, of paths that repeat."""
-    repeated = distinct.where("count > 1")
-    before = repeated.where("one_next").select(F.col("anchor").alias("p_anchor"), F.col("content").alias("p_content"))
-    inner = F.col("p_anchor").isNotNull()
-    on = (F.col("prev.anchor") == F.col("p_anchor")) & (F.col("prev.content") == F.col("p_content"))
-    marked = repeated.join(before, on, "left").withColumn("head", ~inner)
-    along = Window.partitionBy("first.id").orderBy("first.start")
-    return (
-        marked.withColumn("path", F.sum(F.col("head").cast("long")).over(along))
-        .groupBy(F.col("first.id").alias("first_id"), "path")
-        .agg(
-            F.min(F.struct("first.start", "anchor", "content")).alias("head"),
-            F.sum("n").alias("windows"),
-            F.max("count").alias("count"),
-        )
-        .select("head.anchor", "head.content", "windows", "count", "first_id", F.col("head.start").alias("first_start"))
-    )
+def compacted_paths(runs: DataFrame, distinct: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Spans of words (id, low, high) that repeat: the longest walks of a document along the path of one earlier occurrence.
 
-
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of `docs` (id, text): paths, spans of words to remove (id, low, high), and the packed texts."""
+    `distinct` has one row a run, with the coordinates of its first occurrence. While a document's next run comes first where
+    the one before it does, as many words on, it stays on one path; where it leaves it the span ends. The document's own first
+    occurrences are no repeats.
+    """
+    here = Window.partitionBy("id").orderBy("start")
+    found = runs.join(distinct.select("anchor", "content", "first"), ["anchor", "content"])
+    walks = found.select("id", "start", "n", F.col("first.id").alias("on"), (F.col("start") - F.col("first.start")).alias("shift"))
+    same = (F.lag("on").over(here) == F.col("on")) & (F.lag("shift").over(here) == F.col("shift"))
+    joined = F.coalesce(same & (F.lag(F.col("start") + F.col("n")).over(here) == F.col("start")), F.lit(False))
+    paths = walks.withColumn("head", (~joined).cast("long")).withColumn("path", F.sum("head").over(here))
+    repeats = paths.where((F.col("on") != F.col("id")) | (F.col("shift") != 0))
+    spans = repeats.groupBy("id", "path").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("n")).alias("end"))
+    return spans.select("id", "low", (F.col("end") + (width - 1)).alias("high"))
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Of `docs` (id, text): spans of words to remove (id, low, high), and the packed texts."""
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.where("id is not null")
     runs = written(repeated_runs(docs, width), "substring-runs")
-    _, distinct = compacted_paths(runs)
-    distinct = written(distinct, "substring-distinct")
-    paths = written(_paths(distinct), "substring-paths")
-    whole = (
-        runs.join(paths, ["anchor", "content"])
-        .where((F.col("id") != F.col("first_id")) | (F.col("start") != F.col("first_start")))
-        .select("id", F.col("start").alias("low"), (F.col("start") + F.col("windows") + (width - 1)).alias("high"))
-    )
+    first = F.min(F.struct("id", "start")).alias("first")
+    distinct = written(runs.groupBy("anchor", "content").agg(first, F.first("n").alias("n")), "substring-distinct")
+    whole = compacted_paths(runs, distinct, width)
     packed = docs.mapInArrow(_packed, f"id {kind}, packed binary")
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     mixed = written(mixed, "substring-mixed")
@@ -220,7 +193,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
         .where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
         .select("id", F.col("start").alias("low"), (F.col("start") + width).alias("high"))
     )
-    return paths, whole.union(single), packed
+    return whole.union(single), packed
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -232,7 +205,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    _, spans, packed = repeated_spans(rows, width)
+    spans, packed = repeated_spans(rows, width)
     by_id = spans.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     out = f"id {kind}, kept_text string, n_words long, n_removed long"
     kept = packed.join(by_id, "id", "left").mapInArrow(_kept, out)

@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import foliomill.llm.near_dedup as near
 import foliomill.llm.words as W
 from foliomill.llm.components import connected_components
 from foliomill.llm.near_dedup import near_duplicates
 from foliomill.llm.quality_rules import quality_rules
-from foliomill.llm.substring import remove_repeats
+from foliomill.llm.substring import compacted_paths, remove_repeats, repeated_runs
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -78,6 +79,22 @@ def test_substring_dedup_of_overlapping_and_periodic_repeats(spark):
     assert found == kept_by_hand(rows, 12)
 
 
+def test_spans_of_near_copies_do_not_grow_with_their_number(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    for size in (20, 80, 320):
+        rows = []
+        for k in range(size):
+            copy = list(base)
+            for at in rng.sample(range(400), 8):
+                copy[at] = f"e{k}x{at}"
+            rows.append((k, " ".join(copy)))
+        runs = repeated_runs(spark.createDataFrame(rows, "id long, text string").repartition(4)).cache()
+        first = runs.groupBy("anchor", "content").agg(F.min(F.struct("id", "start")).alias("first"))
+        # a repeat ends at an edit of its own, or where another copy came first
+        assert compacted_paths(runs, first).count() <= 14 * size
+
+
 def components_by_hand(rows):
     sets = {}
     for i, t in rows:
