@@ -19,7 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from foliomill.llm.tables import written
 
-#: A text is constant if this share of at least so many other pages has it: in a page without a marked article, and in one with.
-OPEN_SHARE, OPEN_PAGES = 0.6, 3
-MARKED_SHARE, MARKED_PAGES = 0.95, 20
+#: A text is constant if this share of at least so many other pages has it.
+SHARE, PAGES = 0.6, 3
+#: Cells of a table that is held whole; larger ones are cut in two by their best border, which needs two rows.
 DENSE_CELLS = 4_000_000
 MAX_DEPTH = 200
 LAYOUT_DEPTH = 5
@@ -54,6 +54,7 @@ _NAMES = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond replies pagination pager toolbar widget widgets skip search".split()
 )
+_UNNAMED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "thead": {"tr", "thead", "tbody"},
     "tbody": {"tr", "thead", "tbody"}, "option": {"option"},
@@ -68,7 +69,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/<>]*+)((?>\"[^\"<]*+\"|'[^'<]*+'|[^<>])*+)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))|(\bhidden\b)")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 
 
 class Node:
@@ -87,9 +88,9 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]
         return True, False, 0
     named, main = tag == "form", 2 if tag == "article" else 1 if tag == "main" else 0
     if attributes and "=" in attributes or "hidden" in attributes:
-        for name, *values, bare in _ATTRIBUTE.findall(attributes):
+        for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
-            if bare or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 return True, False, 0
             if name == "role":
                 if value in _ROLES:
@@ -97,8 +98,9 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]
                 main = max(main, 2 if value == "article" else value == "main")
             elif name == "itemprop" and value == "articlebody":
                 main = 2
-            elif name in ("class", "id") and tag not in ("html", "body", "main"):
-                named = named or not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+            elif name in ("class", "id") and tag not in _UNNAMED:
+                # in an article a name counts as a whole only: `related-work` is a heading's anchor there
+                named = named or not _NAMES.isdisjoint(value.split() if in_article else re.split(r"[^a-z0-9]+", value))
     return False, named, main
 
 
@@ -317,27 +319,50 @@ def match_trees(a: Shape, b: Shape) -> tuple[float, list[tuple[Shape, Shape]]]:
     pa_, pb = ([_plain(c) for c in x.children] for x in (a, b))
     ka = np.array([keys.setdefault(p.key, len(keys)) if p else -1 for p in pa_])
     kb = np.array([keys.setdefault(p.key, len(keys)) if p else -2 for p in pb])
-    inner: dict[tuple[int, int], list] = {}
-    if n * m > DENSE_CELLS:  # very long lists of siblings: in order, by equal labels and texts first
-        by_text: dict[tuple[int, int], list[int]] = {}
-        for j in range(m - 1, -1, -1):
-            by_text.setdefault((int(lb[j]), int(kb[j])), []).append(j)
-        pairs, last = [], -1
-        for i in range(n):
-            places = by_text.get((int(la[i]), int(ka[i])), [])
-            while places and places[-1] <= last:
-                places.pop()
-            if places and ka[i] >= 0:
-                last = places.pop()
-                pairs.append((pa_[i], pb[last]))
-        return 1.0 + 3 * len(pairs), pairs
-    weight = (la[:, None] == lb[None, :]) * (2.0 + (ka[:, None] == kb[None, :]))
+    inner: dict[tuple[int, int], tuple[float, list]] = {}
     for i in np.flatnonzero(ka < 0):
         for j in np.flatnonzero((kb < 0) & (lb == la[i])):
-            weight[i, j], inner[i, j] = match_trees(a.children[i], b.children[j])
+            inner[int(i), int(j)] = match_trees(a.children[i], b.children[j])
+
+    def weights(i: int, low: int, high: int) -> np.ndarray:
+        row = (lb[low:high] == la[i]) * (2.0 + (kb[low:high] == ka[i]))
+        for j in np.flatnonzero((kb[low:high] < 0) & (lb[low:high] == la[i])) if ka[i] < 0 else ():
+            row[j] = inner[int(i), int(j) + low][0]
+        return row
+
+    total, chosen = best_pairs(weights, 0, n, 0, m)
+    pairs = []
+    for i, j in chosen:
+        if pa_[i] and pb[j]:
+            pairs.append((pa_[i], pb[j]))
+        pairs += inner[i, j][1] if (i, j) in inner else []
+    return 1.0 + total, pairs
+
+
+def _last_row(rows: Iterator[np.ndarray], width: int) -> np.ndarray:
+    score = np.zeros(width + 1)
+    for row in rows:
+        score[1:] = np.maximum.accumulate(np.maximum(score[1:], score[:-1] + row))
+    return score
+
+
+def best_pairs(weights: Callable[[int, int, int], np.ndarray], top: int, bottom: int, left: int, right: int) -> tuple[float, list[tuple[int, int]]]:
+    """The heaviest pairs (i, j) that rise in both, of rows [top, bottom) and columns [left, right), and their weight.
+
+    Large tables are halved at the column where the best scores from above and from below meet, so that no more than
+    `DENSE_CELLS` cells are ever held; the weight is the best one at every size.
+    """
+    n, m = bottom - top, right - left
+    if n > 1 and n * m > DENSE_CELLS:
+        middle = top + n // 2
+        above = _last_row((weights(i, left, right) for i in range(top, middle)), m)
+        below = _last_row((weights(i, left, right)[::-1] for i in range(bottom - 1, middle - 1, -1)), m)[::-1]
+        border = left + int(np.argmax(above + below))
+        (x, first), (y, second) = best_pairs(weights, top, middle, left, border), best_pairs(weights, middle, bottom, border, right)
+        return x + y, second + first
     score = np.zeros((n + 1, m + 1))
     for i in range(n):
-        score[i + 1, 1:] = np.maximum.accumulate(np.maximum(score[i, 1:], score[i, :-1] + weight[i]))
+        score[i + 1, 1:] = np.maximum.accumulate(np.maximum(score[i, 1:], score[i, :-1] + weights(top + i, left, right)))
     pairs, i, j = [], n, m
     while i and j:
         if score[i, j] == score[i - 1, j]:
@@ -346,10 +371,8 @@ def match_trees(a: Shape, b: Shape) -> tuple[float, list[tuple[Shape, Shape]]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            if pa_[i] and pb[j]:
-                pairs.append((pa_[i], pb[j]))
-            pairs += inner.get((i, j), [])
-    return 1.0 + score[n, m], pairs
+            pairs.append((top + i, left + j))
+    return float(score[n, m]), pairs
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +466,7 @@ def templates(skeletons: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = shapes.join(written(several, "wrapper-hosts"), "host", "left_semi").withColumn("template", _template(F.col("layout")))
     asked = shapes.withColumn("template", _template(F.lit(""))).unionByName(own).groupBy("template")
     first = F.max_by(F.struct("host", "shape", "page_id"), F.struct("n", "shape")).alias("first")
-    chosen = asked.agg(F.sum("n").alias("n"), first).where(F.col("n") > OPEN_PAGES).select("template", "first.*")
+    chosen = asked.agg(F.sum("n").alias("n"), first).where(F.col("n") > PAGES).select("template", "first.*")
     found = skeletons.select("host", "shape", "page_id", "tree").join(written(chosen, "wrapper-chosen"), ["host", "shape", "page_id"])
     pivots = written(found.groupBy("template").agg(F.min("tree").alias("pivot")), "wrapper-pivots")
 
@@ -451,14 +474,7 @@ def templates(skeletons: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = joined.mapInArrow(_count_equal, "template string, block int, n long").groupBy("template", "block").agg(F.sum("n").alias("n"))
     counts = written(counts, "wrapper-counts")
     pages = counts.where("block < 0").select("template", F.col("n").alias("pages"))
-    marked = F.substring(F.hex("pivot"), 1, 2) == "31"
-    limits = pages.join(pivots, "template").select(
-        "template",
-        "pages",
-        F.when(marked, MARKED_SHARE).otherwise(OPEN_SHARE).alias("share"),
-        F.when(marked, MARKED_PAGES).otherwise(OPEN_PAGES).alias("least"),
-    )
-    constant = counts.where("block >= 0").join(limits, "template").where("pages >= least and n >= share * pages")
+    constant = counts.where("block >= 0").join(pages.where(F.col("pages") >= PAGES), "template").where(F.col("n") >= SHARE * F.col("pages"))
     return pivots, constant.groupBy("template").agg(F.collect_list("block").alias("constant"))
 
 

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import random
 import time
 
 import duckdb
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -120,8 +122,14 @@ def test_a_host_has_a_template_for_each_layout(spark):
 def test_copies_of_one_page_are_no_template(spark):
     rows = [(k, f"http://one.example/{k}", "<body><p>Same story</p><p>everywhere</p></body>") for k in range(30)]
     assert set(texts(spark, rows).values()) == {"Same story\neverywhere"}
-    marked = [(k, f"http://two.example/{k}", f"<article><h1>T{k}</h1><p>Shared line</p><p>{k}</p></article>") for k in range(10)]
-    assert texts(spark, marked)[3] == "T3\nShared line\n3"
+
+
+def test_a_line_that_marked_articles_of_a_host_share_is_template(spark):
+    page = lambda k, line: f"<article><h1>T{k}</h1><p>{line}</p><p>{k}</p></article>"
+    rows = [(k, f"http://two.example/{k}", page(k, "Shared line")) for k in range(10)]
+    rows += [(10 + k, f"http://three.example/{k}", page(k, "Shared line" if k < 3 else f"Own line {k}")) for k in range(10)]
+    found = texts(spark, rows)
+    assert all(found[k] == f"T{k}\n{k}" for k in range(10)) and found[10] == "T0\nShared line\n0" and found[15] == "T5\nOwn line 5\n5"
 
 
 def test_tree_matching_keeps_order_and_labels():
@@ -142,11 +150,61 @@ def test_broken_markup_takes_linear_time():
         assert took[1] < 10 * took[0] + 1.0, piece
 
 
-def test_long_lists_of_siblings_are_matched_in_order(monkeypatch):
-    tree = lambda n: wrapper.read_skeleton(wrapper.skeleton(*wrapper.content_tree("".join(f"<p>{k}</p>" for k in range(n)))))[0]
-    monkeypatch.setattr(wrapper, "DENSE_CELLS", 10)
-    pairs = wrapper.match_trees(tree(50), tree(60))[1]
-    assert len(pairs) == 50 and all(x.key == y.key for x, y in pairs)
+def heaviest(a, b):
+    """The weight of the best matching of two nodes with equal labels, by recursion over all pairs."""
+    memo = {}
+
+    def own(x, y):
+        p, q = wrapper._plain(x), wrapper._plain(y)
+        if x.label != y.label:
+            return 0.0
+        if p or q:
+            return 2.0 + bool(p and q and p.key == q.key)
+        return heaviest(x, y)
+
+    def best(i, j):
+        if not (i and j):
+            return 0.0
+        if (i, j) not in memo:
+            memo[i, j] = max(best(i - 1, j), best(i, j - 1), best(i - 1, j - 1) + own(a.children[i - 1], b.children[j - 1]))
+        return memo[i, j]
+
+    return 1.0 + best(len(a.children), len(b.children))
+
+
+@pytest.mark.parametrize("cells", [1, 12, 4_000_000])
+def test_tree_matching_against_all_matchings(monkeypatch, cells):
+    monkeypatch.setattr(wrapper, "DENSE_CELLS", cells)
+    rng = random.Random(cells)
+    tree = lambda h: wrapper.read_skeleton(wrapper.skeleton(*wrapper.content_tree(h)))[0]
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{rng.choice('abcd')}</p>"
+        return f"<{(tag := rng.choice(['div', 'section', 'ul']))}>" + "".join(page(depth - 1) for _ in range(rng.randrange(5))) + f"</{tag}>"
+
+    for _ in range(40):
+        a, b = (tree("".join(page(2) for _ in range(6))) for _ in range(2))
+        score, pairs = wrapper.match_trees(a, b)
+        assert score == heaviest(a, b)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_constants_in_long_lists_are_found_in_any_table(monkeypatch):
+    rows = lambda k: "".join(f"<div><p>{r}</p><p>slot {k} {r}</p></div>" for r in range(30))
+    tree = lambda k: wrapper.read_skeleton(wrapper.skeleton(*wrapper.content_tree(rows(k))))[0]
+    for cells in (10, 4_000_000):
+        monkeypatch.setattr(wrapper, "DENSE_CELLS", cells)
+        pairs = wrapper.match_trees(tree(1), tree(2))[1]
+        assert len(pairs) == 60 and sum(x.key == y.key for x, y in pairs) == 30
+
+
+def test_names_within_an_article_count_as_a_whole():
+    text = lambda h: [n.text for n in wrapper.leaves(wrapper.content_tree(h)[0])]
+    inner = "<h2 id='related-work'>Related work</h2><section id='search-trees'><p>trees</p></section><div id='comments'>first!</div>"
+    assert text(f"<article><p>a</p>{inner}<h3 class='share'>On sharing</h3></article>") == ["a", "Related work", "trees", "On sharing"]
+    hidden = "<div data-v1='hidden'>a</div><div data-hidden>b</div><div hidden>c</div><div hidden=''>d</div><div class=x hidden>e</div>"
+    assert text(f"<article>{hidden}</article>") == ["a", "b"]
 
 
 def test_licences_under_other_spellings(spark, empty):
