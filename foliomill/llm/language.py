@@ -29,7 +29,7 @@ UNKNOWN = 1e-7
 UNDETERMINED = "und"
 MAX_LANGUAGES = 1000
 CACHE_WORDS = 400_000
-LONG_WORD = 48
+LONG_WORD = LEARNT_BLOCK = 48
 CUT_WORD = 1000
 _MARK = "▁"
 _PARTING = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -127,24 +127,30 @@ class Lattice:
         return out
 
     def expectations(self, words: list[str], counts: np.ndarray, languages: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """(pieces, languages): expected uses of each piece, over all segmentations of the counted words."""
+        """(pieces, languages): expected uses of each piece, over all segmentations of the counted words.
+
+        Longer words, such as sentences of scripts without spaces, go in blocks of `LEARNT_BLOCK` characters, so that sums need no scaling:
+        every character is learnt from, only pieces across the borders of blocks are not.
+        """
         total = np.zeros_like(table)
-        by_length: dict[int, list[int]] = {}
+        by_length: dict[int, list[tuple[str, int]]] = {}
         for k, w in enumerate(words):
-            if len(w) < LONG_WORD:
-                by_length.setdefault(len(w), []).append(k)
+            marked = _MARK + w
+            for low in range(0, len(marked), LEARNT_BLOCK):
+                block = marked[low : low + LEARNT_BLOCK]
+                by_length.setdefault(len(block), []).append((block, k))
         for n, rows in by_length.items():
             for low in range(0, len(rows), 1024):
-                some = np.array(rows[low : low + 1024])
+                some = np.array([k for _, k in rows[low : low + 1024]])
                 own = languages[some]
-                arcs = self.arcs([_MARK + words[k] for k in some])
+                arcs = self.arcs([block for block, _ in rows[low : low + 1024]])
                 p = {span: table[a, own] for span, a in arcs.items()}
-                alpha, _ = self.forward(p, n + 1, lambda x: x)
+                alpha, _ = self.forward(p, n, lambda x: x)
                 beta = np.zeros_like(alpha)
-                beta[n + 1] = 1.0
+                beta[n] = 1.0
                 for i, j in sorted(arcs, key=lambda s: -s[0]):
                     beta[i] += beta[j] * p[i, j]
-                weight = counts[some] / np.maximum(alpha[n + 1], 1e-300)
+                weight = counts[some] / np.maximum(alpha[n], 1e-300)
                 for (i, j), a in arcs.items():
                     np.add.at(total, (a, own), weight * alpha[i] * p[i, j] * beta[j])
         return total[: len(self.index)]
