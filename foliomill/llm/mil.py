@@ -3,7 +3,8 @@
 A document is a bag of passages of `PASSAGE_WORDS` words. Every passage is encoded (a tanh layer over its measures), gated attention
 (tanh and sigmoid branches) weighs the passages of a document against each other, and the weighted sum of their encodings
 is scored. Only documents carry labels: the weights of passages are learnt through them, by gradient descent over
-the bags of a sample of at most about `SAMPLE_DOCUMENTS` labelled documents (drawn by a hash of the id). Measuring and
+the bags of a sample of at most about `SAMPLE_DOCUMENTS` labelled documents and `SAMPLE_PASSAGES` passages, both drawn by a hash of the id
+as whole documents: each is learnt from with all its passages or not at all, and one of more passages than that is not drawn. Measuring and
 scoring are narrow stages over whole texts; only the sample's measures and the small model pass the driver.
 """
 
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm import words as W
+from foliomill.llm.tables import written
 
 PASSAGE_WORDS = 50
 SAMPLE_DOCUMENTS = 6000
-SAMPLE_PASSAGES = 400
+SAMPLE_PASSAGES = 300_000
 HIDDEN = 16
 GATE = 8
 EPOCHS = 300
@@ -95,10 +97,6 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counts = [np.zeros((0, N_MEASURES))], []
         for _, data, starts in W.text_slices(batch.column(1)):
             x, n = passage_measures(data, starts)
-            if n.max(initial=0) > SAMPLE_PASSAGES:  # of a long text, evenly spaced passages
-                first = np.cumsum(n) - n
-                picks = [f + np.unique(np.linspace(0, k - 1, min(k, SAMPLE_PASSAGES)).astype(int)) for f, k in zip(first, n, strict=True)]
-                x, n = x[np.concatenate(picks)], np.minimum(n, SAMPLE_PASSAGES)
             found.append(x)
             counts.extend(n)
         flat = np.concatenate(found)
@@ -175,8 +173,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return model
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, epochs: int = EPOCHS) -> Model | None:
-    """A model from `labelled` (id, text, label); null ids or labels other than 0 and 1 are left out. None without any row."""
+def learn(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, epochs: int = EPOCHS, passages: int = SAMPLE_PASSAGES) -> Model | None:
+    """A model from `labelled` (id, text, label); null ids or labels other than 0 and 1 are left out. None without any row.
+
+    Of more than `sample` documents a share is drawn; of these, in the order of their hash, as many as have `passages` passages in all.
+    """
     labelled = labelled.where("id is not null and label in (0, 1)")
     total = labelled.count()
     if not total:
@@ -184,11 +185,15 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, epochs: int = EPO
     if total > sample:
         labelled = labelled.where(F.pmod(F.xxhash64("id", F.lit("quality sample")), F.lit(1_000_000)) < int(1_000_000 * sample / total))
     kind = labelled.schema["id"].dataType.simpleString()
-    rows = (
-        labelled.select("id", "text", F.col("label").cast("int"))
-        .mapInArrow(_measured, f"id {kind}, label int, measures array<double>")
-        .toPandas()
-    )
+    measured = labelled.select("id", "text", F.col("label").cast("int")).mapInArrow(_measured, f"id {kind}, label int, measures array<double>")
+    measured = written(measured.withColumn("order", F.xxhash64("id", F.lit("quality order"))), "quality-sample")
+    n = F.size("measures") / N_MEASURES
+    measured = measured.where(n <= passages)
+    sizes = measured.select("id", "order", n.cast("long").alias("n")).toPandas().sort_values(["order", "id"], kind="stable")  # at most about `sample` rows
+    limit = sizes["order"][sizes["n"].cumsum() <= passages].max() if len(sizes) else None
+    if limit is None or limit != limit:
+        return None
+    rows = measured.where(F.col("order") <= int(limit)).drop("order").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values("id", kind="stable")

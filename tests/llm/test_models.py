@@ -250,3 +250,25 @@ def test_item_blocks_are_bounded_and_whole(spark):
     items = spark.createDataFrame([(k, "word " * 50) for k in range(40)], "item_id long, text string")
     blocks = list(D.item_blocks(items, limit=1000))
     assert len(blocks) > 5 and sorted(k for b in blocks for k, _ in b) == list(range(40))
+
+
+def test_scripts_without_spaces_are_told_apart(spark):
+    rng = random.Random(3)
+    texts = lambda low: ["".join(chr(low + int(rng.random() ** 2 * 60)) for _ in range(rng.randint(60, 400))) for _ in range(60)]
+    zh, ja = texts(0x4E00), texts(0x4E20)
+    rows = [(k, lang, t) for lang, some in (("zh", zh), ("ja", ja)) for k, t in enumerate(some[:40])]
+    model = language.learn(spark.createDataFrame(rows, "id long, lang string, text string"), public_tokenizers.path("piece_bpe_32k.model"))
+    tests = [(k, lang, t) for lang, some in (("zh", zh), ("ja", ja)) for k, t in enumerate(some[40:])]
+    docs = spark.createDataFrame(tests, "doc_id long, expected string, text string")
+    found = language.predict(docs, model).collect()
+    assert sum(r["lang_pred"] == r["expected"] for r in found) >= 38
+
+
+def test_a_long_text_is_learnt_from_whole_or_not_at_all(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(mil, "fit", lambda bags, labels, epochs: taken.append(sorted(len(b) for b in bags)))
+    rows = [(1, "word " * 50 * 600, 1), (2, "word " * 100, 0), (3, "word " * 40, 1), (4, "", 0)]
+    labelled = spark.createDataFrame(rows, "id long, text string, label int")
+    mil.learn(labelled)
+    mil.learn(labelled, passages=10)
+    assert taken[0] == [1, 1, 2, 600] and 600 not in taken[1] and taken[1]
