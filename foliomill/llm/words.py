@@ -1,9 +1,12 @@
 """Vectorised word hashes over the buffers of Arrow string columns.
 
 Words are maximal runs of bytes other than space and \\t..\\r, the class `[^\\x20\\x09-\\x0D]+`; as those are ASCII,
-working on UTF-8 bytes gives the same words as working on characters. A text is never turned into Python strings: byte
-values are mixed into prefix sums modulo 2**64, so that the hash of any span of bytes, or of words, is a
-difference of two prefix sums divided by a power of an odd (hence invertible) base.
+working on UTF-8 bytes gives the same words as working on characters. A text is never turned into Python strings.
+
+Words, and spans that do not overlap, are hashed as sums of their values times a multiplier of their own for every place in the word
+or span (multilinear hashing modulo 2**64): no family of long words collides by construction, as such families do under powers of
+one base. Short windows that slide over words have sums with powers of an odd base: their hash is a difference of two prefix
+sums divided by a power.
 """
 
 from __future__ import annotations
@@ -117,12 +120,26 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: boo
 def _block_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     if lower:
         data = _LOWER[data]
-    n = len(data)
-    prefix = np.empty(n + 1, dtype=U)
+    return _summed(_BYTE_VALUE[data], begin, end)
+
+
+_PLACES = 1 << 12
+_PLACE_VALUE = mix(np.arange(1, _PLACES + 1, dtype=U) * U(_WORD_BASE)) | U(1)
+
+
+def _summed(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values [begin, end) of each of several spans that follow each other, the first from 0 on."""
+    if not len(begin):
+        return np.zeros(0, dtype=U)
+    place = np.arange(len(values)) - np.repeat(begin, np.diff(np.append(begin, len(values))))
+    if place.max(initial=0) < _PLACES:
+        factor = _PLACE_VALUE[place]
+    else:
+        factor = mix((place + 1).astype(U) * U(_WORD_BASE)) | U(1)
+    prefix = np.empty(len(values) + 1, dtype=U)
     prefix[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * powers(_BASE, n), out=prefix[1:])
-    h = (prefix[end] - prefix[begin]) * powers(_BASE_INV, n)[begin]
-    return mix(h + (end - begin).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    np.cumsum(values * factor, out=prefix[1:])
+    return mix(prefix[end] - prefix[begin] + (end - begin).astype(U) * U(0xC2B2AE3D27D4EB4F))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -140,7 +157,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def span_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the words [begin, end) of each span."""
+    """A 64-bit hash of the words [begin, end) of each span, of short ones that may overlap."""
     prefix = np.empty(len(words) + 1, dtype=U)
     prefix[0] = 0
     np.cumsum(words * powers(_WORD_BASE, len(words)), out=prefix[1:])

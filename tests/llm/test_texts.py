@@ -46,6 +46,24 @@ def test_word_hashes_do_not_depend_on_place_or_block(monkeypatch):
     assert pairs[0] != pairs[2] and W.span_hashes(whole, np.array([0, 2]), np.array([1, 3]))[0] == W.span_hashes(whole, np.array([2]), np.array([3]))[0]
 
 
+def thue_morse(n):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_powers_of_a_base_are_told_apart(spark):
+    for n in (1024, 2048, 4096, 1 << 14):
+        data = np.frombuffer(" ".join(thue_morse(n)).encode(), dtype=np.uint8)
+        assert len(set(W.word_hashes(data, np.array([0, n + 1]), np.array([n, 2 * n + 1])))) == 2
+    one, other = thue_morse(2048)
+    words = [f"w{k}" for k in range(19)]
+    rows = [(1, " ".join([*words, one])), (2, " ".join([*words, other])), (3, one), (4, other), (5, f"{one}\n{other}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("x"), "source": F.lit("y")})
+    assert all(r["n_removed"] == 0 for r in remove_repeats(docs).collect())
+    assert all(r["kept"] for r in near_duplicates(docs.where("doc_id > 2")).collect())
+    assert [r["n_dup_lines"] for r in quality_rules(docs.where("doc_id = 5")).collect()] == [0]
+
+
 def kept_by_hand(rows, width):
     occurrences = defaultdict(list)
     words = [((-1 if i is None else i), (t or "").encode().split()) for i, t in rows]
