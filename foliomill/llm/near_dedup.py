@@ -57,14 +57,16 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> Iterator[n
             yield short[i : i + 1] if n else short[:0]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each of `COORDINATES` 32-bit hash functions over the set."""
-    out = np.empty(COORDINATES, dtype=np.int64)
-    for k in range(COORDINATES):
-        x = (shingles ^ _SEEDS[2 * k]) * (_SEEDS[2 * k + 1] | W.U(1))
-        x ^= x >> W.U(29)
-        x *= _ONE_MULTIPLIER
-        out[k] = int(x.min() >> W.U(32))
+def signatures_of(sets: list[np.ndarray]) -> np.ndarray:
+    """For each non-empty set the minimum of each of `COORDINATES` 32-bit hash functions over it (sets, coordinates)."""
+    out = np.empty((len(sets), COORDINATES), dtype=np.int64)
+    if sets:
+        shingles, first = np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])[:-1])
+        for k in range(COORDINATES):
+            x = (shingles ^ _SEEDS[2 * k]) * (_SEEDS[2 * k + 1] | W.U(1))
+            x ^= x >> W.U(29)
+            x *= _ONE_MULTIPLIER
+            out[:, k] = (np.minimum.reduceat(x, first) >> W.U(32)).astype(np.int64)
     return out
 
 
@@ -73,14 +75,15 @@ def _features(width: int):
         for batch in batches:
             n, low, high, signatures = [], [], [], []
             for _, data, starts in W.text_slices(batch.column(1)):
-                for found in shingle_sets(data, starts, width):
+                sets = list(shingle_sets(data, starts, width))
+                signatures.append(signatures_of([x for x in sets if len(x)]).ravel())
+                for found in sets:
                     n.append(len(found))
                     mixed = W.mix(found)
                     low.append(int(mixed.sum().view(np.int64)))
                     high.append(int(np.bitwise_xor.reduce(W.mix(mixed ^ W.U(0x5851F42D4C957F2D))).view(np.int64)) if len(found) else 0)
-                    signatures.append(signature(found) if len(found) else np.zeros(0, dtype=np.int64))
             columns = [pa.array(x, type=pa.int64()) for x in (n, low, high)]
-            lists = W.list_array(np.concatenate(signatures or [np.zeros(0, np.int64)]), [len(x) for x in signatures], pa.int64())
+            lists = W.list_array(np.concatenate(signatures or [np.zeros(0, np.int64)]), [COORDINATES * bool(x) for x in n], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists], ["id", "n", "low", "high", "signature"])
 
     return run
