@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each near-duplicate class; of rows with one id, one; rows without an id stay."""
+    """One document, the smallest id, of each near-duplicate class; of rows with one id and text, one; rows without an id stay."""
     kept = near_duplicates(docs, width=SHINGLE).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
@@ -49,9 +49,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within its edit budget."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(found, "pipeline-leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item within its edit budget; each row is judged by its own text, also without an id."""
+    row = F.concat_ws("/", F.hex(F.xxhash64("doc_id")), F.hex(F.xxhash64("text")))
+    named = docs.select(*COLUMNS, row.alias("row"))
+    found = contaminated(named.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = written(found.select(F.col("doc_id").alias("row")).distinct(), "pipeline-leaks")
+    return named.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
