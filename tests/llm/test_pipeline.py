@@ -82,6 +82,16 @@ def test_stages_do_what_they_say(spark, sf, corpus):
     assert {r["doc_id"] for r in packed} == {k for k, _ in rows}
 
 
+def test_rows_without_an_id_or_with_one_id_are_judged_by_their_texts(spark, sf):
+    leaked = spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").first()["text"]
+    rows = [(None, f"see {leaked} here"), (None, "clean"), (1, f"see {leaked} here"), (1, "clean"), (2, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = collected(stages["benchmark decontamination"](spark, docs, sf))
+    assert sorted(kept, key=repr) == [(1, "clean"), (2, None), (None, "clean")]
+    assert sorted(collected(stages["near-duplicates"](spark, docs.unionByName(docs.where("doc_id = 1")), sf)), key=repr) == sorted(rows, key=repr)
+
+
 def test_near_duplicates_by_five_words(spark, sf):
     words = [f"w{k}" for k in range(400)]
     edited = [f"x{k}" if k % 40 == 20 else w for k, w in enumerate(words)]  # 10 words apart: 357/437 by four words, 346/446 by five
