@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import markup, ocr
 from foliomill.functions import quality as Q
 from foliomill.functions.paths import target_path
+from foliomill.functions.tree_markdown import tree_engine
 from foliomill.operators import pages as P
 from foliomill.operators import report, tables, targets
 from foliomill.operators.engines import ColumnEngine, isolated_engine, missing_ocr, register_engine, table_engine
@@ -187,6 +188,23 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.selectExpr("page_id", f"{markup.html_to_text('html')} AS text")
 
 
+def html_tree_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per nation with a list of segments, in each an ordered list of customers, and a table; character references of each kind."""
+    item, cell = F.concat(F.lit("<li>"), "c_name"), F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("<td><b>"), "c_name", F.lit("</b></tr>"))
+    ordered = lambda value: F.array_join(F.array_sort(F.collect_list(F.struct("c_custkey", value.alias("x"))))["x"], "\n")
+    customers = _table(spark, sf_dir, "customer")
+    lists = customers.groupBy("c_nationkey", "c_mktsegment").agg(F.concat(F.lit("<li>"), "c_mktsegment", F.lit("<ol>"), ordered(item), F.lit("</ol></li>")).alias("x"))
+    lists = lists.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("list"))
+    cells = customers.groupBy("c_nationkey").agg(ordered(cell).alias("rows"))
+    number = F.col("c_nationkey").cast("string")
+    page = F.concat(
+        F.lit("<html><head><title>no</title></head><h2>Nation "), number, F.lit(" &#8211; &#x2019;&eacute;</h2><ul>"), "list",
+        F.lit("</ul><table><tr><th>Key<th>Name|</tr>"), "rows", F.lit("</table>"),
+    )
+    files = lists.join(cells, "c_nationkey").select(number.alias("path"), page.alias("html"))
+    return tree_engine().run(files).select(F.col("path").cast("int").alias("c_nationkey"), "text")
+
+
 def text_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document bytes, every fifth with a broken sequence, decoded as text."""
     content = F.encode(F.col("text"), "UTF-8")
@@ -715,6 +733,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         route_plan,
         html_to_markdown,
         html_to_text,
+        html_tree_markdown,
         text_passthrough,
         isolated_faults,
         table_to_markdown,

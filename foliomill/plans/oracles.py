@@ -462,4 +462,12 @@ rows AS (
 SELECT ext, engine, count(*) AS n, count(*) FILTER (engine = tool_used) AS wins, round(avg(score), 6) AS avg_score, round(min(score), 6) AS min_score,
  round(max(score), 6) AS max_score, round(count(*) FILTER (engine = tool_used) / count(*), 6) AS win_rate, true AS p25_holds, true AS p50_holds, true AS p75_holds
 FROM rows WHERE score IS NOT NULL GROUP BY ext, engine""",
+    "html_tree_markdown": """WITH segments AS (
+ SELECT c_nationkey, '- ' || c_mktsegment || chr(10) || string_agg('  ' || nth || '. ' || c_name, chr(10) ORDER BY c_custkey) AS x
+ FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS nth FROM customer) GROUP BY c_nationkey, c_mktsegment),
+lists AS (SELECT c_nationkey, string_agg(x, chr(10) ORDER BY x) AS list FROM segments GROUP BY c_nationkey),
+cells AS (SELECT c_nationkey, string_agg('| ' || c_custkey || ' | **' || c_name || '** |', chr(10) ORDER BY c_custkey) AS rows FROM customer GROUP BY c_nationkey)
+SELECT CAST(c_nationkey AS INTEGER) AS c_nationkey, '## Nation ' || c_nationkey || ' ' || chr(8211) || ' ' || chr(8217) || chr(233) || chr(10) || chr(10) || list || chr(10) || chr(10)
+ || '| Key | Name\\| |' || chr(10) || '|---|---|' || chr(10) || rows AS text
+FROM lists JOIN cells USING (c_nationkey)""",
 }
