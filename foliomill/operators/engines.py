@@ -141,3 +141,89 @@ def isolated_engine(
         )
 
     return FrameEngine(name, priority, kind, run=run)
+
+
+class _Cell:
+    """A child process that converts rows one by one; it may die or stall without taking the worker with it."""
+
+    def __init__(self, convert: Callable[..., str | None], setup: Callable[[], Any] | None) -> None:
+        import multiprocessing
+
+        self.context, self.convert, self.setup = multiprocessing.get_context("fork"), convert, setup
+        self.process = None
+
+    def _start(self) -> None:
+        self.pipe, theirs = self.context.Pipe()
+        self.process = self.context.Process(target=self._serve, args=(theirs,), daemon=True)
+        self.process.start()
+        theirs.close()
+
+    def _serve(self, pipe) -> None:
+        resource = self.setup() if self.setup else None
+        while True:
+            try:
+                values = pipe.recv()
+            except EOFError:
+                return
+            try:
+                pipe.send((self.convert(resource, *values), None))
+            except Exception as fault:  # any fault of an outside engine belongs to its row
+                pipe.send((None, f"{type(fault).__name__}: {fault}"))
+
+    def run(self, values: tuple, seconds: float) -> tuple[str | None, str | None]:
+        if self.process is None:
+            self._start()
+        try:
+            self.pipe.send(values)
+            if self.pipe.poll(seconds):
+                return self.pipe.recv()
+            fault = f"TimeLimit: no text within {seconds:g} s"
+        except (EOFError, OSError):
+            self.process.join(seconds)
+            fault = f"WorkerDied: exit code {self.process.exitcode}"
+        self.close()
+        return None, fault
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = None
+
+
+def guarded_engine(
+    name: str, priority: int, convert: Callable[..., str | None], columns: list[str], setup: Callable[[], Any] | None = None,
+    seconds: float = 60.0, kind: str = TEXT,
+) -> FrameEngine:
+    """As `isolated_engine`, for functions that can kill or stall their process.
+
+    Rows are converted in a child process of each task, one at a time. A row in whose course the child dies (a crash in native code, a
+    lack of memory) or that takes longer than `seconds` is a failed row, `WorkerDied: ...` or `TimeLimit: ...`; a new child goes on with the next, and `setup` runs
+    again in it. The price is one exchange over a pipe for each row.
+    """
+
+    def run(files: DataFrame) -> DataFrame:
+        def convert_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import time
+
+            cell = _Cell(convert, setup)
+            try:
+                for batch in batches:
+                    texts, errors, took = [], [], []
+                    for values in batch[columns].itertuples(index=False, name=None):
+                        start = time.perf_counter()
+                        text, error = cell.run(values, seconds)
+                        if kind == TEXT and not text:
+                            text, error = None, error or MSG_EMPTY_RESULT
+                        texts.append(text)
+                        errors.append(error)
+                        took.append(time.perf_counter() - start)
+                    yield pd.DataFrame({"path": batch["path"], "text": texts, "error": errors, "seconds": took})
+            finally:
+                cell.close()
+
+        wanted = list(dict.fromkeys(["path", *columns]))
+        return files.select(*wanted).mapInPandas(convert_batches, "path string, text string, error string, seconds double")
+
+    return FrameEngine(name, priority, kind, run=run)

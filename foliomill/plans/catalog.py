@@ -6,6 +6,8 @@ The test tables hold no file paths, formats or engine outputs, so these are deri
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,7 @@ from foliomill.functions.paths import target_path
 from foliomill.functions.tree_markdown import tree_engine
 from foliomill.operators import pages as P
 from foliomill.operators import report, tables, targets
-from foliomill.operators.engines import ColumnEngine, isolated_engine, missing_ocr, register_engine, table_engine
+from foliomill.operators.engines import ColumnEngine, guarded_engine, isolated_engine, missing_ocr, register_engine, table_engine
 from foliomill.operators.formats import format_engine
 from foliomill.operators.routing import route, use_ocr_engine, use_text_engine
 from foliomill.operators.scoring import score_quality, with_counts, with_scores
@@ -27,7 +29,7 @@ from foliomill.plans.refresh import current_texts, refresh
 from foliomill.plans.state import PERCENTILES, RANK_ERROR, score_rows
 from foliomill.schemas import OCR_ENGINE, TEXT_ENGINE
 from foliomill.session import spread, work_folder
-from foliomill.sources.files import default_output_dir, manifest, scan_files
+from foliomill.sources.files import default_output_dir, manifest, scan_files, stream_files
 from foliomill.sources.sinks import delete_files, export_parts, export_texts
 from foliomill.sources.split_csv import read_csv_rows
 from foliomill.sources.walk import read_contents, walk_files
@@ -221,6 +223,34 @@ def isolated_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.run(files).select(F.col("path").cast("bigint").alias("doc_id"), "text", "error")
 
 
+def _brittle(_, doc_id: int, text: str) -> str:
+    """Kills its process on some rows and never ends on others."""
+    if doc_id % 97 == 13:
+        os._exit(3)
+    if doc_id % 499 == 7:
+        time.sleep(600)
+    return text
+
+
+def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine that dies on some rows and hangs on others: these are failed rows, all others convert."""
+    engine = guarded_engine("brittle", 0, _brittle, ["doc_id", "text"], seconds=3.0)
+    files = spread(_table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    return engine.run(files).select(F.col("path").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "error")
+
+
+def faulty_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as files where some targets cannot be written: a folder is where the file is to be."""
+    root, doc = work_folder(spark, "faulty"), F.col("doc_id")
+    docs = spread(_table(spark, sf_dir, "documents"), "doc_id")
+    place = F.concat(F.lit(root + "/"), doc.cast("string"), F.lit(".txt"))
+    blocking = docs.where(doc % 50 == 3).select(F.concat(place, F.lit("/inner.txt")).alias("target_path"), F.lit("x").alias("text"))
+    export_texts(blocking).write.format("noop").mode("overwrite").save()
+    found = export_texts(docs.select(place.alias("target_path"), "text"))
+    number = F.regexp_extract("target_path", r"(\d+)\.txt$", 1).cast("bigint")
+    return found.select(number.alias("doc_id"), "bytes", F.col("error").isNotNull().alias("failed"))
+
+
 def table_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown table per order."""
     columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
@@ -563,6 +593,19 @@ def export_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def streamed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, taken up by a stream at most 100 at a time and converted batch by batch."""
+    root, out = work_folder(spark, "arrivals"), work_folder(spark, "arrivals-out")
+    pages = spread(_table(spark, sf_dir, "pages"), "page_id")
+    place = F.concat(F.lit(root + "/"), F.col("page_id").cast("string"), F.lit(".html"))
+    export_texts(pages.select(place.alias("target_path"), F.col("html").alias("text"))).write.format("noop").mode("overwrite").save()
+    shape = lambda batch: manifest(batch, root, out)
+    convert_stream(stream_files(spark, root, 100), shape, [format_engine()], out, out + "-state").awaitTermination()
+    results = read_results(spark, out, texts=True)
+    number = F.regexp_extract("source_path", r"(\d+)\.html$", 1).cast("bigint").alias("page_id")
+    return results.select(number, "success", "tool_used", F.md5("text").alias("text_md5"))
+
+
 def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over overlapping parts of the pages, one over all, and one that overwrites; each run is a batch of its own."""
     out, pages = work_folder(spark, "repeated"), _table(spark, sf_dir, "pages")
@@ -736,6 +779,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         html_tree_markdown,
         text_passthrough,
         isolated_faults,
+        guarded_rows,
+        faulty_export,
         table_to_markdown,
         table_to_markdown_parts,
         csv_to_markdown,
@@ -769,6 +814,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         incremental_stats,
         export_and_scan,
         repeated_runs,
+        streamed_folder,
         folder_run,
         refreshed_folder,
         registry_engine,

@@ -470,4 +470,9 @@ cells AS (SELECT c_nationkey, string_agg('| ' || c_custkey || ' | **' || c_name
 SELECT CAST(c_nationkey AS INTEGER) AS c_nationkey, '## Nation ' || c_nationkey || ' ' || chr(8211) || ' ' || chr(8217) || chr(233) || chr(10) || chr(10) || list || chr(10) || chr(10)
  || '| Key | Name\\| |' || chr(10) || '|---|---|' || chr(10) || rows AS text
 FROM lists JOIN cells USING (c_nationkey)""",
+    "guarded_rows": """SELECT doc_id, CASE WHEN doc_id % 97 <> 13 AND doc_id % 499 <> 7 AND text <> '' THEN md5(text) END AS text_md5,
+ CASE WHEN doc_id % 97 = 13 THEN 'WorkerDied: exit code 3' WHEN doc_id % 499 = 7 THEN 'TimeLimit: no text within 3 s' WHEN text = '' THEN '转换结果为空' END AS error
+FROM documents""",
+    "faulty_export": """SELECT doc_id, CASE WHEN doc_id % 50 <> 3 THEN CAST(strlen(text) AS BIGINT) END AS bytes, doc_id % 50 = 3 AS failed FROM documents""",
+    "streamed_folder": f"""SELECT page_id, true AS success, 'markitdown' AS tool_used, md5({markdown('html')}) AS text_md5 FROM pages""",
 }
