@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.llm import words as W
-from foliomill.llm.tables import written
+from foliomill.llm.tables import discard, written
 
 WIDTH = 20
 ANCHOR = 8
@@ -135,12 +135,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Runs (id, anchor, content, start, n) of `docs` (id, text) whose anchor is found at least twice."""
+    """Runs (id, anchor, content, start, n) of `docs` (id, text) whose anchor is found at least twice, written."""
     kind = docs.schema["id"].dataType.simpleString()
     counts = docs.mapInArrow(_runs_of(width, True), "anchor long, n long")
     repeated = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "substring-anchors")
     runs = docs.mapInArrow(_runs_of(width, False), f"id {kind}, anchor long, content long, start long, n long")
-    return runs.join(repeated, "anchor", "left_semi")
+    found = written(runs.join(repeated, "anchor", "left_semi"), "substring-runs")
+    discard(repeated)
+    return found
 
 
 def compacted_paths(runs: DataFrame, distinct: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -165,7 +167,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     """Of `docs` (id, text): spans of words to remove (id, low, high), and the packed texts."""
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.where("id is not null")
-    runs = written(repeated_runs(docs, width), "substring-runs")
+    runs = repeated_runs(docs, width)
     first = F.min(F.struct("id", "start")).alias("first")
     distinct = written(runs.groupBy("anchor", "content").agg(first, F.first("n").alias("n")), "substring-distinct")
     whole = compacted_paths(runs, distinct, width)
@@ -193,7 +195,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
         .where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
         .select("id", F.col("start").alias("low"), (F.col("start") + width).alias("high"))
     )
-    return whole.union(single), packed
+    spans = written(whole.union(single), "substring-spans")
+    discard(runs, distinct, mixed, windows, earliest)
+    return spans, packed
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
