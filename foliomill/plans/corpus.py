@@ -125,7 +125,7 @@ def convert_to_tables(
 
     done = written_batches(spark, out)
     if batch_id is None:
-        batch_id = max((b for b in done if b < STREAM_BATCHES), default=-1) + 1
+        batch_id = _claimed(spark, out, max((b for b in done if b < STREAM_BATCHES), default=-1) + 1)
     engines = named_engines(engines)
     files = _targeted(files_df, output_dir, preserve_structure)
     ocr = _ocr_available(engines, ocr_available)
@@ -210,6 +210,17 @@ def _table(spark: SparkSession, output_dir: str, name: str) -> DataFrame | None:
     return spark.read.option("basePath", folder).parquet(folder)
 
 
+def _claimed(spark: SparkSession, out: str, number: int) -> int:
+    """The first number from `number` on that no other run has; a run that fails keeps its number, so that runs at one time never share one."""
+    while True:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/claims/{number}")
+        storage = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        storage.mkdirs(path.getParent())
+        if storage.createNewFile(path):
+            return number
+        number += 1
+
+
 def _targeted(files: DataFrame, output_dir: str | None, preserve_structure: bool) -> DataFrame:
     if "target_path" in files.columns:
         return files
