@@ -153,7 +153,6 @@ def convert_to_tables(
         index.forget()
     rows.write.mode("overwrite").parquet(f"{out}/converted/batch_id={batch_id}")
     batch = read_batch(spark, out, batch_id)
-    index.catch_up()
     names = tuple(e.name for e in engines)
     counted = report.counters(batch, names).withColumn("seconds", F.lit(time.time() - started))
     first = report.first_errors(report.errors(batch))

@@ -34,6 +34,7 @@ def test_what_a_run_reads_does_not_grow_with_earlier_runs(spark, tmp_path, monke
     out = str(tmp_path)
     for k in range(5):
         convert_to_tables(batch(spark, [f"{k}-{j}" for j in range(4)]), [ENGINE], out)
+    TargetIndex(spark, out).catch_up()
     monkeypatch.setattr(TargetIndex, "_buckets", counted)
     for names in ([f"new-{j}" for j in range(4)], [f"{k}-0" for k in range(4)]):
         read.append(0)
