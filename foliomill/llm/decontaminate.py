@@ -7,7 +7,8 @@ distance of the item to any substring. Nothing within the budget is missed, and
 
 Texts and items are compared lower-cased, with all runs of white space and ASCII punctuation as one space. The items are
 a stated query set, searched in blocks of at most `BLOCK_CHARS` characters against all documents, each block in one narrow
-stage over the documents; so what a task holds of the items is bounded.
+job over the documents whose matches are written. Blocks stream through the driver one after the other, so that neither it nor a task ever
+holds more than one. Of several blocks' documents the normalised texts are written once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.llm.tables import written
+
 ERROR_RATE = 0.08
 LEAST_PIECE = 8
 BLOCK_CHARS = 4_000_000
@@ -122,13 +125,21 @@ class Items:
                 yield key, best, errors, end - 1
 
 
-def _search(items: list[tuple[object, str]], rate: float):
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [normalised(t.as_py() or "") for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+
+def _search(items: list[tuple[object, str]], rate: float, ready: bool = False):
+    """A search for a block of items; `ready` texts are normalised already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Items(items, rate)
         for batch in batches:
             owner, found = [], []
             for i, text in enumerate(batch.column(1)):
-                for match in block.search(normalised(text.as_py() or "")):
+                for match in block.search(text.as_py() if ready else normalised(text.as_py() or "")):
                     owner.append(i)
                     found.append(match)
             columns = list(zip(*found, strict=True)) or [()] * 4
@@ -156,7 +167,7 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", rate: float = ERROR_RATE
+    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """Pairs (id, item_id, distance, budget, match_end): each document that holds an item within its budget.
 
@@ -167,7 +178,14 @@ def contaminated(
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kinds = rows.schema["id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"id {kinds[0]}, item_id {kinds[1]}, distance long, budget long, match_end long"
-    out = rows.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(benchmark):
-        out = out.union(rows.mapInArrow(_search(block, rate), schema))
+    blocks = item_blocks(benchmark, block_chars)
+    block, following = next(blocks, None), next(blocks, None)
+    several, found = following is not None, []
+    if several:
+        rows = written(rows.mapInArrow(_normalised, f"id {kinds[0]}, text string"), "leaks-texts")
+    while block is not None:
+        found.append(written(rows.mapInArrow(_search(block, rate, several), schema), "leaks"))
+        block, following = following, next(blocks, None)
+    spark = rows.sparkSession
+    out = spark.read.schema(schema).parquet(*[t._folder for t in found]) if found else spark.createDataFrame([], schema)
     return out.withColumnRenamed("id", id_column)

@@ -242,6 +242,7 @@ def test_decontamination_against_all_substrings(spark, corpus, empty):
                 expected.append((d, i, best, errors))
     found = sorted(tuple(r)[:4] for r in D.contaminated(docs, benchmark).collect())
     assert found == sorted(expected) and len({r[2] for r in found}) > 3
+    assert sorted(tuple(r)[:4] for r in D.contaminated(docs, benchmark, block_chars=100).collect()) == found
     assert D.contaminated(empty, benchmark).count() == 0
     assert D.contaminated(corpus, benchmark.limit(0)).count() == 0
 
