@@ -98,6 +98,26 @@ WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
 
+#: Digests of the canonical forms of longer public licence texts, whole and, of those that end in instructions for their
+#: use, up to the end of the terms; of the BSD licences with and without their name as a heading.
+LICENSE_DIGESTS = (
+    ("Apache-2.0", "77a58bfc0cf6615316cf1a166023a128540b85fcb550f7cf34c29bcf859fd45b"),
+    ("Apache-2.0", "85090353ee35df63fd83871a1a59a49d291d0bebeaf14811a3860a17c2366119"),
+    ("GPL-2.0", "dd7a3dc14bd5b8881a49c09f9333b66fed3805d2d37f8174f36cf39ae7acf3cf"),
+    ("GPL-2.0", "0e5fd2e3978efdd0e63168374f9abf1d3941ed5ce6b54da1645625e1456d273e"),
+    ("GPL-3.0", "89a33ed2e569902a72e75536a0c1c12a05ffb075264ac505f84811d4f9260b19"),
+    ("GPL-3.0", "f7990fe97489ef47294746ac08d67dfa07b313f2de1103d7dd0f00749c9139c4"),
+    ("LGPL-3.0", "c15236b1a2318d6cdd819a5f6152950e890090bca8f0fed682a24765bb8b467a"),
+    ("MPL-2.0", "becb265374b9355696544094202debbc9caaf03fb1e0c3a5729fef97fa32b9ea"),
+    ("CC0-1.0", "bcf1ca6bfc638eb154167518097e0e35e99b24f6b9bb4b2a6cb9b919bfda843a"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
+    ("BSD-2-Clause", "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2"),
+    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("BSD-3-Clause", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15"),
+)
+
+
 def _step(marks: tuple[str, ...], rules: tuple[tuple[str, str], ...]):
     def apply(text: Column) -> Column:
         changed = text
@@ -140,10 +160,13 @@ def known_texts() -> list[tuple[str, str]]:
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id), one row a digest; of licences with the same canonical text the first in order of name.
 
-    Written as a table, so that its size is known where it is joined.
+    Without `texts`: the built-in ones and `LICENSE_DIGESTS`. Written as a table, so that its size is known where it is joined.
     """
     rows = spark.createDataFrame(known_texts() if texts is None else texts, "license_id string, text string")
-    found = rows.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = rows.select(digest(F.col("text")).alias("digest"), "license_id")
+    if texts is None:
+        digests = digests.unionByName(spark.createDataFrame(LICENSE_DIGESTS, "license_id string, digest string"))
+    found = digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     return written(found.coalesce(1), "license-digests")
 
 

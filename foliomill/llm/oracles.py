@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliomill.llm.licenses import known_texts
+from foliomill.llm.licenses import LICENSE_DIGESTS, known_texts
 from foliomill.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, SPREAD_FACTOR
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -140,8 +140,10 @@ def _canonical(text: str) -> str:
 def _licenses() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in known_texts())
+    digests = ", ".join(f"({quoted(k)}, {quoted(d)})" for k, d in LICENSE_DIGESTS)
     return f"""
-WITH known AS (SELECT sha256({_canonical("t")}) AS digest, min(k) AS license_id FROM (VALUES {rows}) v(k, t) GROUP BY 1),
+WITH digests AS (SELECT sha256({_canonical("t")}) AS digest, k FROM (VALUES {rows}) v(k, t) UNION ALL SELECT d, k FROM (VALUES {digests}) v(k, d)),
+known AS (SELECT digest, min(k) AS license_id FROM digests GROUP BY 1),
 texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
 found AS (SELECT doc_id, list_sort(list(DISTINCT license_id)) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id),

@@ -179,4 +179,6 @@ def quality_rules(docs: DataFrame, text: str = "text", group: tuple[str, ...] =
     """
     others = [c for c in docs.columns if c not in (text, "base_failed", "kept", *group)]
     measured = written(measures(docs.select(text, *group, *others), text), "quality-measures")
-    return judge(measured, thresholds(sketches(measured, group), group), group)
+    # written, their size is known: a few rows a group are broadcast, and no document is dealt by its group
+    limits = written(thresholds(sketches(measured, group), group), "quality-limits")
+    return judge(measured, limits, group)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import time
 
@@ -254,6 +255,24 @@ def test_every_spelling_rule_runs_on_every_text(spark):
     assert dict(sql.fetchall()) == {k: r["text_digest"] for k, r in found.items()}
 
 
+def test_long_licences_are_known_by_digest(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "BSD-3-Clause": "BSD"}
+    there = {k: f"{folder}/{f}" for k, f in names.items() if os.path.exists(f"{folder}/{f}")}
+    if not there:
+        pytest.skip("no licence texts on this machine")
+    rows = []
+    for key, path in there.items():
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+        rows += [(key, text), (key, "Copyright 2020 Someone\n" + text.upper().replace("\n", " \n "))]
+    docs = spark.createDataFrame([(k, f"{key}|{t}") for k, (key, t) in enumerate(rows)], "doc_id long, text string")
+    docs = docs.withColumn("text", F.regexp_replace("text", r"^[^|]*\|", ""))
+    found = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs, licenses.known_digests(spark)).collect()}
+    assert [found[k] for k in range(len(rows))] == [key for key, _ in rows]
+    assert len(dict.fromkeys(d for _, d in licenses.LICENSE_DIGESTS)) == len(licenses.LICENSE_DIGESTS)
+
+
 def test_licence_scan_is_native(spark, sf_dir):
     from foliomill.llm.queries import op10_license_scan
 
