@@ -570,7 +570,8 @@ def incremental_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     out = work_folder(spark, "stream")
     schema = _table(spark, sf_dir, "pages").schema
-    arrivals = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    # as a pattern, the name stands for one file as well as for a folder of parts
+    arrivals = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{{pages}}.parquet")
     query = convert_stream(arrivals, lambda b: spread(_web_rows(b), "path"), _web_engines(), out + "/tables", out + "/state")
     query.awaitTermination()
     return out + "/tables"
