@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from foliomill.schemas import ENGINE_LABELS, MSG_EMPTY_RESULT, MSG_OCR_MISSING, MSG_OCR_UNSUPPORTED, OCR_ENGINE
+from foliomill.session import small_batches
 
 TEXT, OCR = "text", "ocr"
 
@@ -136,6 +137,7 @@ def isolated_engine(
                 yield pd.DataFrame({"path": batch["path"], "text": texts, "error": errors, "seconds": seconds})
 
         wanted = list(dict.fromkeys(["path", *columns]))
+        small_batches(files.sparkSession)
         return files.select(*wanted).mapInPandas(
             convert_batches, "path string, text string, error string, seconds double"
         )
@@ -224,6 +226,7 @@ def guarded_engine(
                 cell.close()
 
         wanted = list(dict.fromkeys(["path", *columns]))
+        small_batches(files.sparkSession)
         return files.select(*wanted).mapInPandas(convert_batches, "path string, text string, error string, seconds double")
 
     return FrameEngine(name, priority, kind, run=run)

@@ -5,7 +5,7 @@ import pytest
 from foliomill import ColumnEngine, isolated_engine, register_engine, registered_engines
 from foliomill.functions import markup
 from foliomill.plans.catalog import ARTICLE
-from foliomill.operators.engines import FrameEngine, missing_ocr
+from foliomill.operators.engines import FrameEngine, guarded_engine, missing_ocr
 from foliomill.plans.corpus import convert_corpus
 
 
@@ -148,3 +148,19 @@ def test_registry_and_missing_ocr(spark):
         results, _ = convert_corpus(spark, image, [missing_ocr()], prefer=prefer)
         row = results.first()
         assert (row.success, row.error_message) == (False, message)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    def held(_, raw):
+        import sys
+
+        frame = sys._getframe(1)  # the loop over a batch
+        while "batch" not in frame.f_locals:
+            frame = frame.f_back
+        return str(len(frame.f_locals["batch"]))
+
+    many = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("/in/"), "id").alias("path"), F.lit("x").alias("raw"))
+    sizes = isolated_engine("held", 0, held, ["raw"]).run(many).agg(F.max(F.col("text").cast("int"))).first()[0]
+    assert sizes <= 1000
