@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from foliomill.schemas import ENGINE_LABELS, MSG_EMPTY_RESULT, MSG_OCR_MISSING, MSG_OCR_UNSUPPORTED, OCR_ENGINE
-from foliomill.session import small_batches
+from foliomill.session import BATCH_ROWS, small_batches
 
 TEXT, OCR = "text", "ocr"
+#: Child processes of a task of a guarded engine; seconds that a row is waited for, and looked at, before others go on beside it.
+MOST_CELLS, PATIENCE, LOOK = 4, 0.25, 0.05
 
 
 @dataclass(frozen=True)
@@ -151,12 +153,9 @@ class _Cell:
     def __init__(self, convert: Callable[..., str | None], setup: Callable[[], Any] | None) -> None:
         import multiprocessing
 
-        self.context, self.convert, self.setup = multiprocessing.get_context("fork"), convert, setup
-        self.process = None
-
-    def _start(self) -> None:
-        self.pipe, theirs = self.context.Pipe()
-        self.process = self.context.Process(target=self._serve, args=(theirs,), daemon=True)
+        context, self.convert, self.setup = multiprocessing.get_context("fork"), convert, setup
+        self.pipe, theirs = context.Pipe()
+        self.process = context.Process(target=self._serve, args=(theirs,), daemon=True)
         self.process.start()
         theirs.close()
 
@@ -172,26 +171,92 @@ class _Cell:
             except Exception as fault:  # any fault of an outside engine belongs to its row
                 pipe.send((None, f"{type(fault).__name__}: {fault}"))
 
-    def run(self, values: tuple, seconds: float) -> tuple[str | None, str | None]:
-        if self.process is None:
-            self._start()
-        try:
-            self.pipe.send(values)
-            if self.pipe.poll(seconds):
-                return self.pipe.recv()
-            fault = f"TimeLimit: no text within {seconds:g} s"
-        except (EOFError, OSError):
-            self.process.join(seconds)
-            fault = f"WorkerDied: exit code {self.process.exitcode}"
-        self.close()
-        return None, fault
+    def close(self) -> None:
+        self.process.kill()
+        self.process.join()
+        self.pipe.close()
+
+
+class _Cells:
+    """Child processes of one task. A row is given out when the one before has its text, or while that one waits without using its core."""
+
+    def __init__(self, convert: Callable[..., str | None], setup: Callable[[], Any] | None, seconds: float) -> None:
+        self.convert, self.setup, self.seconds = convert, setup, seconds
+        self.idle: list[_Cell] = []
+        self.busy: list[tuple[_Cell, str, float]] = []  # the path of the row and when it was given out
+
+    def run(self, rows: Iterator[tuple[str, tuple]]) -> Iterator[tuple[str, str | None, str | None, float]]:
+        """`path, text, error, seconds` of rows (path, values), in the order in which they end."""
+        import time
+
+        for path, values in rows:
+            cell = self.idle.pop() if self.idle else _Cell(self.convert, self.setup)
+            start = time.perf_counter()
+            self.busy.append((cell, path, start))
+            try:
+                cell.pipe.send(values)
+            except OSError:  # it has died; reading will tell
+                pass
+            while any(given is cell for given, _, _ in self.busy):
+                yield from self._ended()
+                if len(self.busy) < MOST_CELLS and time.perf_counter() - start >= PATIENCE and self._all_wait():
+                    break
+        while self.busy:
+            yield from self._ended()
+
+    def _ended(self) -> list[tuple[str, str | None, str | None, float]]:
+        """The rows that end by the next deadline, within PATIENCE at most; their children are idle again or gone."""
+        import time
+        from multiprocessing.connection import wait
+
+        left = min(start for _, _, start in self.busy) + self.seconds - time.perf_counter()
+        ready = set(wait([cell.pipe for cell, _, _ in self.busy], max(0.0, min(PATIENCE, left))))
+        found, still = [], []
+        for cell, path, start in self.busy:
+            took = time.perf_counter() - start
+            if cell.pipe in ready:
+                try:
+                    text, fault = cell.pipe.recv()
+                    self.idle.append(cell)
+                except (EOFError, OSError):
+                    cell.process.join(self.seconds)
+                    text, fault = None, f"WorkerDied: exit code {cell.process.exitcode}"
+                    cell.close()
+            elif took >= self.seconds:
+                text, fault = None, f"TimeLimit: no text within {self.seconds:g} s"
+                cell.close()
+            else:
+                still.append((cell, path, start))
+                continue
+            found.append((path, text, fault, took))
+        self.busy = still
+        return found
+
+    def _all_wait(self) -> bool:
+        """Whether no child, nor a process that it started, has used its core for a moment."""
+        import time
+
+        before = [_cpu_ticks(cell.process.pid) for cell, _, _ in self.busy]
+        if None in before:
+            return False
+        time.sleep(LOOK)
+        return before == [_cpu_ticks(cell.process.pid) for cell, _, _ in self.busy]
 
     def close(self) -> None:
-        if self.process is not None:
-            self.process.kill()
-            self.process.join()
-            self.pipe.close()
-            self.process = None
+        for cell in [*self.idle, *(cell for cell, _, _ in self.busy)]:
+            cell.close()
+
+
+def _cpu_ticks(pid: int) -> int | None:
+    """Processor time of a process and those it started, or None where the system does not tell."""
+    try:
+        with open(f"/proc/{pid}/stat") as file:
+            ticks = sum(int(t) for t in file.read().rsplit(")", 1)[1].split()[11:15])
+        with open(f"/proc/{pid}/task/{pid}/children") as file:
+            started = [_cpu_ticks(int(p)) for p in file.read().split()]
+    except OSError:
+        return None
+    return None if None in started else ticks + sum(started)
 
 
 def guarded_engine(
@@ -202,28 +267,30 @@ def guarded_engine(
 
     Rows are converted in a child process of each task, one at a time. A row in whose course the child dies (a crash in native code, a
     lack of memory) or that takes longer than `seconds` is a failed row, `WorkerDied: ...` or `TimeLimit: ...`; a new child goes on with the next, and `setup` runs
-    again in it. The price is one exchange over a pipe for each row.
+    again in it. While a row only waits and uses no processor time, the rows after it go on in other children, of which a task has `MOST_CELLS` at
+    most; so stalled rows wait together, and beside a row that computes none is begun. The price is one exchange over a pipe for each row.
     """
 
     def run(files: DataFrame) -> DataFrame:
         def convert_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import time
-
-            cell = _Cell(convert, setup)
+            from itertools import islice
+
+            cells = _Cells(convert, setup, seconds)
+            rows = (
+                (path, values)
+                for batch in batches
+                for path, values in zip(batch["path"], batch[columns].itertuples(index=False, name=None), strict=True)
+            )
             try:
-                for batch in batches:
-                    texts, errors, took = [], [], []
-                    for values in batch[columns].itertuples(index=False, name=None):
-                        start = time.perf_counter()
-                        text, error = cell.run(values, seconds)
-                        if kind == TEXT and not text:
-                            text, error = None, error or MSG_EMPTY_RESULT
-                        texts.append(text)
-                        errors.append(error)
-                        took.append(time.perf_counter() - start)
-                    yield pd.DataFrame({"path": batch["path"], "text": texts, "error": errors, "seconds": took})
+                ended = cells.run(rows)
+                while some := list(islice(ended, BATCH_ROWS)):
+                    paths, texts, errors, took = zip(*some, strict=True)
+                    if kind == TEXT:
+                        errors = [error if text else error or MSG_EMPTY_RESULT for text, error in zip(texts, errors, strict=True)]
+                        texts = [text or None for text in texts]
+                    yield pd.DataFrame({"path": paths, "text": texts, "error": errors, "seconds": took})
             finally:
-                cell.close()
+                cells.close()
 
         wanted = list(dict.fromkeys(["path", *columns]))
         small_batches(files.sparkSession)

@@ -150,6 +150,39 @@ def test_registry_and_missing_ocr(spark):
         assert (row.success, row.error_message) == (False, message)
 
 
+def _sometimes(_, raw):
+    import os
+    import time
+
+    if raw == "hang":
+        time.sleep(600)
+    if raw == "die":
+        os._exit(3)
+    if raw == "spin":
+        end = time.perf_counter() + 1
+        while time.perf_counter() < end:
+            pass
+        return f"{end - 1}"
+    return raw + "!"
+
+
+def test_stalled_rows_of_a_task_wait_together(spark):
+    engine = guarded_engine("sometimes", 0, _sometimes, ["raw"], seconds=4.0)
+    texts = ["hang", "a", "die", "hang", "b", "hang", "", "die", "c"]
+    start = time.time()
+    found = {r.path: (r.text, r.error) for r in engine.run(files(spark, texts).coalesce(1)).collect()}
+    assert time.time() - start < 11
+    limit, died = (None, "TimeLimit: no text within 4 s"), (None, "WorkerDied: exit code 3")
+    expected = [limit, ("a!", None), died, limit, ("b!", None), limit, ("!", None), died, ("c!", None)]
+    assert found == {f"/in/{i}.txt": e for i, e in enumerate(expected)}
+
+
+def test_rows_that_compute_go_one_after_the_other(spark):
+    engine = guarded_engine("sometimes", 0, _sometimes, ["raw"], seconds=30.0)
+    begun = sorted(float(r.text) for r in engine.run(files(spark, ["spin"] * 3).coalesce(1)).collect())
+    assert all(later - earlier > 0.9 for earlier, later in zip(begun, begun[1:], strict=False))
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     from pyspark.sql import functions as F
 
