@@ -48,6 +48,7 @@ class FrameEngine(_Engine):
     """An engine that maps the files it should run on to `path, text, error`, for example with `mapInPandas`."""
 
     run: Callable[[DataFrame], DataFrame] = None
+    by_path: bool = False  # reads nothing of the files but their paths
 
 
 Engine = ColumnEngine | FrameEngine
@@ -90,8 +91,15 @@ def ocr_fault(available: bool) -> str:
 
 
 def table_engine(name: str, priority: int, candidates: DataFrame, kind: str = TEXT) -> FrameEngine:
-    """An engine whose texts another system has already put in a `path, text, error` table."""
-    return FrameEngine(name, priority, kind, run=lambda files: candidates)
+    """An engine whose texts another system has already put in a `path, text, error` table.
+
+    Rows of files that it does not run on are left out before they are scored; of a table with `seconds` all rows stay, as all their seconds count.
+    """
+
+    def run(files: DataFrame) -> DataFrame:
+        return candidates if "seconds" in candidates.columns else candidates.join(files.select("path"), "path", "left_semi")
+
+    return FrameEngine(name, priority, kind, run=run, by_path=True)
 
 
 def missing_ocr(name: str = OCR_ENGINE, priority: int = 1) -> FrameEngine:

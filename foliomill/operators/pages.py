@@ -82,4 +82,4 @@ def page_engine(page_texts: DataFrame, name: str = OCR_ENGINE, priority: int = 1
         nothing = empty.select("path", F.lit(0).alias("part_no"), F.lit("").alias("text"), F.lit(None).cast("string").alias("error"))
         return parts.unionByName(nothing)
 
-    return FrameEngine(name, priority, kind, run=run)
+    return FrameEngine(name, priority, kind, run=run, by_path=True)

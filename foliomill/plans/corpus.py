@@ -53,26 +53,30 @@ def convert_corpus(
         decided = targets.decide(files.select(*METADATA), seen)
         todo = files.join(targets.pending(decided).select("path"), "path", "left_semi")
         cached = targets.as_cached_results(targets.already_done(decided))
-    routed = route(load(todo) if load else todo, ocr, prefer)
+    paths = route(todo, ocr, prefer)
+    routed = route(load(todo), ocr, prefer) if load else paths
     if _all_columns(engines):
         results = select_in_row(routed, engines, ocr, with_text=False)
     else:
-        results = select_from_candidates(_without_content(routed), run_engines(routed, engines, ocr), engines, ocr)
+        results = select_from_candidates(_without_content(routed), run_engines(routed, engines, ocr, paths), engines, ocr)
     if cached is not None:
         results = results.unionByName(cached, allowMissingColumns=True)
     return results, report.summarize(results)
 
 
-def run_engines(routed: DataFrame, engines: list[Engine], ocr_available: bool = True) -> DataFrame:
+def run_engines(routed: DataFrame, engines: list[Engine], ocr_available: bool = True, paths: DataFrame | None = None) -> DataFrame:
     """Long candidate table of all engines, each over the files routed to it. Filtering comes before any Python stage.
 
+    `paths` are the same files before their contents are read, for engines that need no more.
+
     It has a `part_no` if an engine gives its texts in parts (`page_engine`).
     """
     outputs = []
     for e in engines:
         if not is_available(e) or (e.kind == "ocr" and not ocr_available):
             continue
-        chosen = routed.where(f"{e.runs()} AND ocr_supported" if e.kind == "ocr" else e.runs())
+        files = paths if paths is not None and getattr(e, "by_path", False) else routed
+        chosen = files.where(f"{e.runs()} AND ocr_supported" if e.kind == "ocr" else e.runs())
         if isinstance(e, ColumnEngine):
             known = [x for x in ("read_error" if "read_error" in chosen.columns else None, e.error, "cast(NULL AS string)") if x]
             from_engine = chosen.selectExpr("path", f"{e.text} AS text", f"coalesce({', '.join(known)}) AS error")
@@ -145,7 +149,7 @@ def convert_to_tables(
     if _all_columns(engines):
         converted = select_in_row(loaded, engines, ocr)
     else:
-        candidates = _written(run_engines(loaded, engines, ocr), "candidates")
+        candidates = _written(run_engines(loaded, engines, ocr, routed), "candidates")
         chosen = select_from_candidates(_without_content(routed), candidates, engines, ocr)
         converted = with_winning_text(chosen, candidates)
     rows = converted.unionByName(targets.as_cached_results(cached), allowMissingColumns=True)
