@@ -7,10 +7,13 @@ the files that are left. Local (mounted) paths and URIs of any storage Arrow kno
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from itertools import chain, islice
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,7 @@ ROWS_PER_BATCH = 10_000
 WAVE_ENTRIES = 20_000
 SAMPLED_NAMES = 10_000
 BYTES_PER_BATCH = 64 << 20
+BLOCK = 4 << 20
 
 
 def walk_files(
@@ -83,13 +87,15 @@ def _unlisted(folders: DataFrame, base: str, out: str) -> DataFrame:
     return named.withColumn("target_path", P.target_path(out, inner, F.lit(""), True))
 
 
-def read_contents(files: DataFrame) -> DataFrame:
+def read_contents(files: DataFrame, digest: str | None = None) -> DataFrame:
     """Add `content` to file rows, read by path on the executors, and `read_error`, why there is none.
 
     A file that is gone or cannot be read has a null content and its fault as `TypeName: message`; the others go on. Rows that
     have a `read_error` already are not read. Batches are cut by bytes, so memory follows the largest file and not the
-    number of files.
+    number of files. With `digest`, a name known to hashlib such as `md5`, there is instead of `content` the hex digest of the whole
+    file as `digest`, taken block by block, so that a file of any length is read in a bounded memory.
     """
+    name, kind, read = ("digest", "string", partial(_digest, digest)) if digest else ("content", "binary", _read)
     columns = [c for c in files.columns if c != "read_error"]
     fault = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
 
@@ -97,27 +103,41 @@ def read_contents(files: DataFrame) -> DataFrame:
         for batch in batches:
             start, held, contents, faults = 0, 0, [], []
             for i, (path, known) in enumerate(zip(batch["path"], batch["read_error"], strict=True)):
-                content, fault = (None, known) if known else _read(path)
+                content, fault = (None, known) if known else read(path)
                 contents.append(content)
                 faults.append(fault)
                 held += len(content or b"")
                 if held >= BYTES_PER_BATCH or i == len(batch) - 1:
-                    yield batch.iloc[start : i + 1].drop(columns="read_error").assign(content=contents, read_error=faults)
+                    yield batch.iloc[start : i + 1].drop(columns="read_error").assign(**{name: contents}, read_error=faults)
                     start, held, contents, faults = i + 1, 0, [], []
 
     kept = files.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return files.select(*columns, fault.alias("read_error")).mapInPandas(read_batches, schema + ", content binary, read_error string")
+    return files.select(*columns, fault.alias("read_error")).mapInPandas(read_batches, f"{schema}, {name} {kind}, read_error string")
 
 
 def _read(path: str) -> tuple[bytes | None, str | None]:
+    return _from_file(path, lambda file: file.read())
+
+
+def _digest(name: str, path: str) -> tuple[str | None, str | None]:
+    def whole(file) -> str:
+        found = hashlib.new(name)
+        while block := file.read(BLOCK):
+            found.update(block)
+        return found.hexdigest()
+
+    return _from_file(path, whole)
+
+
+def _from_file(path: str, take: Callable[[Any], Any]) -> tuple[Any, str | None]:
     try:
         if "://" not in path:
             with open(path, "rb") as file:
-                return file.read(), None
+                return take(file), None
         storage, place = storage_of(path)
         with storage.open_input_stream(place) as file:
-            return file.read(), None
+            return take(file), None
     except Exception as fault:  # whatever the storage raises belongs to this file
         return None, f"{type(fault).__name__}: {fault}"
 

@@ -45,3 +45,19 @@ def test_a_folder_that_cannot_be_listed_is_a_failed_row(spark, tmp_path):
     failed = results.where("NOT success").collect()
     assert [(r.source_path, r.error_message.split(":")[1].strip()) for r in failed] == [(f"{base}/sub.txt", "NotADirectoryError")]
     assert running_stats(spark, str(tmp_path / "out")).first().failed_files == 1
+
+
+def test_a_digest_is_of_the_whole_file_and_holds_one_block_of_it(spark, tmp_path):
+    import hashlib
+
+    from foliomill.sources.walk import BLOCK
+
+    contents = {"long": b"0123456789" * (BLOCK // 4), "empty": b""}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    rows = [(f"{tmp_path}/{name}", None) for name in (*contents, "gone")] + [(f"{tmp_path}/long", "known fault")]
+    files = spark.createDataFrame(rows, "path string, read_error string")
+    found = {(r.path.rsplit("/", 1)[1], r.digest, (r.read_error or "").split(":")[0]) for r in read_contents(files, digest="md5").collect()}
+    wanted = {(name, hashlib.md5(content).hexdigest(), "") for name, content in contents.items()}
+    assert found == wanted | {("gone", None, "FileNotFoundError"), ("long", None, "known fault")}
+    assert read_contents(files, digest="md5").columns == ["path", "digest", "read_error"]
