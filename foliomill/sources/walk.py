@@ -29,6 +29,7 @@ LISTING = "path string, is_dir boolean, length bigint, modified_us bigint, low s
 ROWS_PER_BATCH = 10_000
 WAVE_ENTRIES = 20_000
 SAMPLED_NAMES = 10_000
+MOST_RANGES = 64
 BYTES_PER_BATCH = 64 << 20
 BLOCK = 4 << 20
 
@@ -46,7 +47,7 @@ def walk_files(
 
     The walk goes in waves: a task lists directories until it has seen `wave_entries` entries and hands back those it has not
     come to, which the next wave spreads over the cluster. A directory of more entries than that is handed back as ranges of
-    names, from a sample of its names, so that one flat directory is taken up by many tasks. Each wave is written to
+    names, at most 64, from a sample of its names, so that one flat directory is taken up by many tasks. Each wave is written to
     the shared folder. Symbolic links to directories are not followed.
 
     A directory that cannot be listed is a row of its own, without extension, with its fault in `read_error`; as a file to convert
@@ -215,7 +216,10 @@ def _local_entries(folder: str, low: str | None, high: str | None, most: int) ->
 
 
 def _name_ranges(folder: str, names: Iterator[str], most: int) -> Iterator[Entry]:
-    """Ranges of about half of `most` names each, cut at places of a bounded sample of the names."""
+    """Ranges of about half of `most` names each, cut at places of a bounded sample of the names.
+
+    They are at most `MOST_RANGES`: each range is a pass over all names, so the work would else grow with the square of the folder.
+    """
     rng, sample, n = random.Random(0), [], 0
     for name in names:
         n += 1
@@ -223,7 +227,7 @@ def _name_ranges(folder: str, names: Iterator[str], most: int) -> Iterator[Entry
             sample.append(name)
         elif (k := rng.randrange(n)) < SAMPLED_NAMES:
             sample[k] = name
-    parts = min(2 * n // most + 1, len(sample))
+    parts = min(2 * n // most + 1, len(sample), MOST_RANGES)
     sample.sort()
     cuts = [None, *dict.fromkeys(sample[k * len(sample) // parts] for k in range(1, parts)), None]
     for low, high in zip(cuts, cuts[1:], strict=False):

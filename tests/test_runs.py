@@ -200,6 +200,44 @@ def test_export_writes_whole_files_and_can_be_repeated(spark, tmp_path):
     assert not [f for _, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".part")]
 
 
+class Stage:
+    """As much of a frame as an export looks at; it gives the function that would run in the tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def where(self, _):
+        return self
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, function, _):
+        return function
+
+
+def test_names_of_a_crowded_folder_are_made_in_a_folder_of_the_batch(spark, tmp_path):
+    import pandas as pd
+
+    seen = []
+
+    class Text(str):
+        def encode(self, *options):
+            seen.append({e.name for e in os.scandir(tmp_path) if e.name.startswith(".") and e.is_dir()})
+            return super().encode(*options)
+
+    def batch(name, n):
+        return pd.DataFrame({"target_path": [f"{tmp_path}/{name}{i}.txt" for i in range(n)], "text": [Text(f"text {i}") for i in range(n)]})
+
+    (tmp_path / "a7.txt").mkdir()  # a file that cannot be moved in place
+    (tmp_path / "a7.txt" / "x").write_text("x")
+    found = list(export_texts(Stage(spark))(iter([batch("a", 40), batch("b", 3)])))
+    assert not seen[0] and all(len(s) == 1 for s in seen[1:40]) and not any(seen[40:])
+    assert [i for i, fault in enumerate(found[0]["error"]) if fault] == [7] and found[1]["error"].isna().all()
+    assert sorted(os.listdir(tmp_path)) == sorted([*(f"a{i}.txt" for i in range(40)), *(f"b{i}.txt" for i in range(3))])
+    assert (tmp_path / "a9.txt").read_text() == "text 9"
+
+
 def test_stream_reads_each_path_once_and_equals_the_batch(spark, corpus, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
 

@@ -61,3 +61,26 @@ def test_a_digest_is_of_the_whole_file_and_holds_one_block_of_it(spark, tmp_path
     wanted = {(name, hashlib.md5(content).hexdigest(), "") for name, content in contents.items()}
     assert found == wanted | {("gone", None, "FileNotFoundError"), ("long", None, "known fault")}
     assert read_contents(files, digest="md5").columns == ["path", "digest", "read_error"]
+
+
+def test_the_ranges_of_a_folder_do_not_grow_with_it():
+    names = [f"{k * 7919 % 100_000:06d}" for k in range(100_000)]
+    ranges = list(walk._name_ranges("/in", iter(names), 100))
+    assert 20 < len(ranges) <= walk.MOST_RANGES
+    assert ranges[0][4] == "" and all(one[5] == two[4] for one, two in zip(ranges, ranges[1:], strict=False))
+    assert sum(r[4] <= n < r[5] for r in ranges for n in names[:1000]) == 1000
+
+
+def test_contents_are_read_by_all_tasks_although_one_task_listed_them(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(200):
+        (tmp_path / "in" / f"{k}.html").write_text(f"<p>One. Two. {k}.")
+    tasks = []
+
+    def load(files):
+        tasks.extend(files.groupBy(F.spark_partition_id()).count().collect())
+        return read_contents(files)
+
+    results, _ = convert_to_tables(walk_files(spark, str(tmp_path / "in")), [format_engine()], str(tmp_path / "out"), load=load)
+    assert results.where("success").count() == 200
+    assert len(tasks) == spark.sparkContext.defaultParallelism and max(r["count"] for r in tasks) < 100
