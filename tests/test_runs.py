@@ -238,6 +238,22 @@ def test_names_of_a_crowded_folder_are_made_in_a_folder_of_the_batch(spark, tmp_
     assert (tmp_path / "a9.txt").read_text() == "text 9"
 
 
+def test_a_file_of_the_same_bytes_is_not_replaced_but_touched(spark, tmp_path):
+    places = {n: tmp_path / f"{n}.txt" for n in ("same", "other", "longer", "link")}
+    for n in ("same", "other", "longer"):
+        places[n].write_text("abc")
+        os.utime(places[n], (1, 1))
+    places["link"].symlink_to(places["same"])
+    before = {n: os.lstat(p).st_ino for n, p in places.items()}
+    texts = {"same": "abc", "other": "abd", "longer": "abcd", "link": "abc"}
+    rows = [(str(places[n]), t) for n, t in texts.items()]
+    found = export_texts(spark.createDataFrame(rows, "target_path string, text string")).collect()
+    assert sorted((r.bytes, r.error) for r in found) == [(3, None), (3, None), (3, None), (4, None)]
+    assert {n: p.read_text() for n, p in places.items()} == texts
+    assert {n for n, p in places.items() if os.lstat(p).st_ino == before[n]} == {"same"} and not places["link"].is_symlink()
+    assert all(p.stat().st_mtime > 1 for p in places.values())
+
+
 def test_stream_reads_each_path_once_and_equals_the_batch(spark, corpus, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
 
