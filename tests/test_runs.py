@@ -277,6 +277,20 @@ def test_stream_reads_each_path_once_and_equals_the_batch(spark, corpus, tmp_pat
     assert [r.text for r in changed] == ["This is a sample document for testing."]
 
 
+def test_a_small_batch_of_a_stream_takes_few_jobs(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    for k in range(6):
+        (root / f"{k}.txt").write_text(f"text {k}", encoding="utf-8")
+    arrivals = stream_files(spark, str(root), max_files=2)
+    query = convert_stream(arrivals, lambda b: manifest(b, str(root), out), [PASS_THROUGH], out, str(tmp_path / "state"), short=True)
+    query.awaitTermination()
+    assert {(r.source_path[-5:], r.text) for r in read_results(spark, out, texts=True).collect()} == {(f"{k}.txt", f"text {k}") for k in range(6)}
+    assert running_stats(spark, out).first().converted_files == 6
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(query.runId)
+    assert 3 <= len(jobs) <= 3 * 18
+
+
 class Cluster:
     """As much of a session as the work folder looks at."""
 

@@ -91,3 +91,34 @@ def test_scores_of_all_batches(spark, tmp_path):
         convert_to_tables(batch(spark, [f"{k}-{j}" for j in range(3)]), [ENGINE], str(tmp_path))
     row = running_scores(spark, str(tmp_path)).first()
     assert (row.ext, row.engine, row.n, row.wins) == ("", "markitdown", 6, 6)
+
+
+def test_small_batches_are_entered_together_and_found_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(target_index, "MOST_FILES", 3)
+    out = str(tmp_path)
+    index = TargetIndex(spark, out)
+    found = lambda b=None: sorted(r.target_path for r in index.lookup(batch(spark, [*(f"{k}-0" for k in range(9)), "x"]), b).collect())
+    for k in range(3):
+        convert_to_tables(batch(spark, [f"{k}-0", f"{k}-1"] + ["0-1"] * (k > 0)), [ENGINE], out)
+        assert found() == [f"/out/{j}-0.md" for j in range(k + 1)]
+    assert not index._entered() and index._waiting() == {0: 2, 1: 2, 2: 2} and found(1) == ["/out/0-0.md", "/out/2-0.md"]
+    tools = read_results(spark, out).where("source_path = '/in/0-1'").orderBy("batch_id").collect()
+    assert [r.tool_used for r in tools] == ["markitdown", "cached", "cached"]
+    convert_to_tables(batch(spark, ["3-0"]), [ENGINE], out)
+    convert_to_tables(batch(spark, ["4-0"]), [ENGINE], out)  # the fourth that waits is one too many
+    assert index._entered() == {0: 2, 1: 2, 2: 2, 3: 1} and found() == [f"/out/{j}-0.md" for j in range(5)]
+    os.remove(f"{out}/targets/waiting/4_1.parquet")  # a run that came to write its results only
+    assert found() == [f"/out/{j}-0.md" for j in range(5)] and index._entered().keys() == {0, 1, 2, 3, 4}
+    assert index._waiting() == {}
+
+
+def test_a_listing_of_many_files_or_of_names_that_are_not_utf8_is_written(spark, tmp_path, monkeypatch):
+    from foliomill.plans import corpus
+
+    odd = batch(spark, ["a", "b", "c"]).withColumn("path", F.expr("CASE WHEN path LIKE '%b' THEN cast(x'2ffe62' AS string) ELSE path END"))
+    for k, few in enumerate((2, 3)):
+        monkeypatch.setattr(corpus, "FEW", few)
+        _, stats = convert_to_tables(odd, [ENGINE], f"{tmp_path}/{k}", short=k > 0)
+        assert stats.first().converted_files == 3 and not os.path.exists(f"{tmp_path}/{k}/targets/waiting")
+        texts = read_results(spark, f"{tmp_path}/{k}").selectExpr("hex(source_path) AS path", "success")
+        assert ("2FFE62", True) in {tuple(r) for r in texts.collect()}
